@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from .common import worker_cache
 
 #: Bytes compressed at a time, and zstandard's level.
-CHUNK, LEVEL = 2048, 3
+CHUNK, LEVEL = 512, 6
 #: Bounds of what a class's model is fitted on: passages, and characters of each.
 PASSAGES, PASSAGE_CHARS = 192, 1024
 
 
 def sample_passages(rows: DataFrame, label: str, text: str, key: Column, passages: int, chars: int, classes: int = 4096) -> dict[str, list[str]]:
-    """At most ``passages`` passages of ``chars`` characters for each label.
+    """At most ``passages`` passages of ``chars`` characters for each label, the
+    most frequent label first (ties by name).
 
     Rows are picked by the hash of ``key`` (a hash threshold drawn from the
     label's count, then the smallest hashes), a passage begins at a hashed
@@ -43,7 +44,7 @@ def sample_passages(rows: DataFrame, label: str, text: str, key: Column, passage
         kept = out.setdefault(r["label"], [])
         if len(kept) < passages:
             kept.append(r["passage"])
-    return out
+    return {k: out[k] for k in sorted(out, key=lambda k: (-counts[k], k))}
 
 
 class DictionaryModel:
@@ -52,7 +53,7 @@ class DictionaryModel:
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL, chunk: int = CHUNK):
         import zstandard as z
 
-        self.names, self.chunk = sorted(dictionaries), chunk
+        self.names, self.chunk = list(dictionaries), chunk
         self.compress = []
         for name in self.names:
             d = z.ZstdCompressionDict(dictionaries[name], dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -66,13 +67,17 @@ class DictionaryModel:
         return [sum(len(c(p)) for p in parts) for c in self.compress]
 
 
-def cached_model(dictionaries: dict[str, bytes]) -> DictionaryModel:
+def cached_model(dictionaries: dict[str, bytes], level: int = LEVEL) -> DictionaryModel:
     cache = worker_cache()
-    key = ("zstd", hash(tuple(sorted(dictionaries.items()))))
+    key = ("zstd", level, hash(tuple(dictionaries.items())))
     if key not in cache:
-        cache[key] = DictionaryModel(dictionaries)
+        cache[key] = DictionaryModel(dictionaries, level)
     return cache[key]
 
 
-def dictionary(passages: Sequence[str]) -> bytes:
-    return "\n".join(passages).encode("utf-8", "surrogatepass")
+def dictionaries(passages: dict[str, Sequence[str]], least: int = 1 << 14) -> dict[str, bytes]:
+    """A raw dictionary a class, all cut to the shortest one's length (though not
+    under ``least`` bytes), as a longer dictionary costs longer offsets."""
+    joined = {k: "\n".join(v).encode("utf-8", "surrogatepass") for k, v in passages.items()}
+    size = max(least, min(map(len, joined.values()), default=0))
+    return {k: v[-size:] for k, v in joined.items()}

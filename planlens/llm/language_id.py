@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
-from .compression import PASSAGE_CHARS, PASSAGES, cached_model, dictionary, sample_passages
+from .compression import PASSAGE_CHARS, PASSAGES, cached_model, dictionaries, sample_passages
 
 UNKNOWN = "und"
 #: Smallest lead of the best language over the second, as a share of the second's size.
 MARGIN = 0.003
 
 
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def canonical(text: str) -> str:
+    """Lower-case letters; what lies between them is one space."""
+    return _NOT_LETTERS.sub(" ", text.lower())
+
+
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", passages: int = PASSAGES, chars: int = PASSAGE_CHARS) -> dict[str, bytes]:
     """A raw-content dictionary for each non-null language of ``docs``, from at
     most ``passages`` passages of ``chars`` characters each."""
     found = sample_passages(docs, lang, text, F.col(id_col), passages, chars)
-    return {k: dictionary(v) for k, v in found.items()}
+    return dictionaries({k: [canonical(t) for t in v] for k, v in found.items()})
 
 
 def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", margin: float = MARGIN, drop_text: bool = False) -> DataFrame:
     """``docs`` plus ``lang_pred``, ``score`` (0 to 1), ``rejected``.
 
     The prediction is the language whose dictionary compresses the whole text
-    smallest, ties to the first name. It is rejected if its lead is under
+    smallest, ties to the language with most training rows. It is rejected if its lead is under
     ``margin`` or the text is null or has no letter; then without letters the
     language is ``und`` and the score 0. Without any learned language all is
     ``und``. Rows keep their number; clashing columns are replaced; ``drop_text`` leaves the text out.
@@ -46,7 +55,7 @@ def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", margi
         def judge(t: str | None) -> tuple[str, float, bool]:
             if not t or not m.names or not letter(t):
                 return UNKNOWN, 0.0, True
-            sizes = m.sizes(t)
+            sizes = m.sizes(canonical(t))
             best = min(range(len(sizes)), key=sizes.__getitem__)
             rest = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
             lead = (rest - sizes[best]) / rest

@@ -19,6 +19,8 @@ from .common import SPACE, discard, materialize
 
 #: Hash buckets in which the seeded order is cut before single documents are.
 BUCKETS = 4096
+#: Documents a pattern that may fill its gap.
+FILL = 4
 #: Patterns that the flow takes; it runs on the driver.
 MAX_PATTERNS = 4096
 
@@ -125,8 +127,8 @@ def mix(docs: DataFrame, size: Column, pattern: Column, weights: Sequence[float]
     the first source in a document's pattern. ``taken`` counts the words the mix
     takes of a document: whole passes only, ``most`` at most. The seeded order is
     a hash of the id and of ``tie`` (by default the size): documents are taken
-    while their running size fits the pattern's flow, then up to two more whose
-    sizes close the gap best.
+    while their running size fits the pattern's flow, then up to ``FILL`` more
+    whose sizes close the gap best.
 
     Rows of null id and repeated rows are documents of their own (rows equal in
     id and ``tie`` are taken alike); null and empty patterns take nothing; empty
@@ -178,8 +180,10 @@ def mix(docs: DataFrame, size: Column, pattern: Column, weights: Sequence[float]
     columns, kinds = ["full", "part", "edge", "last", "gap", "picks"], "full int, part double, edge bigint, last bigint, gap double, picks array<bigint>"
     for v in plan.values():
         v["picks"] = []
-    for _ in range(2):
-        free = slim.join(planned(columns, kinds), "_key").where(~taken_more).where("size > 0 and gap > 0.5 and abs(gap - size) < gap")
+    for fits in (*("size <= gap",) * (FILL - 1), "abs(gap - size) < gap"):
+        if all(v["gap"] < 1 for v in plan.values()):
+            break
+        free = slim.join(planned(columns, kinds), "_key").where(~taken_more).where("size > 0 and gap > 0.5").where(fits)
         for r in free.groupBy("_key").agg(F.min_by(F.struct("size", "_hash"), F.struct(F.abs(F.col("gap") - F.col("size")), F.col("_hash"))).alias("p")).collect():
             v = plan[r["_key"]]
             v["picks"].append(r["p"]["_hash"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -10,7 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
-from .compression import PASSAGE_CHARS, PASSAGES, DictionaryModel, cached_model, dictionary, sample_passages
+from .compression import PASSAGE_CHARS, PASSAGES, DictionaryModel, cached_model, dictionaries, sample_passages
+
+
+LEVEL = 9
+_REPEATS = re.compile(r"(?<!\S)(\S+)((?:\s+\1(?!\S))+)")
+
+
+def canonical(text: str) -> str:
+    """Words that repeat the one before them become a count, ``=1 =2`` and so on
+    (anew after 64), which a dictionary can hold whatever the word is."""
+    return _REPEATS.sub(lambda m: m[1] + "".join(f" ={i % 64 + 1}" for i in range(len(m[2].split()))), text)
 
 
 @dataclass(frozen=True)
@@ -64,16 +75,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     marked = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).join(marked, F.col("_doc") == F.col("_id"))
     found = sample_passages(rows, "_label", "_text", F.col("_id"), 2 * passages, chars)
-    dictionaries = {k: dictionary(found.get(k, [])[::2]) for k in ("0", "1")}
-    if not all(dictionaries.values()):
+    made = dictionaries({k: [canonical(t) for t in found.get(k, [])[::2]] for k in ("0", "1")})
+    if not all(made.values()):
         return QualityModel({}, 0.0, 0.0)
-    model = DictionaryModel(dictionaries)
+    model = DictionaryModel(made, LEVEL)
     xs, ys = [], []
     for k in ("0", "1"):
         for t in found[k][1::2]:
-            xs.append(difference(model.sizes(t)))
+            xs.append(difference(model.sizes(canonical(t))))
             ys.append(int(k))
-    return QualityModel(dictionaries, *calibrate(xs, ys))
+    return QualityModel(made, *calibrate(xs, ys))
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", drop_text: bool = False) -> DataFrame:
@@ -88,12 +99,12 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", drop_text: b
     keep = [c for c in docs.columns if c not in ("score", "predicted") and not (drop_text and c == text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = cached_model(model.dictionaries) if model.dictionaries else None
+        m = cached_model(model.dictionaries, LEVEL) if model.dictionaries else None
         for b in batches:
             out = []
             for t in b.column(text):
                 body = t.as_py()
-                x = difference(m.sizes(body)) if m and body else 0.0
+                x = difference(m.sizes(canonical(body))) if m and body else 0.0
                 out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, model.slope * x + model.offset)))))
             cols = [pa.array(out, pa.float64()), pa.array([int(p >= 0.5) for p in out], pa.int32())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], [*keep, "score", "predicted"])
