@@ -76,7 +76,8 @@ class Forest:
     def search(self, queries: np.ndarray, k: int, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the candidates' places and scores, the best first but not in exact order."""
         n = len(self.x)
-        lo, hi = self.slices(queries, max(reach * n, min(n, 4 * k)))
+        # Slices of k + 1 on average: one of them holds k others than the query's own.
+        lo, hi = self.slices(queries, max(reach * n, self.trees * (k + 1)))
         seen = np.zeros(n, bool)
         for q in range(len(queries)):
             seen[:] = False
