@@ -442,7 +442,7 @@ def test_pipeline(spark, tmp_path):
     body = lambda v, n: "\n".join(" ".join(rng.choices(v, k=12)) + " " + words(4, rng) for _ in range(n))
     texts = [body(EN if i % 2 else DE, rng.randint(2, 9)) for i in range(120)] + [None, "", "123 456 !!"]
     texts += [texts[3]] * 10
-    rows = [(i, t, "en" if i % 2 else "de", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    rows = [(i, t, "en" if i % 2 or i > 120 else "de", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for name, stage in pipeline.STAGES:
