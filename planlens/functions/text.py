@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def strip_fences(c: Column) -> Column:
@@ -35,7 +36,7 @@ def normal_name(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.trim(c), "[?:.!\\s]+$", "")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

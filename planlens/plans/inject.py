@@ -114,10 +114,9 @@ def compound(df: DataFrame, errors: list[str], steps: str = "steps") -> DataFram
 
 
 def quota_slots(n: int, shares: dict[str, float]) -> list[str]:
-    """Labels of ``n`` candidates: the gold plan, then each type's quota of the rest, cut to ``n``."""
+    """Labels of ``n`` candidates: the gold plan, each type's quota of the rest, then the types in turn; cut to ``n``."""
     rest = n - 1
     slots = ["none"] + [t for t, p in shares.items() if t != "none" for _ in range(max(1, int(rest * p)))]
     types = [t for t in shares if t != "none"]
-    while len(slots) < n and types:
-        slots.append(types[len(slots) % len(types)])
+    slots += [types[i % len(types)] for i in range(n - len(slots)) if types]
     return slots[:n]
