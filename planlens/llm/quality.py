@@ -72,8 +72,16 @@ def calibrate(xs: Sequence[float], ys: Sequence[int], rounds: int = 50, ridge: f
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", passages: int = PASSAGES, chars: int = PASSAGE_CHARS) -> QualityModel:
     """Dictionaries and calibration from at most ``2 * passages`` passages of
     each label: the odd ones make the dictionaries, the even ones calibrate."""
-    marked = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).join(marked, F.col("_doc") == F.col("_id"))
+    # Ids are drawn from the labels alone, so that no text is shuffled to find its
+    # label: what is broadcast is at most 6 * passages ids a label.
+    marked = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label).alias("_label"), F.xxhash64(F.lit("label"), id_col).alias("_h"))
+    counts = {r["_label"]: r["n"] for r in marked.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    unit = F.shiftrightunsigned("_h", 11) / float(1 << 53)
+    drawn = [marked.where((F.col("_label") == k) & (unit < 5.0 * passages / n)).orderBy("_h", "_id").limit(6 * passages) for k, n in sorted(counts.items())]
+    if not drawn:
+        return QualityModel({}, 0.0, 0.0)
+    ids = drawn[0] if len(drawn) == 1 else drawn[0].union(drawn[1])
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(ids.drop("_h")), F.col("_doc") == F.col("_id"))
     found = sample_passages(rows, "_label", "_text", F.col("_id"), 2 * passages, chars)
     made = dictionaries({k: [canonical(t) for t in found.get(k, [])[::2]] for k in ("0", "1")})
     if not all(made.values()):
