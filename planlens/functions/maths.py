@@ -41,8 +41,8 @@ MATH: dict[str, Callable[..., Column]] = {
     "log": lambda x, b: (F.ln(x) / F.ln(b)).cast("bigint"),
     "gcd": gcd,
     "lcm": lambda a, b: F.abs(a * b) / F.when(gcd(a, b) != 0, gcd(a, b)),
-    "max_number": F.greatest,
-    "min_number": F.least,
+    "max_number": F.array_max,
+    "min_number": F.array_min,
     "speed": lambda d, t: F.try_divide(d, t),
     "diagonal": F.hypot,
     "rectangle_area": lambda a, b: a * b,

@@ -79,4 +79,4 @@ def upper_median(c: Column) -> Column:
 def bands(df: DataFrame, score: str, cuts: dict[str, tuple[float, float]]) -> DataFrame:
     """``(band, n)`` with a row for every band, ``lo <= score < hi``."""
     one = df.agg(*(F.sum(((F.col(score) >= lo) & (F.col(score) < hi)).cast("bigint")).alias(k) for k, (lo, hi) in cuts.items()))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.coalesce(F.col(k), F.lit(0)).alias("n")) for k in cuts))).alias("x")).select("x.*")
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.coalesce(F.col(f"`{k}`"), F.lit(0)).alias("n")) for k in cuts))).alias("x")).select("x.*")

@@ -28,7 +28,7 @@ CATEGORIES = {
 }
 
 #: Least score of each prediction.
-PREDICTION_BANDS = ((90, "success"), (75, "likely_success"), (50, "uncertain"), (25, "likely_failure"), (0, "failure"))
+PREDICTION_BANDS = ((90, "yes"), (75, "likely_yes"), (50, "uncertain"), (25, "likely_no"), (0, "no"))
 
 #: Points a severity costs.
 SEVERITY_POINTS = {"critical": 30, "high": 20, "medium": 10, "low": 5}

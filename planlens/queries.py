@@ -20,7 +20,7 @@ _STEPS = """v_steps as (
   select l_orderkey as plan_id, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1)::int as pos,
     replace(p_name, ' ', '_') as tool_name, floor(l_quantity)::int as qty, l_returnflag as flag, l_linestatus as status
   from lineitem join part on l_partkey = p_partkey)"""
-_BAND = "case when {0} >= 90 then 'success' when {0} >= 75 then 'likely_success' when {0} >= 50 then 'uncertain' when {0} >= 25 then 'likely_failure' else 'failure' end"
+_BAND = "case when {0} >= 90 then 'yes' when {0} >= 75 then 'likely_yes' when {0} >= 50 then 'uncertain' when {0} >= 25 then 'likely_no' else 'no' end"
 _PLANS = f"""{_STEPS},
 v_text as (select plan_id, string_agg('Step ' || pos || ': {{{{' || pos || '}}}} = ' || tool_name || '(arg_0=' || qty || case when pos > 0 then ', arg_1={{{{' || (pos - 1) || '}}}}' else '' end || ', note=''' || flag || ', ' || status || ''')', chr(10) order by pos) as plan_text from v_steps group by plan_id),
 v_raw as (select o_orderkey as plan_id, o_orderkey // 10 as query_id, (o_orderkey % 10)::int as slot,
@@ -154,12 +154,12 @@ def step_details(spark, sf_dir):
     return compare.step_details(compare.with_gold(corpus.parsed(spark, sf_dir)), "steps", "gold_steps", "plan_id")
 
 
-@query(f"""with {_COMPARE}, hist as (select case when exact_tool = 0 then '0' when exact_tool < 0.25 then '0-25' when exact_tool < 0.5 then '25-50' when exact_tool < 0.75 then '50-75' when exact_tool < 1 then '75-100' else '100' end as band from v_cmp)
-  select b.band, count(hist.band) as n from (values ('0'), ('0-25'), ('25-50'), ('50-75'), ('75-100'), ('100')) b(band) left join hist using (band) group by b.band""")
+@query(f"""with {_COMPARE}, hist as (select case when func_tool = 0 then '0.0' when func_tool < 0.2 then '0-0.2' when func_tool < 0.5 then '0.2-0.5' when func_tool < 0.8 then '0.5-0.8' when func_tool < 1 then '0.8-1.0' else '1.0' end as band from v_cmp)
+  select b.band, count(hist.band) as n from (values ('0.0'), ('0-0.2'), ('0.2-0.5'), ('0.5-0.8'), ('0.8-1.0'), ('1.0')) b(band) left join hist using (band) group by b.band""")
 def tool_acc_hist(spark, sf_dir):
     tiny = 1e-12
-    cuts = {"0": (0, tiny), "0-25": (tiny, 0.25), "25-50": (0.25, 0.5), "50-75": (0.5, 0.75), "75-100": (0.75, 1), "100": (1, 2)}
-    return metrics.bands(compared(spark, sf_dir), "exact_tool_accuracy", cuts)
+    cuts = {"0.0": (0, tiny), "0-0.2": (tiny, 0.2), "0.2-0.5": (0.2, 0.5), "0.5-0.8": (0.5, 0.8), "0.8-1.0": (0.8, 1), "1.0": (1, 2)}
+    return metrics.bands(compared(spark, sf_dir), "functional_tool_accuracy", cuts)
 
 
 @query(f"with {_COMPARE} select plan_id, judge_score, functional_match from v_cmp where plan_text <> '' and functional_match = false")
@@ -266,15 +266,15 @@ def kappa_annotators(spark, sf_dir):
     return metrics.kappa(corpus.table(spark, sf_dir, "labels"), "quality", "toxic")
 
 
-@query(f"""with {_PLANS}, b(band, lo, hi) as (values ('excellent', 90, 101), ('good', 75, 90), ('fair', 50, 75), ('poor', 25, 50), ('bad', 0, 25)) select band, count(plan_id) as n from b left join v_plans on quality_score >= lo and quality_score < hi group by band""")
+@query(f"""with {_PLANS}, b(band, lo, hi) as (values ('excellent', 90, 101), ('good', 75, 90), ('fair', 50, 75), ('poor', 25, 50), ('critical', 0, 25)) select band, count(plan_id) as n from b left join v_plans on quality_score >= lo and quality_score < hi group by band""")
 def score_bands(spark, sf_dir):
-    return metrics.bands(corpus.plans(spark, sf_dir), "quality_score", {"excellent": (90, 101), "good": (75, 90), "fair": (50, 75), "poor": (25, 50), "bad": (0, 25)})
+    return metrics.bands(corpus.plans(spark, sf_dir), "quality_score", {"excellent": (90, 101), "good": (75, 90), "fair": (50, 75), "poor": (25, 50), "critical": (0, 25)})
 
 
-@query(f"""with {_PLANS}, d(prediction) as (values ('success'), ('likely_success'), ('uncertain'), ('likely_failure'), ('failure'), ('never_predicted')) select d.prediction, count(plan_id) as n, round(100.0 * count(plan_id) / (select count(*) from v_plans), 1)::double as pct from d left join v_plans v on v.judge_prediction = d.prediction group by d.prediction""")
+@query(f"""with {_PLANS}, d(prediction) as (values ('yes'), ('likely_yes'), ('uncertain'), ('likely_no'), ('no'), ('never_predicted')) select d.prediction, count(plan_id) as n, round(100.0 * count(plan_id) / (select count(*) from v_plans), 1)::double as pct from d left join v_plans v on v.judge_prediction = d.prediction group by d.prediction""")
 def prediction_dist(spark, sf_dir):
     """Every prediction gets a row, also one that never occurs."""
-    names = ["success", "likely_success", "uncertain", "likely_failure", "failure", "never_predicted"]
+    names = ["yes", "likely_yes", "uncertain", "likely_no", "no", "never_predicted"]
     p = corpus.plans(spark, sf_dir)
     one = p.agg(*(F.count_if(F.col("judge_prediction") == n).alias(n) for n in names), F.count("*").alias("_n"))
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("prediction"), F.col(n).alias("n"), F.round(100.0 * F.col(n) / F.col("_n"), 1).alias("pct")) for n in names))).alias("x")).select("x.*")
@@ -521,8 +521,8 @@ out as (select plan_id, max_by(value, pos) as value from e group by plan_id)"""
 def executed(spark, sf_dir):
     s = corpus.raw_steps(spark, sf_dir)
     op = F.when(F.col("pos") % 2 == 0, "add").otherwise("subtract")
-    args = F.when(F.col("pos") == 0, F.concat("qty", F.lit(", b=0"))).otherwise(F.concat("qty", F.lit(", b={{"), F.col("pos") - 1, F.lit("}}")))
-    line = F.concat(F.lit("Step "), "pos", F.lit(": {{"), "pos", F.lit("}} = "), op, F.lit("(a="), args, F.lit(")"))
+    args = F.when(F.col("pos") == 0, F.concat("qty", F.lit(", arg_1=0"))).otherwise(F.concat("qty", F.lit(", arg_1={{"), F.col("pos") - 1, F.lit("}}")))
+    line = F.concat(F.lit("Step "), "pos", F.lit(": {{"), "pos", F.lit("}} = "), op, F.lit("(arg_0="), args, F.lit(")"))
     t = s.groupBy("plan_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", line.alias("l"))))["l"], "\n").alias("t"), F.sum("qty").alias("total"))
     return execute.execute(parse.once(t, "steps", parse.parse_plan("t")).select("plan_id", "total", "steps"))
 
@@ -532,7 +532,7 @@ def exec_plans(spark, sf_dir):
     return executed(spark, sf_dir).select("plan_id", "exec_status", "exec_output")
 
 
-@query(f"with recursive {_EXEC}, t as (select plan_id, sum(qty)::bigint as total from v_steps group by plan_id) select count(*) as n, round(avg((value = total)::int), 6) as strict_accuracy, round(avg((value = total or contains(value::varchar, total::varchar) or contains(total::varchar, value::varchar))::int), 6) as lenient_accuracy, 1.0::double as completion from out join t using (plan_id)")
+@query(f"with recursive {_EXEC}, t as (select plan_id, sum(qty)::bigint as total from v_steps group by plan_id) select count(*) as n, round(avg((value = total)::int), 6) as strict_accuracy, round(avg((value = total)::int), 6) as lenient_accuracy, 1.0::double as completion from out join t using (plan_id)")
 def exec_accuracy_summary(spark, sf_dir):
     e = executed(spark, sf_dir)
     strict, lenient = execute.answers_match(F.col("exec_output"), F.col("total").cast("string"))
@@ -557,7 +557,7 @@ def math_functions(spark, sf_dir):
     t = corpus.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_quantity").alias("a"), (F.col("l_linenumber").cast("bigint") - 4).alias("b"))
     m, a, b = maths.MATH, F.col("a"), F.col("b")
     rounded = lambda c, n, k: F.round(c, k).alias(n)
-    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", m["add"](a, b).alias("add_"), m["multiply"](a, b).alias("multiply_"), m["remainder"](a, b).cast("bigint").alias("remainder_"), rounded(m["divide"](a, b), "divide_", 6), m["sqrt"](a).alias("sqrt_"), m["gcd"](a, b).alias("gcd_"), m["max_number"](a, b).alias("max_"), rounded(m["circle_area"](a), "circle_area_", 4), rounded(m["volume_sphere"](a), "volume_sphere_", 4), rounded(m["diagonal"](a, b), "diagonal_", 6), F.floor(F.ln(a) / F.ln(F.lit(3)) + 0.5).alias("log_near_"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", m["add"](a, b).alias("add_"), m["multiply"](a, b).alias("multiply_"), m["remainder"](a, b).cast("bigint").alias("remainder_"), rounded(m["divide"](a, b), "divide_", 6), m["sqrt"](a).alias("sqrt_"), m["gcd"](a, b).alias("gcd_"), m["max_number"](F.array(a, b)).alias("max_"), rounded(m["circle_area"](a), "circle_area_", 4), rounded(m["volume_sphere"](a), "volume_sphere_", 4), rounded(m["diagonal"](a, b), "diagonal_", 6), F.floor(F.ln(a) / F.ln(F.lit(3)) + 0.5).alias("log_near_"))
 
 
 # -- retrieval ------------------------------------------------------------------

@@ -16,7 +16,7 @@ from planlens.streaming import running
 P1 = "Step 0: {{0}} = unique_common_values(list1=[1, 2, 3], list2=[4, 5, 6])\nStep 1: {{1}} = swap_by_index(values={{0}}, i=0, j=1)"
 P2 = P1.replace("{{0}} = ", "").replace("{{1}} = ", "")
 P3 = P1.replace("{{0}} =", "var0 =").replace("{{1}} =", "var1 =").replace("values={{0}}", "values=var0")
-V = "Step 0: {{0}} = add(a=2, b=3)\nStep 1: {{1}} = multiply(a={{0}}, b=4)\nStep 2: {{2}} = add(a={{1}}, b=1)"
+V = "Step 0: {{0}} = add(arg_0=2, arg_1=3)\nStep 1: {{1}} = multiply(arg_0={{0}}, arg_1=4)\nStep 2: {{2}} = add(arg_0={{1}}, arg_1=1)"
 
 
 def parsed(spark, *texts, dialect="strict"):
@@ -63,12 +63,12 @@ def test_injectors_change_the_text(spark, kind):
     if kind == "circular_dependency":
         assert validate.cyclic(validate.exploded(df.select("plan_id", F.col("injected").alias("steps")), "plan_id")).count() == 1
     if kind == "unnecessary_steps":
-        assert r.new.split("\n")[1:] == ["Step 1: {{1}} = add(a=2, b=3)", "Step 2: {{2}} = multiply(a={{0}}, b=4)", "Step 3: {{3}} = add(a={{2}}, b=1)"]
+        assert r.new.split("\n")[1:] == ["Step 1: {{1}} = add(arg_0=2, arg_1=3)", "Step 2: {{2}} = multiply(arg_0={{0}}, arg_1=4)", "Step 3: {{3}} = add(arg_0={{2}}, arg_1=1)"]
 
 
 def test_order_injection(spark):
     assert not inject.inject(parsed(spark, V), "inefficient_order").first().changed
-    free = V.replace("multiply(a={{0}}", "multiply(a=9")
+    free = V.replace("multiply(arg_0={{0}}", "multiply(arg_0=9")
     assert [s.step_id for s in inject.inject(parsed(spark, free), "inefficient_order").first().injected] == [1, 0, 2]
     assert inject.inject_first(parsed(spark, V), ["inefficient_order", "incomplete_plan"]).first().injected_type == "incomplete_plan"
 
@@ -96,19 +96,20 @@ def test_metrics(spark):
 
 
 def test_execution(spark):
-    got = [tuple(r)[-3:] for r in execute.execute(parsed(spark, V, "", V.replace("multiply", "nope"), V.replace("{{0}},", "{{7}},"), "Step 0: {{0}} = divide(a=1, b=0)").drop("t")).orderBy("plan_id").collect()]
-    assert got == [("ok", "21", None), ("parse_empty", None, None), ("unknown_tool", None, 1), ("unresolved_ref", None, 1), ("tool_error", None, 0)]
+    got = [tuple(r)[-3:] for r in execute.execute(parsed(spark, V, "", V.replace("multiply", "nope"), V.replace("{{0}},", "{{7}},"), "Step 0: {{0}} = divide(arg_0=1, arg_1=0)").drop("t")).orderBy("plan_id").collect()]
+    assert got == [("ok", "21", None), ("parse_empty", None, None), ("unknown_tool", None, 1), ("unresolved_ref", None, 1), ("call_error", None, 0)]
     pair = spark.createDataFrame([("71.42857", "71.4", True, True), (" 'Paris' ", "paris", True, True), ("in Paris", "Paris", False, True), ("1", "2", False, False), (None, "2", False, False)], "got string, gold string, s boolean, l boolean")
     strict, lenient = execute.answers_match(F.col("got"), F.col("gold"))
     assert pair.where((strict != F.col("s")) | (lenient != F.col("l"))).count() == 0
 
 
-ARGS = {"permutation": (5, 2), "choose": (5, 2), "factorial": (5,), "log": (100, 3), "gcd": (12, 18), "lcm": (4, 6), "floor": (2.7,), "sqrt": (17,), "negate": (3,), "inverse": (4,), "negate_prob": (0.3,), "square_area": (3,), "square_perimeter": (3,), "square_edge_by_area": (9,), "square_edge_by_perimeter": (8,), "circle_area": (2,), "circumface": (2,), "surface_sphere": (2,), "volume_sphere": (2,), "volume_cube": (2,), "surface_cube": (2,), "cube_edge_by_volume": (27,)}
+ARGS = {"max_number": ([7, -2],), "min_number": ([7, -2],), "permutation": (5, 2), "choose": (5, 2), "factorial": (5,), "log": (100, 3), "gcd": (12, 18), "lcm": (4, 6), "floor": (2.7,), "sqrt": (17,), "negate": (3,), "inverse": (4,), "negate_prob": (0.3,), "square_area": (3,), "square_perimeter": (3,), "square_edge_by_area": (9,), "square_edge_by_perimeter": (8,), "circle_area": (2,), "circumface": (2,), "surface_sphere": (2,), "volume_sphere": (2,), "volume_cube": (2,), "surface_cube": (2,), "cube_edge_by_volume": (27,)}
 
 
 def test_math_agrees_with_the_interpreter(spark):
     assert set(maths.MATH) == set(execute.REGISTRY) and len(maths.MATH) == 40
-    cols = [maths.MATH[n](*(F.lit(x) for x in ARGS.get(n, (7, -2)))).cast("double").alias(n) for n in maths.MATH]
+    lit = lambda x: F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x)
+    cols = [maths.MATH[n](*map(lit, ARGS.get(n, (7, -2)))).cast("double").alias(n) for n in maths.MATH]
     row = spark.range(1).select(*cols).first()
     for n, fn in execute.REGISTRY.items():
         assert math.isclose(row[n], float(fn(*ARGS.get(n, (7, -2)))), rel_tol=1e-9), n
