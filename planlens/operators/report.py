@@ -42,3 +42,60 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]
     a = before.select(*keys, *(F.col(v).alias(f"{v}_before") for v in values))
     b = after.select(*keys, *(F.col(v).alias(f"{v}_after") for v in values))
     return a.join(b, keys).select("*", *(r6(F.col(f"{v}_after") - F.col(f"{v}_before")).alias(f"{v}_delta") for v in values))
+
+
+def corpus_report(plans: DataFrame, issues: DataFrame, key: str = "plan_id", clean: tuple[str, ...] = ("none", "parameter_typo"), most: float = 95) -> DataFrame:
+    """n, mean score and mean number of issues of each error type, and whether
+    its injector is suspicious: a mean over ``most`` where errors should show."""
+    counts = issues.groupBy(key).agg(F.count("*").alias("k"))
+    by = plans.select(key, "error_type", "quality_score").join(counts, key, "left").groupBy("error_type")
+    n = F.count("*")
+    mean = F.sum("quality_score") / n
+    return by.agg(n.alias("n"), r6(mean).alias("avg_score"), r6(F.sum(F.coalesce("k", F.lit(0))) / n).alias("avg_issues"), ((mean > most) & ~F.first("error_type").isin(*clean)).alias("suspicious"))
+
+
+def shares_of(df: DataFrame, column: Column, names: list[str]) -> DataFrame:
+    """``(name, n, pct)`` of the rows with each name, absent ones included, in one pass."""
+    one = df.agg(*(F.count_if(column == n).alias(f"c{i}") for i, n in enumerate(names)), F.count("*").alias("_n"))
+    rows = (F.struct(F.lit(n).alias("name"), F.col(f"c{i}").alias("n"), F.round(F.try_divide(100.0 * F.col(f"c{i}"), F.col("_n")), 1).alias("pct")) for i, n in enumerate(names))
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def execution_summary(runs: DataFrame, key: str = "query_id", order: str = "ordinal") -> DataFrame:
+    """Coverage, completion and accuracy of runs (columns exec_status, strict,
+    lenient), accuracy among those that a judge passes or fails and among
+    functional matches, and that of each query's first run. Uncovered runs count
+    in the coverage only; an empty condition gives null."""
+    r = runs.withColumn("_c", F.col("exec_status") != "uncovered")
+    first = F.min_by(F.struct("strict", "_c"), F.when(F.col("_c"), F.col(order)))
+    by = r.groupBy(key).agg(
+        F.count("*").alias("n"),
+        *(F.count_if(F.expr(f"_c and {e}")).alias(k) for k, e in {"covered": "true", "ok": "exec_status = 'ok'", "strict": "strict", "lenient": "lenient", "jp": "judge_success", "jps": "judge_success and strict", "jf": "judge_success is false", "jfs": "judge_success is false and strict", "fm": "functional_match", "fms": "functional_match and strict"}.items()),
+        first.alias("first"),
+    )
+    total = {c: F.sum(c) for c in ("n", "covered", "ok", "strict", "lenient", "jp", "jps", "jf", "jfs", "fm", "fms")}
+    rate = lambda a, b: r6(F.try_divide(a, b))
+    return by.agg(
+        total["n"].alias("n_records"),
+        total["covered"].alias("n_covered"),
+        *(rate(total[a], total[b]).alias(k) for k, (a, b) in {"coverage": ("covered", "n"), "completion": ("ok", "covered"), "strict_accuracy": ("strict", "covered"), "lenient_accuracy": ("lenient", "covered"), "strict_given_judge_pass": ("jps", "jp"), "strict_given_judge_fail": ("jfs", "jf"), "strict_given_functional_match": ("fms", "fm")}.items()),
+        F.count_if(F.col("covered") > 0).alias("n_unique_queries"),
+        rate(F.count_if((F.col("covered") > 0) & F.col("first.strict")), F.count_if(F.col("covered") > 0)).alias("strict_unique_queries"),
+    )
+
+
+def selection_gain(best: DataFrame, least: int = 80) -> DataFrame:
+    """What picking the best of n gains over the first sample (columns best_score,
+    first_score): success shares and mean scores, and their differences in points."""
+    n = F.count("*")
+    a, b = F.count_if(F.col("best_score") >= least), F.count_if(F.col("first_score") >= least)
+    sa, sb = F.sum("best_score"), F.sum("first_score")
+    return best.agg(n.alias("n"), r6(a / n).alias("best_success"), r6(b / n).alias("first_success"), r6(100 * (a - b) / n).alias("success_gain_pts"), r6(sa / n).alias("best_mean"), r6(sb / n).alias("first_mean"), r6((sa - sb) / n).alias("score_gain_pts"))
+
+
+def within_failure_budget(calls: DataFrame, failed: Column, most: float = 0.05) -> DataFrame:
+    """``calls`` as they are, if at most a share ``most`` of them failed; else an error."""
+    n, bad = calls.agg(F.count("*"), F.count_if(failed)).first()
+    if n and bad / n > most:
+        raise RuntimeError(f"{bad} of {n} calls failed, over {most:.0%}")
+    return calls

@@ -43,3 +43,24 @@ def uct(value: Column, visits: Column, parent_visits: Column, c: float = 1.414)
 
 def node_value(mean_score: Column, consistency: Column) -> Column:
     return 0.5 * mean_score / 100 + 0.5 * consistency
+
+
+def prior_score(q: Column, prior: Column, visits: Column, parent_visits: Column, weight: float = 1.0) -> Column:
+    """Selection score of a child by its value, prior (1e-6 at least) and visits, without jitter."""
+    kept = F.when(prior > 0, prior).otherwise(F.lit(1e-6))
+    return q + weight * kept * F.sqrt(F.ln(F.greatest(parent_visits, F.lit(1)) + 1)) / (1 + visits)
+
+
+def backpropagated(rollouts: DataFrame, path: list[str], reward: str) -> DataFrame:
+    """``(path..., visits, q)`` of every node on the rollouts' paths, the root (all
+    null) included: a running mean of rewards ends at their mean, so one pass of
+    a rollup gives what updates along each path would."""
+    out = rollouts.rollup(*path).agg(F.count("*").alias("visits"), F.avg(reward).alias("q"), F.grouping_id().alias("_g"))
+    return out.withColumn("depth", F.lit(len(path)) - F.bit_count("_g")).drop("_g")
+
+
+def best_child(nodes: DataFrame, parent: list[str], child: str, prior: str) -> DataFrame:
+    """Each parent's child of the greatest value, then visits, then prior (ties: the first by name)."""
+    key = F.struct("q", "visits", prior)
+    top = nodes.groupBy(*parent).agg(F.max(key).alias("_top"))
+    return nodes.join(top, parent).where((F.col("q") == F.col("_top.q")) & (F.col("visits") == F.col("_top.visits")) & F.col(prior).eqNullSafe(F.col(f"_top.{prior}"))).groupBy(*parent).agg(F.min(child).alias(child))

@@ -53,3 +53,24 @@ def concat_with_offset(df: DataFrame, batch: str, local_id: str) -> DataFrame:
     sizes = df.groupBy(batch).agg((F.max(local_id) + 1).alias("size"))
     offset = F.coalesce(F.sum("size").over(Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.join(sizes.select(batch, offset.alias("offset")), batch).withColumn("global_id", F.col("offset") + F.col(local_id))
+
+
+def join_by_steps(gold: DataFrame, pred: DataFrame, query: str, steps: str, order: str, value: str) -> DataFrame:
+    """``gold`` plus ``value`` of the prediction of the same query and the same
+    tools by step id; of several the last in ``order``. Rows without one go."""
+    key = F.to_json(F.array_sort(F.transform(steps, lambda s: F.struct(s["step_id"].alias("i"), s["tool_name"].alias("t")))))
+    last = pred.groupBy(query, key.alias("_steps")).agg(F.max_by(value, order).alias(value))
+    return gold.withColumn("_steps", key).join(last, [query, "_steps"]).drop("_steps")
+
+
+def disagreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """``(side, n)``: distinct keys only in ``a``, only in ``b`` and in both."""
+    tagged = a.select(key, F.lit(1).alias("s")).union(b.select(key, F.lit(2).alias("s")))
+    where = tagged.groupBy(key).agg(F.bit_or("s").alias("s"))
+    one = where.agg(*(F.count_if(F.col("s") == i).alias(n) for i, n in ((1, "only_a"), (2, "only_b"), (3, "both"))))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("side"), F.col(n).alias("n")) for n in ("only_a", "only_b", "both")))).alias("x")).select("x.*")
+
+
+def leaking_groups(rows: DataFrame, group: str, split: str = "split") -> DataFrame:
+    """Groups whose rows lie in more than one split; none if a split is sound."""
+    return rows.groupBy(group).agg(F.min(split).alias("a"), F.max(split).alias("b")).where("a <> b").select(group)

@@ -120,3 +120,12 @@ def quota_slots(n: int, shares: dict[str, float]) -> list[str]:
     types = [t for t in shares if t != "none"]
     slots += [types[i % len(types)] for i in range(n - len(slots)) if types]
     return slots[:n]
+
+
+def candidates(gold: DataFrame, n: int, shares: dict[str, float], steps: str = "steps") -> DataFrame:
+    """``n`` candidates of each gold plan: columns of ``gold`` plus slot,
+    error_type, injected and changed, by ``quota_slots``. ``gold`` needs
+    ``all_tools`` (sorted names) if wrong_tool is among the shares."""
+    slots = F.array(*(F.struct(F.lit(i).alias("slot"), F.lit(t).alias("error_type"), injector(t, steps).alias("r")) for i, t in enumerate(quota_slots(n, shares))))
+    out = gold.select("*", F.explode(slots).alias("_c"))
+    return out.select(*gold.columns, "_c.slot", "_c.error_type", F.col("_c.r.steps").alias("injected"), F.col("_c.r.changed").alias("changed"))

@@ -63,6 +63,19 @@ _VAR = r"'^\\D*(\\d+)[^=]*='"
 _CALL = r"'^([^(]+)\\((.*?)\\)?\\s*$'"
 
 
+def _mixed(text: str) -> str:
+    """Strict, but a line without an assignment gets its step's variable."""
+    named = rf"l rlike '\\{{\\{{\\d+\\}}\\}}\\s*='"
+    bare = r"'^Step \\d+:\\s*([a-zA-Z_]\\w*)\\((.*)\\)\\s*$'"
+    call = r"'=\\s*([^(]+)\\((.*)\\)\\s*$'"
+    lines = rf"filter(transform(split({text}, '\n'), l -> btrim(l, ' \t\r\n')), l -> l rlike '^Step (\\d+):' and if({named}, l rlike '=\\s*[^(]+\\(.*\\)\\s*$', l rlike {bare}))"
+    part = lambda i: f"if({named}, regexp_extract(l, {call}, {i}), regexp_extract(l, {bare}, {i}))"
+    n = r"cast(regexp_extract(l, '^Step (\\d+):', 1) as int)"
+    variable = rf"if({named}, regexp_extract(l, '(\\{{\\{{\\d+\\}}\\}})\\s*=', 1), concat('{{{{', {n}, '}}}}'))"
+    step = f"named_struct('step_id', {n}, 'tool_name', btrim({part(1)}), 'params', {params(part(2))}, 'output_variable', {variable})"
+    return _number(f"transform({lines}, l -> {step})")
+
+
 def _robust(text: str) -> str:
     clean = rf"replace(regexp_replace({text}, '```[a-zA-Z0-9_+-]*\n?', ''), '```', '')"
     heads = rf"filter(split({clean}, '\n'), l -> btrim(l) rlike {HEADER})"
@@ -81,13 +94,16 @@ def parse_plan(column: str, dialect: str = "strict") -> Column:
     give an empty array. Lines that do not parse are skipped.
 
     strict: ``Step N: {{N}} = tool(k=v, ...)``. lenient: the assignment may be
-    missing; used where strict finds nothing. robust: also fences, bullets, other
+    missing; used where strict finds nothing. mixed: the assignment may be missing
+    in any line. robust: also fences, bullets, other
     keywords, ``{N}`` and ``var0`` variables, unclosed calls."""
     text = f"coalesce({column}, '')"
     if dialect == "strict":
         return F.coalesce(F.expr(_strict(text)), F.expr(_EMPTY))
     if dialect == "lenient":
         return F.expr(f"if(size({_strict(text)}) > 0, {_strict(text)}, {_lenient(text)})")
+    if dialect == "mixed":
+        return F.expr(_mixed(text))
     if dialect == "robust":
         return F.expr(_robust(text))
     raise ValueError(f"no dialect {dialect}")

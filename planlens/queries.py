@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from planlens.functions import maths, text
@@ -12,9 +10,7 @@ from planlens.operators import execute, metrics, report, retrieve, score, select
 from planlens.operators.metrics import r6, share
 from planlens.plans import compare, corpus, inject, parse, validate
 from planlens.plans.schema import ECE_EDGES, ERROR_TYPES, STOP_WORDS
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from planlens.registry import QUERIES, query
 
 _STEPS = """v_steps as (
   select l_orderkey as plan_id, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1)::int as pos,
@@ -33,17 +29,7 @@ _TOOLS = """v_tools as (select tool_name, case when k % 3 = 0 then ['arg_0', 'ex
   from (select replace(p_name, ' ', '_') as tool_name, min(p_partkey) as k from part group by 1) where k % 7 <> 3)"""
 
 
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def steps_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def steps_of(spark, sf_dir):
     """Parsed steps with the number of steps of their plan."""
     return corpus.parsed(spark, sf_dir).select("plan_id", F.size("steps").alias("n_steps"), F.explode("steps").alias("s")).select("plan_id", "n_steps", "s.*")
 

@@ -6,7 +6,8 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from planlens.queries import ORACLES, QUERIES  # noqa: E402
+from planlens import more_queries, queries  # noqa: E402, F401
+from planlens.registry import ORACLES, QUERIES  # noqa: E402
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

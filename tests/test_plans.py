@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from planlens.functions import maths, text
-from planlens.operators import execute, metrics, select
-from planlens.plans import compare, inject, parse, validate
+from planlens import sql
+from planlens.operators import catalog, execute, metrics, report, select
+from planlens.plans import compare, extract, inject, parse, render, validate
 from planlens.sources import io
 from planlens.streaming import running
 
@@ -153,3 +154,79 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.sparkSession.read.parquet(str(tmp_path / "in")).count()
     batch = running.windowed_counts(rows, "ts", "v", "1 hour")
     assert sum(r.n for r in batch.collect()) == 200
+
+
+def test_extraction(spark):
+    one = lambda c, *v: spark.createDataFrame([v], ", ".join(f"c{i} string" for i in range(len(v)))).select(c).first()[0]
+    c = F.col
+    assert one(extract.first_step(c("c0")), "Step 0: {{0}} = f(a='(')\nStep 1: g()") == "Step 0: {{0}} = f(a='(')"
+    assert one(extract.first_step(c("c0")), "Step 4: x1 = f() ") == "Step 4: {{4}} = f()" and one(extract.first_step(c("c0")), "nothing") is None
+    assert one(extract.assign(c("c0")), "  Step 2 : f(x) ") == "Step 2: {{2}} = f(x)" and one(extract.assign(c("c0")), "Note: x") == "Note: x"
+    assert one(extract.react_plan(c("c0")), None) == "" and one(extract.step_lines(c("c0")), "a\n Step 1: x\n") == "Step 1: x"
+    assert one(extract.decision(c("c0"), F.lit(1)), None) == "caller" and one(extract.decision(c("c0"), F.lit(1)), "NEXT: Give Up before conclusion") == "give up"
+    assert one(extract.candidates(c("c0"), 2), None) == [] and one(extract.candidates(c("c0"), 2), "no\nCandidate 3: COMPLETED") == []
+    assert one(extract.repair(c("c0"), F.lit(0), F.lit("t")), None) is None
+    assert one(extract.label_refs(c("c0"), F.array(F.lit("$var1"))), "$var_1.x$$var_1.y$, $var_2.z$") == "{{0}}{{0}}, $var_2.z$"
+    a = one(extract.annotation(c("c0"), c("c0"), c("c0"), c("c0")), None)
+    assert tuple(a) == (50, "uncertain", 0.5, False)
+    assert one(extract.annotation(F.lit("50"), F.lit("yes"), F.lit("0"), c("c0")), "quality_score: 999").quality_score == 100
+
+
+def test_rendering(spark):
+    row = lambda c: spark.range(1).select(c).first()[0]
+    for x in ("a", "it's", 'say "x"', "both ' and \"", "back\\slash", "two\nlines\tand tabs", ""):
+        assert row(render.literal(F.lit(x))) == repr(x)
+    ids = lambda *x: F.array(*map(F.lit, x))
+    assert tuple(row(render.masked_labels(ids(1, 2), ids(3, 4), 3))) == ([1, 2, 3], [-100, -100, 3])
+    assert row(render.masked_labels(ids(1, 2), ids(3), 2)) is None
+    assert [m.role for m in row(render.chat(F.lit("s"), F.lit("u")))] == ["system", "user"]
+
+
+def test_catalogs(spark):
+    t = spark.createDataFrame([(1, 2, "x", "b"), (1, 1, "x", "a"), (1, 3, "y", "c")], "q int, ord int, api string, nl string")
+    assert sorted((r.api, r.nl) for r in catalog.by_api_name(t, "q", "nl", "ord", "api").collect()) == [("x", "a"), ("y", "c")]
+    s = spark.createDataFrame([(None,), ("{}",), ('{"a": "int", "b": null}',)], "s string").select(catalog.parameters(F.col("s")).alias("p")).collect()
+    assert s[0].p is None and s[1].p == [] and [(x.name, x.type) for x in s[2].p] == [("a", "int"), ("b", "any")]
+    g = spark.createDataFrame([(1, [[0.1, 0.1], [0.9, 0.9], [0.0, 0.2]], ["u", "v"]), (2, [[1.0]], [])], "q int, s array<array<double>>, t array<string>")
+    assert [r.tool for r in catalog.greedy_assign(g, "q", "s", "t").orderBy("pos").collect()] == ["u", "v", "v"]
+
+
+def call(pos, tool, **params):
+    return {"pos": pos, "step_id": pos, "tool_name": tool, "params": [{"k": k, "v": v} for k, v in params.items()], "output_variable": f"{{{{{pos}}}}}"}
+
+
+def test_interpreter_calls():
+    run = execute.run_plan
+    assert run([call(0, "subtract", arg_1="1", arg_0="5"), call(1, "power", arg_0="{{0}}", arg_1="2")]) == ("ok", "16", None)
+    assert run([call(0, "add", arg_0="1", other="2")])[0] == "call_error" and run([call(0, "add", arg_0="{{3}}", arg_1="2")])[0] == "unresolved_ref"
+    assert run([call(0, "max_number", numbers="[1, '{{9}}']")])[0] == "unresolved_ref" and run([call(0, "t", a="1")], {"t": lambda a: {"error": "no"}})[0] == "tool_error"
+    picky = {"t": lambda a, opt=None: {"error": "bad opt"} if opt else {"result": {"value": a}}}
+    assert run([call(0, "t", a="4", opt="2")], picky, {"t": {"required": ["a"]}}) == ("ok", "4", None)
+    assert run([call(0, "add", arg_0="'1,000'", arg_1="2")], specs={"add": {"types": {"arg_0": "integer"}}}) == ("ok", "1002", None)
+    big = [call(0, "power", base="500", exponent="500"), call(1, "power", base="{{0}}", exponent="500")]
+    assert run(big)[0] == "call_error" and run(big[:1])[1] and run([call(0, "multiply", arg_0="'ab'", arg_1="999999999")])[0] == "call_error"
+    assert run([call(i, "negate", number="1") for i in range(201)])[0] == "timeout"
+
+
+def test_grounded_runs():
+    hops = [{"tool": "find", "question": "who?", "answer": "Alan Dale"}, {"tool": "born", "question": "when?", "answer": "1947"}]
+    run = execute.run_grounded
+    assert run([call(0, "find", q="'x'"), call(1, "born", p="{{0}}")], hops, "q") == ("ok", "1947", None)
+    assert run([call(0, "find", q="'x'"), call(1, "when?", p="['Mr {{0}}']")], hops, None)[0] == "ok"
+    assert run([call(0, "find", q="'x'"), call(1, "born", p="'Bob'")], hops, "q") == ("tool_error", None, 1)
+    assert run([call(0, "born", p="'big show'")], hops, "The big  show now")[0] == "ok" and run([call(0, "zz")], hops, "")[0] == "unknown_tool"
+    assert run([], hops, "")[0] == "parse_empty" and run([call(0, "find")], [], "")[0] == "uncovered"
+
+
+def test_sql_surface(spark):
+    sql.register(spark)
+    spark.createDataFrame([(1, V), (2, None), (3, P2)], "i int, t string").createOrReplaceTempView("written")
+    assert [tuple(r) for r in spark.sql("select i, pos, tool_name from written, lateral parse_plan(t) order by 1, 2").collect()] == [(1, 0, "add"), (1, 1, "multiply"), (1, 2, "add")]
+    assert spark.sql("select count(*) from written, lateral parse_plan_mixed(t)").first()[0] == 5
+
+
+def test_failure_budget(spark):
+    calls = spark.range(100).withColumn("failed", F.col("id") < 6)
+    assert report.within_failure_budget(calls.where("id > 0"), F.col("failed") & (F.col("id") > 2)).count() == 99
+    with pytest.raises(RuntimeError):
+        report.within_failure_budget(calls, F.col("failed"))
