@@ -39,13 +39,34 @@ def _nearest_middle(steps: str, condition: str, least: int = 0) -> str:
     return f"array_min(transform({found}, x -> named_struct('d', x.d, 'i', x.i))).i"
 
 
+_WHOLE, _NUMBER = "'^-?[0-9]+$'", "'^-?[0-9]+([.][0-9]+)?$'"
+#: SQL: a quoted text of over three characters without references.
+_WORDY = "(p.v rlike '^([\\'\"]).*\\\\1$' and length(p.v) > 5 and p.v not like '%{{%')"
+
+
+def _typo_target(s: str, i: str) -> str:
+    """The parameter that a typo hits: in the first step a text or a number, later a number."""
+    return f"get(filter({s}.params, p -> p.v rlike {_NUMBER} or ({i} = 0 and {_WORDY})), 0)"
+
+
+def _typo(v: str) -> str:
+    """A whole number plus one, another number plus a tenth of itself (0.1 at
+    least), a text with an x in its middle."""
+    x = f"cast({v} as double)"
+    return f"""case when {v} rlike {_WHOLE} then cast(cast({v} as decimal(38,0)) + 1 as string)
+      when {v} rlike {_NUMBER} then cast(round({x} + greatest(0.1D, abs({x}) * 0.1D), 6) as string)
+      else concat(left({v}, length({v}) div 2), 'x', substr({v}, length({v}) div 2 + 1)) end"""
+
+
 def _literal(s: str) -> str:
     return f"get(filter({s}.params, p -> p.v not like '%{{{{%'), 0)"
 
 
-def injector(error_type: str, steps: str = "steps", tools: str = "all_tools") -> Column:
-    """``struct<steps, changed>`` for one error type. ``tools`` (sorted names of
-    the catalog, for wrong_tool) is only read by that injector."""
+def injector(error_type: str, steps: str = "steps", tools: str = "all_tools", specs: str | None = None) -> Column:
+    """``struct<steps, changed>`` for one error type. ``tools`` (names of the
+    catalog) or ``specs`` (structs ``name, required``) is read by wrong_tool only:
+    with specs, a tool that requires none of the step's parameters comes before
+    one that requires some, and that before one that would accept them all."""
     n = f"size({steps})"
     if error_type == "type_mismatch":
         i = _nearest_middle(steps, f"{_literal('s')} is not null")
@@ -55,14 +76,16 @@ def injector(error_type: str, steps: str = "steps", tools: str = "all_tools") ->
         key = "get(filter(s.params, p -> p.v like '%{{%'), 0).k"
         new, where = _at(steps, i, _set("s", key, "'\\'hardcoded_value\\''")), f"{n} >= 2 and {i} is not null"
     elif error_type == "wrong_tool":
-        own = f"get({steps}, {n} div 2).tool_name"
-        pool = f"filter({tools}, t -> t <> {own})"
-        pick = f"array_min(transform({pool}, t -> named_struct('h', md5(concat({own}, t)), 't', t))).t"
+        own, held = f"get({steps}, {n} div 2).tool_name", f"get({steps}, {n} div 2).params.k"
+        named = f"transform({tools}, t -> named_struct('name', t, 'required', cast(array() as array<string>)))" if not specs else specs
+        pool = f"filter({named}, t -> t.name <> {own})"
+        rank = f"case when size(t.required) = 0 or size(array_union(array_except(t.required, {held}), array_except({held}, t.required))) = 0 then 2 when arrays_overlap(t.required, {held}) then 1 else 0 end"
+        pick = f"array_min(transform({pool}, t -> named_struct('r', {rank}, 'h', md5(concat({own}, t.name)), 't', t.name))).t"
         new, where = _at(steps, f"{n} div 2", _step("s", tool_name=pick)), f"{n} >= 1 and size({pool}) > 0"
     elif error_type == "parameter_typo":
-        i = f"array_min(filter(transform({steps}, (s, i) -> if(exists(s.params, p -> p.v rlike '^-?[0-9]+$'), i, null)), i -> i is not null))"
-        key = "get(filter(s.params, p -> p.v rlike '^-?[0-9]+$'), 0)"
-        new, where = _at(steps, i, _set("s", f"{key}.k", f"cast(cast({key}.v as bigint) + 1 as string)")), f"{i} is not null"
+        i = f"array_min(filter(transform({steps}, (s, i) -> if({_typo_target('s', 'i')} is not null, i, null)), i -> i is not null))"
+        key = _typo_target("s", "j")
+        new, where = _at(steps, i, _set("s", f"{key}.k", _typo(f"{key}.v"))), f"{i} is not null"
     elif error_type == "circular_dependency":
         refers = f"exists(slice({steps}, i + 2, {n}), t -> exists(t.params, p -> p.v like concat('%{{{{', i, '}}}}%')))"
         i = f"array_min(filter(transform({steps}, (s, i) -> if(i < {n} - 1 and size(s.params) > 0 and {refers}, i, null)), i -> i is not null))"
@@ -97,6 +120,36 @@ def inject(df: DataFrame, error_type: str, steps: str = "steps") -> DataFrame:
     return out.withColumn("injected", F.col("_i.steps")).withColumn("changed", F.col("_i.changed")).drop("_i")
 
 
+def injector_v1(error_type: str, steps: str = "steps", tools: str = "all_tools") -> Column:
+    """``struct<steps, changed>`` by the first family's rules: fixed places only,
+    and the label stays on plans that it leaves as they are (``changed`` false)."""
+    n, mid = f"size({steps})", f"(size({steps}) div 2)"
+    first = "get(s.params, 0).k"
+    if error_type == "type_mismatch":
+        hit = "get(filter(s.params, p -> p.v not like '%{{%' and p.v rlike '^([\\'\"\\\\[]|-?[0-9])'), 0)"
+        new = _at(steps, mid, _set("s", f"{hit}.k", f"if({hit}.v rlike '^[\\'\"]', '42', '\\'invalid_string\\'')"))
+    elif error_type == "missing_dependency":
+        new = _at(steps, f"if({mid} > 0, {mid}, -1)", _set("s", "get(filter(s.params, p -> p.v like '%{{%'), 0).k", "'\\'hardcoded_value\\''"))
+    elif error_type == "parameter_typo":
+        hit = f"get(filter(s.params, p -> {_WORDY}), 0)"
+        new = _at(steps, "0", _set("s", f"{hit}.k", _typo(f"{hit}.v")))
+    elif error_type == "circular_dependency":
+        new = _at(steps, f"if({n} > 1, 0, -1)", _set("s", first, "'{{1}}'"))
+    elif error_type == "inefficient_order":
+        swapped = f"concat(slice({steps}, 1, greatest({n} - 2, 0)), slice({steps}, {n}, 1), slice({steps}, greatest({n} - 1, 1), 1))"
+        new = f"if({n} < 3, {steps}, transform({swapped}, (s, i) -> {_step('s', pos='i', step_id='i')}))"
+    elif error_type == "unnecessary_steps":
+        moved = injector("unnecessary_steps", steps)  # same but for output variables, which stay stale here
+        made = moved["steps"]
+        stale = F.transform(made, lambda s, i: F.when(i > F.expr(mid), s.withField("output_variable", F.get(F.col(steps), i - 1)["output_variable"])).otherwise(s))
+        return F.struct(F.when(moved["changed"], stale).otherwise(F.col(steps)).alias("steps"), moved["changed"].alias("changed"))
+    elif error_type == "forward_reference":
+        new = _at(steps, f"if({n} > 2, 1, -1)", _set("s", first, "'{{2}}'"))
+    else:
+        return injector(error_type, steps, tools)
+    return F.expr(f"named_struct('steps', {new}, 'changed', {new} <> {steps})")
+
+
 def inject_first(df: DataFrame, order: list[str], steps: str = "steps") -> DataFrame:
     """The first error type of ``order`` that changes the plan; else the plan as it is, labelled none."""
     results = F.array(*(F.struct(F.lit(t).alias("t"), injector(t, steps).alias("r")) for t in order))

@@ -452,6 +452,28 @@ def _wrong_tools(f):
 _wrong_tools("inject_wrong_tool")
 
 
+def _v1(error_type, line, source="s", order="pos", changed="k >= 2"):
+    return f"select plan_id, '{error_type}' as error_type, any_value({changed}) as changed, md5(string_agg(line, chr(10) order by ord)) as text_md5 from (select plan_id, {order} as ord, k, {line} as line from {source}) group by plan_id"
+
+
+_SWAPPED = "(case when k >= 3 and pos = k - 1 then k - 2 when k >= 3 and pos = k - 2 then k - 1 else pos end)"
+
+
+@query(f"with {_N} " + " union all ".join([
+    _v1("circular_dependency", _line(a="case when pos = 0 and k >= 2 then '{{1}}' else qty::varchar end")),
+    _v1("forward_reference", _line(a="case when pos = 1 and k > 2 then '{{2}}' else qty::varchar end"), changed="k > 2"),
+    _v1("inefficient_order", _line(i=_SWAPPED, o="pos"), order=_SWAPPED, changed="k > 2"),
+    _v1("unnecessary_steps", _line(o="(case when k >= 2 and pos > k // 2 then orig else pos end)", b="case when ref is not null then ', arg_1={{' || ref || '}}' else '' end"), source=_DUP),
+]))
+def inject_first_family(spark, sf_dir):
+    """Injectors of the first family that differ from the second's."""
+    types = ("circular_dependency", "forward_reference", "inefficient_order", "unnecessary_steps")
+    made = F.array(*(F.struct(F.lit(t).alias("error_type"), inject.injector_v1(t).alias("r")) for t in types))
+    p = corpus.parsed(spark, sf_dir).where("size(steps) > 0").select("plan_id", F.explode(made).alias("m"))
+    p = p.select("plan_id", "m.error_type", "m.r.changed", F.col("m.r.steps").alias("steps"))
+    return p.select("plan_id", "error_type", "changed", F.md5(parse.format_plan("steps").cast("binary")).alias("text_md5"))
+
+
 @query(f"with {_N} select plan_id, k >= 2 as changed, greatest(k - 1, 1)::int as n_steps, (greatest(k - 1, 1) - 1)::int as n_refs from n")
 def compound_errors_2(spark, sf_dir):
     p = inject.compound(corpus.parsed(spark, sf_dir).where("size(steps) > 0"), ["incomplete_plan", "type_mismatch"])

@@ -79,6 +79,29 @@ def test_wrong_tool(spark):
     assert inject.inject(df, "wrong_tool").first().injected[1].tool_name in ("add", "negate")
 
 
+def test_wrong_tool_prefers_what_fails(spark):
+    spec = lambda n, *r: F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, r)).cast("array<string>").alias("required"))
+    for specs, want in (([spec("multiply", "z"), spec("a", "arg_0", "arg_1"), spec("b", "arg_0"), spec("c", "x"), spec("d")], "c"), ([spec("a", "arg_1", "arg_0"), spec("b", "arg_0"), spec("d")], "b"), ([spec("a", "arg_1", "arg_0")], "a")):
+        r = parsed(spark, V).withColumn("specs", F.array(*specs)).select(inject.injector("wrong_tool", specs="specs").alias("r")).first().r
+        assert r.changed and r.steps[1].tool_name == want
+
+
+def test_typos(spark):
+    typo = lambda t: inject.inject(parsed(spark, t), "parameter_typo").select("changed", parse.format_plan("injected").alias("t")).first()
+    assert typo("Step 0: {{0}} = f(a='abc', b='word', c=1)").t == "Step 0: {{0}} = f(a='abc', b='woxrd', c=1)"
+    assert typo("Step 0: {{0}} = f(a=2.5)").t == "Step 0: {{0}} = f(a=2.75)" and typo("Step 0: {{0}} = f(a=-3)").t == "Step 0: {{0}} = f(a=-2)"
+    assert typo("Step 0: {{0}} = f(a='abc')\nStep 1: {{1}} = g(s='words', n=9)").t.endswith("g(s='words', n=10)") and not typo("Step 0: {{0}} = f(a='abc')").changed
+
+
+def test_first_family(spark):
+    made = lambda t, kind: parsed(spark, t).select(inject.injector_v1(kind).alias("r")).select("r.changed", parse.format_plan("r.steps").alias("t")).first()
+    two = "\n".join(V.split("\n")[:2])
+    assert made(two, "missing_dependency").t.endswith("multiply(arg_0='hardcoded_value', arg_1=4)") and not made(V.split("\n")[0], "missing_dependency").changed
+    assert made(two, "type_mismatch").t.endswith("multiply(arg_0={{0}}, arg_1='invalid_string')") and made("Step 0: {{0}} = f(a='x')", "type_mismatch").t == "Step 0: {{0}} = f(a=42)"
+    assert made("Step 0: {{0}} = f(n=12345, a='word')", "parameter_typo").t == "Step 0: {{0}} = f(n=12345, a='woxrd')" and not made(V, "parameter_typo").changed
+    assert not made(two, "inefficient_order").changed and not made(two, "forward_reference").changed and made(two, "incomplete_plan").changed
+
+
 def test_quota():
     slots = inject.quota_slots(10, {"none": 0.15, "a": 0.5, "b": 0.1, "c": 0.1})
     assert slots == ["none", "a", "a", "a", "a", "b", "c", "a", "b", "c"]
