@@ -178,17 +178,16 @@ def greedy_assign(spark, sf_dir):
 # -- candidates, joins and sets -------------------------------------------------
 
 _SHARES = {"none": 0.15, "type_mismatch": 0.10, "missing_dependency": 0.10, "wrong_tool": 0.15, "parameter_typo": 0.10, "circular_dependency": 0.05, "inefficient_order": 0.10, "incomplete_plan": 0.10, "unnecessary_steps": 0.10, "forward_reference": 0.05}
-_CHANGED = "case error_type when 'none' then true when 'type_mismatch' then true when 'wrong_tool' then true when 'parameter_typo' then true when 'inefficient_order' then false else k >= 2 end"
+_CHANGED = "case error_type when 'none' then true when 'type_mismatch' then true when 'wrong_tool' then others when 'parameter_typo' then true when 'inefficient_order' then false else k >= 2 end"
 
 
-@query(f"""with {_PLANS}, n as (select plan_id, count(*) as k from v_steps group by 1), c(slot, error_type) as (values {", ".join(f"({i}, '{t}')" for i, t in enumerate(ERROR_TYPES))})
+@query(f"""with {_PLANS}, t as (select plan_id // 10 as q, count(distinct tool_name) > 1 as others from v_steps group by 1), n as (select plan_id, count(*) as k, any_value(others) as others from v_steps join t on q = plan_id // 10 group by 1), c(slot, error_type) as (values {", ".join(f"({i}, '{t}')" for i, t in enumerate(ERROR_TYPES))})
   select v_plans.query_id, c.slot::int as slot, c.error_type, {_CHANGED.replace("error_type", "c.error_type")} as changed, (k + case c.error_type when 'incomplete_plan' then case when k >= 2 then -1 else 0 end when 'unnecessary_steps' then case when k >= 2 then 1 else 0 end else 0 end)::int as n_steps
   from v_plans join n using (plan_id), c where v_plans.slot = 0""")
 def quota_candidates(spark, sf_dir):
     """Ten candidates of each gold plan by quota."""
     gold = corpus.parsed(spark, sf_dir).where("slot = 0 and size(steps) > 0").select("query_id", "steps")
-    names = corpus.catalog(spark, sf_dir).agg(F.array_sort(F.collect_set("tool_name")).alias("all_tools"))  # one row
-    out = inject.candidates(gold.join(F.broadcast(names)), 10, _SHARES)
+    out = inject.candidates(gold.join(corpus.query_tools(spark, sf_dir), "query_id"), 10, _SHARES)
     return out.select("query_id", "slot", "error_type", "changed", F.size("injected").alias("n_steps"))
 
 

@@ -71,3 +71,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     tools = table(spark, sf_dir, "part").groupBy(F.replace("p_name", F.lit(" "), F.lit("_")).alias("tool_name")).agg(F.min("p_partkey").alias("k"))
     required = F.when(F.col("k") % 3 == 0, F.array(*map(F.lit, ("arg_0", "extra", "note")))).otherwise(F.array(F.lit("arg_0"), F.lit("note")))
     return tools.where("k % 7 <> 3").select("tool_name", required.alias("required"), F.when(F.col("k") % 5 == 0, "string").otherwise("integer").alias("arg_0_type"))
+
+
+def query_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, all_tools: the sorted names that a query's candidate plans call, which are few."""
+    steps = raw_steps(spark, sf_dir).select(F.expr("plan_id div 10").alias("query_id"), "tool_name")
+    return steps.groupBy("query_id").agg(F.array_sort(F.collect_set("tool_name")).alias("all_tools"))

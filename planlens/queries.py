@@ -10,7 +10,7 @@ from planlens.operators import execute, metrics, report, retrieve, score, select
 from planlens.operators.metrics import r6, share
 from planlens.plans import compare, corpus, inject, parse, validate
 from planlens.plans.schema import ECE_EDGES, ERROR_TYPES, STOP_WORDS
-from planlens.registry import QUERIES, query
+from planlens.registry import query
 
 _STEPS = """v_steps as (
   select l_orderkey as plan_id, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1)::int as pos,
@@ -426,7 +426,6 @@ def _inject_query(error_type, sql):
 _DUP = "(select plan_id, pos, pos as ord, tool_name, qty, flag, status, k, pos as orig, case when pos > 0 then pos - 1 end as ref from s where pos < mid or k < 2 union all select plan_id, mid, mid, tool_name, qty, flag, status, k, 0, null from s where pos = 0 and k >= 2 union all select plan_id, pos + 1, pos + 1, tool_name, qty, flag, status, k, pos, case when pos > 0 then case when pos - 1 >= mid then pos else pos - 1 end end from s where pos >= mid and k >= 2)"
 _inject_query("type_mismatch", _injected(_line(a="case when pos = mid then '''invalid_string''' else qty::varchar end"), changed="true"))
 _inject_query("missing_dependency", _injected(_line(b="case when pos > 0 then ', arg_1=' || case when pos = greatest(mid, 1) then '''hardcoded_value''' else '{{' || (pos - 1) || '}}' end else '' end")))
-_inject_query("wrong_tool", f"with {_N}, t as (select distinct tool_name as x from v_steps), m as (select plan_id, tool_name as own from s where pos = mid), o as (select own, (select x from t where x <> own order by md5(own || x), x limit 1) as pick from (select distinct own from m)), w as (select s.plan_id, pos, {_line(t='case when pos = mid then pick else tool_name end')} as line from s join m using (plan_id) join o using (own)) select plan_id, true as changed, md5(string_agg(line, chr(10) order by pos)) as text_md5 from w group by plan_id")
 _inject_query("parameter_typo", _injected(_line(a="case when pos = 0 then qty + 1 else qty end"), changed="true"))
 _inject_query("circular_dependency", _injected(_line(a="case when pos = 0 and k >= 2 then '{{1}}' else qty::varchar end")))
 _inject_query("incomplete_plan", _injected(_line(), source="(select * from s where pos < k - 1 or k = 1)"))
@@ -436,20 +435,12 @@ _inject_query("forward_reference", _injected(_line(a="case when pos = 0 and k >=
 _inject_query("inefficient_order", _injected(_line(), changed="false"))
 
 
-def _wrong_tools(f):
-    """wrong_tool draws from the names of the whole catalog, a few dozen."""
-
-    def g(spark, sf_dir):
-        names = corpus.raw_steps(spark, sf_dir).agg(F.array_sort(F.collect_set("tool_name")).alias("all_tools"))
-        p = corpus.parsed(spark, sf_dir).where("size(steps) > 0").join(F.broadcast(names))
-        p = inject.inject(p, "wrong_tool")
-        return p.select("plan_id", "changed", F.md5(parse.format_plan("injected").cast("binary")).alias("text_md5"))
-
-    g.__name__ = f
-    QUERIES[f] = g
-
-
-_wrong_tools("inject_wrong_tool")
+@query(f"with {_N}, t as (select distinct plan_id // 10 as q, tool_name as x from v_steps), m as (select plan_id, plan_id // 10 as q, tool_name as own from s where pos = mid), o as (select q, own, arg_min(x, md5(own || x)) as pick from (select distinct q, own from m) join t using (q) where x <> own group by 1, 2), w as (select s.plan_id, pos, pick is not null as ok, {_line(t='case when pos = mid then coalesce(pick, tool_name) else tool_name end')} as line from s join m using (plan_id) left join o using (q, own)) select plan_id, any_value(ok) as changed, md5(string_agg(line, chr(10) order by pos)) as text_md5 from w group by plan_id")
+def inject_wrong_tool(spark, sf_dir):
+    """The middle step calls another tool of its query's catalog."""
+    p = corpus.parsed(spark, sf_dir).where("size(steps) > 0").join(corpus.query_tools(spark, sf_dir), "query_id")
+    p = inject.inject(p, "wrong_tool")
+    return p.select("plan_id", "changed", F.md5(parse.format_plan("injected").cast("binary")).alias("text_md5"))
 
 
 def _v1(error_type, line, source="s", order="pos", changed="k >= 2"):
