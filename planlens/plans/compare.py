@@ -22,8 +22,8 @@ def keywords(v: str) -> str:
 
 def functional(a: str, b: str) -> str:
     """SQL: Jaccard of keywords to three places; 0 if either has none."""
-    ka, kb = keywords(a), keywords(b)
-    return f"if(size({ka}) = 0 or size({kb}) = 0, 0.0D, round(size(array_intersect({ka}, {kb})) / cast(size(array_union({ka}, {kb})) as double), 3))"
+    # a one-element transform names both sets, so that each is made once
+    return f"transform(array(named_struct('a', {keywords(a)}, 'b', {keywords(b)})), w -> if(size(w.a) = 0 or size(w.b) = 0, 0.0D, round(size(array_intersect(w.a, w.b)) / cast(size(array_union(w.a, w.b)) as double), 3)))[0]"
 
 
 def refs(p: str) -> str:
@@ -40,7 +40,7 @@ def compare(df: DataFrame, gen: str = "steps", gold: str = "gold_steps", empty_d
     zipped = f"filter(arrays_zip({gen}, {gold}), z -> z.{gen} is not null and z.{gold} is not null)"
     z = f"transform({zipped}, z -> named_struct('a', z.{gen}, 'b', z.{gold}))"
     va, vb = normal("get(filter(z.a.params, q -> q.k = p.k), 0).v"), normal("p.v")
-    shared = f"filter(z.b.params, p -> exists(z.a.params, q -> q.k = p.k) and ({va} = {vb} or contains({va}, {vb}) or contains({vb}, {va})))"
+    shared = f"filter(z.b.params, p -> exists(z.a.params, q -> q.k = p.k) and exists(array(named_struct('a', {va}, 'b', {vb})), w -> contains(w.a, w.b) or contains(w.b, w.a)))"
     per = f"""transform({z}, z -> named_struct(
         'tool', cast(lower(btrim(z.a.tool_name)) = lower(btrim(z.b.tool_name)) as int),
         'func', {functional("z.a.tool_name", "z.b.tool_name")},

@@ -10,12 +10,26 @@ from .schema import PLAN
 _EMPTY = f"cast(array() as {PLAN})"
 
 
+#: SQL: runs of characters that mean nothing to the splitter, or one that may.
+_TOKENS = r"""'[^\'"(),\\[\\]{}]+|[\\s\\S]'"""
+
+
+#: SQL: argument lists whose commas outside of quotes all separate, and the pieces
+#: of one. Longer lists are folded, as Java matches groups by recursion.
+_FLAT, _PIECE, _FLAT_LENGTH = (
+    r"""'^(?:[^\'"(){}\\[\\]]++|\'[^\']*+\'|"[^"]*+"|\\{\\{\\d++\\}\\})*+$'""",
+    r"""'(?:[^,\'"(){}\\[\\]]++|\'[^\']*+\'|"[^"]*+"|\\{\\{\\d++\\}\\})++'""",
+    2000,
+)
+
+
 def split_args(args: str, robust: bool = False) -> str:
     """SQL: the pieces of an argument list, cut at commas outside of quotes and
-    brackets. ``robust`` keeps the depth from going below zero."""
+    brackets. ``robust`` keeps the depth from going below zero. Lists without
+    brackets other than references are cut by one pattern, others by a fold;
+    the pattern leaves out empty pieces, which hold no parameter."""
     close = "greatest(s.d - 1, 0)" if robust else "s.d - 1"
-    return f"""
-    transform(array(aggregate(split({args}, ''),
+    fold = f"""aggregate(regexp_extract_all(args, {_TOKENS}, 0),
       named_struct('d', 0, 'q', '', 'cur', '', 'out', cast(array() as array<string>)),
       (s, c) -> case
         when s.q <> '' then named_struct('d', s.d, 'q', if(c = s.q, '', s.q), 'cur', concat(s.cur, c), 'out', s.out)
@@ -24,7 +38,8 @@ def split_args(args: str, robust: bool = False) -> str:
         when c in (')', ']', '}}') then named_struct('d', {close}, 'q', '', 'cur', concat(s.cur, c), 'out', s.out)
         when c = ',' and s.d = 0 then named_struct('d', 0, 'q', '', 'cur', '', 'out', concat(s.out, array(s.cur)))
         else named_struct('d', s.d, 'q', '', 'cur', concat(s.cur, c), 'out', s.out) end,
-      s -> concat(s.out, array(s.cur)))), x -> x)[0]"""
+      s -> concat(s.out, array(s.cur)))"""
+    return f"transform(array({args}), args -> if(length(args) < {_FLAT_LENGTH} and args rlike {_FLAT}, regexp_extract_all(args, {_PIECE}, 0), {fold}))[0]"
 
 
 def params(args: str, robust: bool = False) -> str:

@@ -3,6 +3,7 @@
 import gzip
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,31 @@ def test_arguments(spark):
     assert steps(spark, "Step 0: {{0}} = f(a='x, y', b=[1,2], c=g(1,2), junk, a=last)")[0][2] == {"a": "last", "b": "[1,2]", "c": "g(1,2)"}
 
 
+def split_slowly(text):
+    pieces, depth, quote = [""], 0, ""
+    for c in text:
+        if quote or c in "'\"":
+            quote = "" if c == quote else (quote or c)
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+        elif c == "," and depth == 0:
+            pieces.append("")
+            continue
+        pieces[-1] += c
+    return pieces
+
+
+def test_splitting_against_brute_force(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["a", "b=", ",", ", ", "'", "'x, y'", '"', '"p,"', "(", ")", "[", "]", "{{1}}", "{", "}", " ", "\n"], k=rng.randrange(14))) for _ in range(1500)]
+    texts += ["k=v, " * 1000, "k='" + "v, " * 900 + "', z=1", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("t", F.expr(parse.split_args("t")).alias("p"))
+    for r in df.collect():
+        assert [x for x in r.p if x] == [x for x in split_slowly(r.t) if x], r.t
+
+
 def test_round_trip(spark):
     df = parsed(spark, P1, V).withColumn("again", parse.format_plan("steps"))
     assert all(r.t == r.again for r in df.collect())
