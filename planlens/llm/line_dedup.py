@@ -1,101 +1,220 @@
-"""Repeated passages by winnowing over line hashes; DataFrame functions only.
-
-Lines are cut at line feeds and compared without white space at their ends.
-A window is a run of consecutive lines with words, as short as reaches
-``min_words`` words, taken forward from each line and backward from each line.
-
-* Winnowing: each window selects the line with the smallest hash among its
-  longest lines (a fixed order of lines, so equal windows select alike). The
-  selected lines are the fingerprints; every repeated run of ``min_words`` words
-  or more contains a whole window, so it is guaranteed to share one.
-* Positions are joined on fingerprints that occur at two places or more.
-* Matches extend both ways: windows around a joined position match if their
-  whole lines do, and overlapping matched windows make one run. A run of equal
-  lines is covered from its first line (forward windows) to its last (backward
-  windows), so this is the maximal match whatever fingerprint found it.
-* All lines of runs that occur earlier, in order of id and line, are deleted.
-
-No pair of documents is ever formed: a window joins the first occurrence of its
-content, so a passage in a third of all documents costs rows in proportion.
+"""Repeated passages by winnowing over words; DataFrame functions only.
+
+Texts are sequences of words, whatever lines they stand in. A window is
+``min_words`` consecutive words, and a word goes if it lies in a window whose
+words occur earlier in the corpus, in order of id and place. So a repeat of
+``min_words`` words or more goes from its first word to its last, wherever in a
+line it begins or ends.
+
+* Winnowing: a place is a candidate if the hash of its two words is among the
+  lowest eighth; each window selects the lowest candidate (ties: the leftmost)
+  that has ``GRAM`` words in the window, hence equal windows select alike. Those
+  words are the fingerprint; a window without a candidate is its own.
+* The consecutive windows that select one place are a block. Blocks of a
+  fingerprint at one place only are done with; of equal blocks all but the first
+  are later. Only where a fingerprint has different blocks, at the ends of
+  matches, the windows of each block's first occurrence are compared one by one.
+* Later windows that overlap or touch make one run: the maximal match.
+
+Words and windows are compared by 64-bit hashes.
+No pair of documents is ever formed: a passage in a third of all documents costs
+rows in proportion.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, discard, materialize
 
 MIN_WORDS = 50
+#: Words of a fingerprint, at most.
+GRAM = 16
+#: Windows that begin in a piece of a text; a place in a piece takes ``BITS`` bits.
+PIECE, BITS = 1 << 16, 20
+#: One place in so many is a candidate; candidates looked at on either side.
+SHARE, NEAR = 8, 8
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def line_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, th, pos, h, words, first, last)``: lines with words, their hash,
-    and the offsets in words at which they start and end. Rows of equal id and
-    text are one document."""
-    spaced = f"[{SPACE}]+"
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(_lines(F.col(text))).alias("pos", "line"))
-    line = F.regexp_replace("line", f"^{spaced}|{spaced}$", "")
-    rows = rows.withColumn("line", line).where("line <> ''")
-    rows = rows.select("id", "th", "pos", F.xxhash64("line").alias("h"), F.size(F.split("line", spaced)).alias("words")).distinct()
-    w = Window.partitionBy("id", "th").orderBy("pos")
-    return rows.withColumn("last", F.sum("words").over(w)).withColumn("first", F.col("last") - F.col("words"))
-
-
-def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """``(id, th, a, b, way, anchor, content)``: complete windows, the
-    fingerprint that each selects and the hash of its lines."""
-    by = Window.partitionBy("id", "th")
-    ahead = by.orderBy("first").rangeBetween(0, min_words - 1)
-    back = by.orderBy("last").rangeBetween(-(min_words - 1), 0)
-    pick = F.struct((-F.least("words", F.lit(min_words))).alias("len"), F.col("h"))
-    s = lines.select(
-        "id", "th", "pos",
-        F.struct(F.lit(0).alias("way"), F.col("pos").alias("a"), F.max("pos").over(ahead).alias("b"), (F.max("last").over(ahead) - F.col("first")).alias("n"), F.min(pick).over(ahead)["h"].alias("anchor"), F.xxhash64(F.collect_list("h").over(ahead)).alias("content")).alias("f"),
-        F.struct(F.lit(1).alias("way"), F.min("pos").over(back).alias("a"), F.col("pos").alias("b"), (F.col("last") - F.min("first").over(back)).alias("n"), F.min(pick).over(back)["h"].alias("anchor"), F.xxhash64(F.collect_list("h").over(back)).alias("content")).alias("g"),
-    )
-    s = s.select("id", "th", F.explode(F.array("f", "g")).alias("w")).select("id", "th", "w.*")
-    return s.where(F.col("n") >= min_words).drop("n")
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def pieces(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
+    """``(id, th, at, h)``: hashes of the words of texts of ``min_words`` words or
+    more, in pieces such that every window lies in the one in which it begins."""
+    cut = _let(
+        F.transform(_words(F.col(text)), lambda w: F.xxhash64(w)),
+        lambda v: F.when(
+            F.size(v) >= min_words,
+            F.transform(
+                F.sequence(F.lit(0), F.floor((F.size(v) - min_words) / PIECE).cast("int")),
+                lambda p: F.struct((p * PIECE).alias("at"), F.slice(v, p * PIECE + 1, F.lit(PIECE + min_words - 1)).alias("h")),
+            ),
+        ),
+    )
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.explode(cut).alias("p"))
+    return rows.select("id", "th", "p.at", "p.h")
+
+
+def blocks(cut: DataFrame, min_words: int) -> DataFrame:
+    """``(id, th, a, n, fp, content)``: windows from word ``a`` to ``a + n`` that
+    select one fingerprint, its hash and that of all words of these windows.
+
+    Windows that hold no candidate are blocks of their own."""
+    gram = min(GRAM, (min_words + 1) // 2)
+    reach, mask = min_words - gram, (1 << BITS) - 1
+    top = -(1 << 63) + (1 << 64) // SHARE
+
+    def candidates(h: Column) -> Column:
+        marks = F.transform(F.slice(h, 1, F.size(h) - gram + 1), lambda x, i: F.xxhash64(x, F.get(h, i + 1)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint")))
+        return F.filter(marks, lambda x: x < F.lit(top))
+
+    def place(v: Column) -> Column:
+        return v.bitwiseAND(F.lit(mask)).cast("int")
+
+    def of(h: Column, c: Column) -> Column:
+        last = F.size(h) - min_words
+
+        def selected(x: Column, k: Column) -> Column:
+            p = place(x)
+            # few candidates lie within reach; where they are dense, look at all
+            back = F.when((k > NEAR) & (place(F.get(c, F.greatest(k - NEAR - 1, F.lit(0)))) >= p - reach), F.lit(reach)).otherwise(NEAR)
+            ahead = F.when(F.coalesce(place(F.get(c, k + NEAR + 1)) <= p + reach, F.lit(False)), F.lit(reach)).otherwise(NEAR)
+            before = F.filter(F.slice(c, F.greatest(k - back, F.lit(0)) + 1, F.least(back, k)), lambda y: y < x)
+            after = F.filter(F.slice(c, k + 2, ahead), lambda y: y < x)
+            a = _let(before, lambda b: F.greatest(F.coalesce(place(F.get(b, F.when(F.size(b) > 0, F.size(b) - 1))) + 1, F.lit(0)), p - reach))
+            b = F.least(F.coalesce(place(F.get(after, F.lit(0))) - reach - 1, last), last, p)
+            return F.struct(a.alias("a"), b.alias("b"), p.alias("p"))
+
+        def alone(x: Column, k: Column) -> Column:
+            """Starts of windows between the candidate before ``k`` and it."""
+            a = F.coalesce(place(F.get(c, F.when(k > 0, k - 1))) + 1, F.lit(0))
+            b = F.coalesce(place(F.get(c, k)), last + reach + 1) - reach - 1
+            return F.when(a <= b, F.transform(F.sequence(a, F.greatest(a, b)), lambda i: F.struct(i.alias("a"), i.alias("b"), i.alias("p")))).otherwise(F.array().cast("array<struct<a:int,b:int,p:int>>"))
+
+        some = F.filter(F.transform(c, selected), lambda s: s["a"] <= s["b"])
+        gaps = F.filter(F.sequence(F.lit(0), F.size(c)), lambda k: F.coalesce(place(F.get(c, k)), last + reach + 1) - F.coalesce(place(F.get(c, F.when(k > 0, k - 1))), F.lit(-1)) > reach + 1)
+        rest = F.flatten(F.transform(gaps, lambda k: alone(k, k)))
+        whole = lambda s: F.xxhash64(F.slice(h, s["a"] + 1, s["b"] - s["a"] + min_words))
+        one = lambda s: F.struct(s["a"].alias("a"), (s["b"] - s["a"]).alias("n"), F.xxhash64(F.slice(h, s["p"] + 1, F.lit(gram))).alias("fp"), whole(s).alias("content"))
+        lone = lambda s: F.struct(s["a"].alias("a"), F.lit(0).alias("n"), whole(s).alias("fp"), whole(s).alias("content"))
+        return F.concat(F.transform(some, one), F.transform(rest, lone))
+
+    found = F.explode(_let(F.col("h"), lambda h: _let(candidates(h), lambda c: of(h, c)))).alias("w")
+    rows = cut.select("id", "th", "at", found)
+    return rows.select("id", "th", (F.col("at") + F.col("w.a")).alias("a"), "w.n", "w.fp", "w.content")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, th, a, b)``: maximal runs of lines a..b (numbers count all lines of
-    the text from 0) covered by windows that occur earlier in the corpus."""
-    w = materialize(windows(line_table(docs, id_col, text), min_words), "windows")
-    # Fingerprints selected at two places or more; both kinds of window select
-    # the same line for the same stretch, hence one kind is enough to count.
-    places = w.groupBy("anchor").agg(F.min(F.struct("id", "th", "a", "b")).alias("lo"), F.max(F.struct("id", "th", "a", "b")).alias("hi"))
-    places = places.where("lo <> hi").select("anchor")
-    joined = w.join(places, "anchor", "left_semi")
+    """``(id, th, runs)``: maximal runs of words (structs ``s, e``, counted from
+    0 in the text) covered by windows that occur earlier in the corpus. Rows of
+    equal id and text are one document."""
+    found = materialize(blocks(pieces(docs, id_col, text, min_words), min_words), "blocks")
+    place = F.xxhash64("id", "th", "a")
     start = F.struct("id", "a", "th")
-    firsts = joined.groupBy("way", "content").agg(F.min(start).alias("lo"), F.max(start).alias("hi")).where("lo <> hi").select("way", "content", "lo")
-    later = joined.join(firsts, ["way", "content"]).where(start != F.col("lo")).select("id", "th", "a", "b")
-    by = Window.partitionBy("id", "th").orderBy("a", "b")
-    gap = F.coalesce((F.col("a") > F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)) + 1).cast("int"), F.lit(0))
-    runs = later.withColumn("run", gap).withColumn("run", F.sum("run").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("id", "th", "run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("run")
+    shared = found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("fp")
+    kept = materialize(found.join(shared, "fp", "left_semi"), "shared")
+    discard(found)
+    # Equal blocks: all but the first are later, window by window.
+    firsts = kept.groupBy("fp", "content").agg(F.min(start).alias("lo"), F.first("n").alias("n"))
+    firsts = materialize(firsts, "firsts")
+    later = kept.join(firsts.select("fp", "content", "lo"), ["fp", "content"]).where(start != F.col("lo")).select("id", "th", "a", (F.col("a") + F.col("n")).alias("b"))
+    # Where one fingerprint has different blocks, the windows of their first
+    # occurrences are compared: any other occurrence of a window is later.
+    mixed = firsts.groupBy("fp").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x <> y").select("fp")
+    open_ = firsts.join(mixed, "fp", "left_semi").select(F.col("lo.id").alias("_id"), F.col("lo.th").alias("_th"), F.col("lo.a").alias("a"), "n")
+    open_ = open_.groupBy("_id", "_th").agg(F.collect_set(F.struct("a", "n")).alias("open"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    texts = texts.join(open_, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    wide = _let(
+        F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)),
+        lambda h: F.flatten(F.transform("open", lambda o: F.transform(F.sequence(o["a"], o["a"] + o["n"]), lambda i: F.struct(i.alias("a"), F.xxhash64(F.slice(h, i + 1, F.lit(min_words))).alias("content"))))),
+    )
+    w = materialize(texts.select("id", "th", F.explode(wide).alias("w")).select("id", "th", "w.*"), "windows")
+    twice = w.groupBy("content").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("content")
+    again = w.join(twice, "content", "left_semi")
+    least = again.groupBy("content").agg(F.min(start).alias("lo"))
+    later = later.union(again.join(least, "content").where(start != F.col("lo")).select("id", "th", "a", F.col("a").alias("b")))
+    by_doc = later.groupBy("id", "th").agg(F.flatten(F.collect_set(F.sequence("a", "b"))).alias("v"))
+    by_doc = by_doc.select("id", "th", F.explode(F.array(F.array_sort(F.array_distinct("v")))).alias("v"))
+    s = F.filter("v", lambda x, k: (k == 0) | (x > F.get("v", F.when(k > 0, k - 1)) + min_words))
+    e = F.filter("v", lambda x, k: F.coalesce(F.get("v", k + 1) > x + min_words, F.lit(True)))
+    runs = F.zip_with(s, e, lambda x, y: F.struct(x.alias("s"), (y + min_words - 1).alias("e")))
+    return by_doc.select("id", "th", runs.alias("runs"))
+
+
+def _line_of_words(lines: Column) -> Column:
+    """The number of its line, for each word."""
+    return F.flatten(F.transform(lines, lambda x, i: F.transform(_words(x), lambda _: i)))
+
+
+def _ranges(text: Column, runs: Column) -> Column:
+    """Runs of words as ``a, b, head, tail``: lines from ``a`` to ``b`` but for
+    the first ``head`` words of ``a`` and the last ``tail`` words of ``b``."""
+
+    def range_(r: Column, of: Column) -> Column:
+        a, b = F.get(of, r["s"]), F.get(of, r["e"])
+        head = (r["s"] + 1 - F.array_position(of, a)).cast("int")
+        tail = (F.size(of) - r["e"] - F.array_position(F.reverse(of), b)).cast("int")
+        return F.struct(a.alias("a"), b.alias("b"), head.alias("head"), tail.alias("tail"))
+
+    def last(of: Column) -> Column:
+        return F.transform(runs, lambda r: range_(r, of))
+
+    return _let(_line_of_words(_lines(text)), last)
+
+
+def _without(text: Column, cut: Column) -> Column:
+    """``text`` without the ranges ``cut``; a word goes with the white space
+    after it, lines of which nothing is left go whole."""
+
+    def rest(line: Column, i: Column, on: Column) -> Column:
+        # words with the white space after them; null if the line goes
+        def left(ws: Column) -> Column:
+            n = F.size(ws)
+            gone = lambda j: F.exists(on, lambda r: (j >= F.when(i == r["a"], r["head"]).otherwise(0)) & (j < n - F.when(i == r["b"], r["tail"]).otherwise(0)))
+            return _let(F.filter(ws, lambda w, j: ~gone(j)), lambda kept: F.when(F.size(kept) > 0, F.array_join(kept, "")))
+
+        return _let(F.regexp_extract_all(line, F.lit(f"(^[{SPACE}]*)?[^{SPACE}]+[{SPACE}]*"), F.lit(0)), left)
+
+    def one(line: Column, i: Column) -> Column:
+        on = F.filter(cut, lambda r: i.between(r["a"], r["b"]))
+        return _let(on, lambda o: F.when(F.size(o) == 0, line).otherwise(rest(line, i, o)))
+
+    return F.array_join(F.filter(F.transform(_lines(text), one), lambda x: x.isNotNull()), "\n")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs cut from ``text``, plus ``removed``
-    (array of structs ``a, b``: the deleted line ranges) .
+    (array of structs ``a, b, head, tail``: the line ranges of the deleted runs
+    and the words that stay at the start of ``a`` and at the end of ``b``).
 
     Null texts stay null and texts without words stay as they are. Lines without
-    words survive. Rows that repeat id and text are one document and are cut
-    alike; null ids come first in corpus order. Lines repeated inside a document
-    count as later too. An empty table gives no rows. Other columns stay; one
-    named ``removed`` is replaced.
+    words survive outside runs. Rows that repeat id and text are one document and
+    are cut alike; null ids come first in corpus order. Passages repeated inside
+    a document count as later too. An empty table gives no rows. Other columns
+    stay; one named ``removed`` is replaced.
     """
     runs = repeated_runs(docs, id_col, text, min_words)
-    cut = runs.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_cut"))
     keep = [c for c in docs.columns if c != "removed"]
-    on = docs[id_col].eqNullSafe(cut["id"]) & (F.xxhash64(docs[text]) == cut["th"])
-    out = docs.join(cut, on, "left").select(*(docs[c] for c in keep), "_cut")
-    left = F.filter(_lines(F.col(text)), lambda _, i: ~F.exists("_cut", lambda r: i.between(r["a"], r["b"])))
-    body = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    return out.select(*(body.alias(c) if c == text else F.col(c) for c in keep), F.coalesce("_cut", none).alias("removed"))
+    on = docs[id_col].eqNullSafe(runs["id"]) & (F.xxhash64(docs[text]) == runs["th"])
+    out = docs.join(runs, on, "left").select(*(docs[c] for c in keep), F.col("runs").alias("_runs"))
+    none = F.array().cast("array<struct<a:int,b:int,head:int,tail:int>>")
+    cut = F.when(F.col("_runs").isNull(), none).otherwise(_ranges(F.col(text), F.col("_runs")))
+    done = F.when(F.col("_runs").isNull(), F.struct(F.col(text).alias("t"), none.alias("r"))).otherwise(_let(cut, lambda c: F.struct(_without(F.col(text), c).alias("t"), c.alias("r"))))
+    # a generator, so that the cut is computed once
+    out = out.select(*keep, F.explode(F.array(done)).alias("_done"))
+    return out.select(*(F.col("_done.t").alias(c) if c == text else F.col(c) for c in keep), F.col("_done.r").alias("removed"))

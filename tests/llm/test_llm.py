@@ -274,6 +274,41 @@ def test_line_dedup_edges(edge, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def slow_words(rows, g=50):
+    """Words that stay of each text, when those in windows of g words that occur earlier go."""
+    seen, left = set(), {}
+    for i, text in sorted(rows):
+        own = text.split()
+        gone = set()
+        for k in range(len(own) - g + 1):
+            part = tuple(own[k : k + g])
+            if part in seen:
+                gone.update(range(k, k + g))
+            seen.add(part)
+        left[i] = [w for k, w in enumerate(own) if k not in gone]
+    return left
+
+
+def test_line_dedup_inside_lines(spark):
+    rng = random.Random(11)
+    shared = [words(n, rng) for n in (49, 50, 51, 64, 130)]
+    rows = []
+    for i in range(40):
+        parts = [rng.choice(shared) if rng.random() < 0.5 else words(rng.randint(1, 25), rng) for _ in range(rng.randint(1, 7))]
+        text = " ".join(parts).split(" ")
+        rows.append((i, "".join(w + rng.choice([" "] * 9 + ["\n", "  ", "\n\n"]) for w in text)))
+    want = slow_words(rows)
+    assert sum(len(t.split()) - len(want[i]) for i, t in rows) > 500
+    before = dict(rows)
+    cut = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    for r in cut:
+        assert r.text.split() == want[r.doc_id]
+        assert r.removed or r.text == before[r.doc_id]
+    assert any(x.head and x.tail for r in cut for x in r.removed)
+    one = [(1, "p q " + shared[1] + " r s\nt"), (2, "u  " + shared[1] + "\nv\n\n w")]
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(one, "doc_id bigint, text string")).collect()} == {1: one[0][1], 2: "u  \nv\n\n w"}
+
+
 # -- 6 and 7: compression ---------------------------------------------------------
 
 EN = "the and of to that with this from have which people about their would there".split()
