@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from itertools import combinations, islice, repeat
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
@@ -29,6 +29,8 @@ from .components import connected_components
 WIDTH = 8
 #: Shingles hashed at a time; bounds a worker's memory on very long texts.
 BLOCK = 1 << 16
+#: Shingles compared by Jaccard similarity; minhash bands that find the pairs (at 0.8 all but 0.04 %).
+WORDS, BANDS, ROWS = 5, 20, 5
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -149,18 +151,93 @@ def links(distinct: DataFrame, most: int = 2) -> DataFrame:
     return posted.mapInArrow(run, "u bigint, v bigint")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, most: int = 2) -> DataFrame:
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, sorted; words as in ``fingerprint``."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    shingle = min(shingle, len(words))
+    grams = map(b" ".join, zip(*(islice(words, i, None) for i in range(shingle)), strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of ``ROWS`` minima each; equal with probability J ** ROWS."""
+    rng = np.random.default_rng(7)
+    flip, factor = (rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        x = (hashes[at : at + 1024, None] ^ flip) * factor
+        np.minimum(least, (x ^ x >> np.uint64(32)).min(0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def similar_texts(docs: DataFrame, text: str, shingle: int, jaccard: float) -> DataFrame:
+    """``(x, y)``: hashes of texts whose shingle sets have exact Jaccard
+    similarity ``jaccard`` or more, among pairs that share a band's key.
+
+    In a list of over five texts each meets the first and the three before it."""
+    import pyarrow as pa
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ths, keys = [], []
+            for th, t in zip(b.column("th").to_pylist(), b.column("text"), strict=True):
+                h = shingles(t.as_py(), shingle)
+                if len(h):
+                    ths.append(np.full(BANDS, th, np.int64))
+                    keys.append(bands(h).view(np.int64))
+            if ths:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ths)), pa.array(np.concatenate(keys))], ["th", "key"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for s, t in zip(b.column("s"), b.column("t"), strict=True):
+                u, v = shingles(s.as_py(), shingle), shingles(t.as_py(), shingle)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                near.append(both >= jaccard * (len(u) + len(v) - both) - 1e-9)
+            yield b.select(["x", "y"]).filter(pa.array(near, pa.bool_()))
+
+    texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    posted = materialize(texts.mapInArrow(keyed, "th bigint, key bigint").distinct(), "bands")
+    shared = posted.groupBy("key").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("key", "lo")
+    before = [F.lag("th", k).over(Window.partitionBy("key").orderBy("th")) for k in (1, 2, 3)]
+    pairs = posted.join(shared, "key").select("th", F.array("lo", *before).alias("xs")).select("th", F.explode("xs").alias("x"))
+    pairs = materialize(pairs.where("x <> th").select("x", F.col("th").alias("y")).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("th")).distinct()
+    known = materialize(texts.join(wanted, "th", "left_semi").dropDuplicates(["th"]), "texts")
+    filled = pairs.join(known.select(F.col("th").alias("x"), F.col("text").alias("s")), "x")
+    filled = filled.join(known.select(F.col("th").alias("y"), F.col("text").alias("t")), "y").select("x", "y", "s", "t")
+    return materialize(filled.mapInArrow(verified, "x bigint, y bigint"), "similar")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, most: int = 2, jaccard: float | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``fingerprint`` (16 lower-case
     hex digits), ``component_id`` (smallest id reachable over links).
 
     Null and wordless texts have fingerprint zero and link like any other; rows
     with equal texts or ids each get their row; null ids stay null and never
     name a component unless all its ids are null; an empty table gives no rows;
-    other columns of ``docs`` are ignored.
+    other columns of ``docs`` are ignored. With ``jaccard``, texts whose
+    ``WORDS``-word shingles are that similar link too.
     """
-    fps = materialize(fingerprints(docs.select(id_col, text), text, shingle), "fps")
+    own = docs.select(id_col, text, *([F.xxhash64(text).alias("_th")] if jaccard else []))
+    fps = materialize(fingerprints(own, text, shingle), "fps")
     distinct = fps.groupBy("fp").agg(F.min(id_col).alias("first_id"))
-    comps = connected_components(links(distinct.select("fp"), most))
+    edges = links(distinct.select("fp"), most)
+    if jaccard:
+        of = fps.select("_th", "fp").distinct()
+        near = similar_texts(docs, text, WORDS, jaccard)
+        near = near.join(of.select(F.col("_th").alias("x"), F.col("fp").alias("u")), "x").join(of.select(F.col("_th").alias("y"), F.col("fp").alias("v")), "y")
+        edges = edges.union(near.select("u", "v"))
+    comps = connected_components(edges)
     rooted = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
@@ -168,11 +245,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return fps.join(named, "fp").select(id_col, hexed, "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, most: int = 2) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, most: int = 2, jaccard: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each component the row
     with the smallest id. Rows with a null id stay; of rows that repeat the
     staying id one stays."""
-    groups = simhash_groups(docs, id_col, text, shingle, most)
+    groups = simhash_groups(docs, id_col, text, shingle, most, jaccard)
     stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay")).distinct()
     kept = docs.join(stay, F.col(id_col) == F.col("_stay"), "left")
     kept = kept.where(F.col("_stay").isNotNull() | F.col(id_col).isNull())

@@ -209,6 +209,26 @@ def test_simhash_groups(spark, edge, empty):
     assert collections.Counter(r.doc_id for r in kept) == collections.Counter({x for x in least.values() if x is not None}) + collections.Counter([None])
 
 
+def test_pipeline_links_edited_copies(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    texts = []
+    for _ in range(12):
+        w = words(300, rng).split()
+        texts.append(" ".join(w))
+        for edits in (1, 3, 5, 9, 20):
+            e = list(w)
+            for k in rng.sample(range(300), edits):
+                e[k] = "edited"
+            texts.append(" ".join(e))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = set(closure(range(len(texts)), pairs).values())
+    assert len(want) == 36  # nine and twenty edits are too many
+    docs = docs_of(spark, texts).withColumn("n_chars", F.lit(1).cast("bigint"))
+    assert {r.doc_id for r in pipeline.near(spark, docs, "").collect()} == want
+
+
 # -- 5: line dedup ----------------------------------------------------------------
 
 
