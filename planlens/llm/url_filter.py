@@ -68,9 +68,9 @@ def apply_rules(host_col: Column, path_col: Column, rules: Sequence[Rule]) -> Co
     return out
 
 
-def symbols(host_col: Column, path_col: Column) -> Column:
-    """Host and path over 32 symbols: a-z, ``0`` for digits, ``/ . - _``, else ``%``. ``_`` pads the start."""
-    low = F.translate(F.concat(host_col, path_col), _UPPER + "123456789", _LETTERS + "000000000")
+def symbols(url: Column) -> Column:
+    """The whole URL over 32 symbols: a-z, ``0`` for digits, ``/ . - _``, else ``%``. ``_`` pads the start."""
+    low = F.translate(F.coalesce(url, F.lit("")), _UPPER + "123456789", _LETTERS + "000000000")
     return F.concat(F.lit("_" * ORDER), F.regexp_replace(low, "[^a-z0/._-]", "%"))
 
 
@@ -138,19 +138,19 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url
 
     A rule's verdict stands; other URLs are judged by the language models. Their
     training URLs are ``labelled(url, accepted boolean)``, by default the URLs
-    on which a rule decides. Null URLs and those without ``://`` have empty host
-    and path and are judged by their empty text, whose score is 0; all rows
-    stay, repeated ones too; without labels of both kinds the score decides at 0.
+    on which a rule decides. The models see the whole URL, with scheme, query and
+    fragment. URLs without ``://`` have empty host and path and are judged by
+    their text; null URLs by an empty one, whose score is 0; all rows stay, repeated ones too; without labels of both kinds the score decides at 0.
     """
     at, way = host(F.col(url)), path(F.col(url))
-    rows = pages.select(*keep, at.alias("host"), way.alias("path")).withColumn("s", symbols(F.col("host"), F.col("path")))
+    rows = pages.select(*keep, at.alias("host"), way.alias("path"), symbols(F.col(url)).alias("s"))
     rows = rows.withColumn("r", apply_rules(F.col("host"), F.col("path"), rules))
     rows = rows.select(*keep, "host", "path", "s", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("_ruled"))
     distinct = materialize(rows.groupBy("s", "_ruled").agg(F.count("*").alias("n")), "urls")
     if labelled is None:
         marked = distinct.where(F.col("_ruled").isNotNull()).select("s", (F.col("_ruled") == "allow").alias("accepted"), "n")
     else:
-        given = labelled.where(F.col("accepted").isNotNull()).select(symbols(host(F.col("url")), path(F.col("url"))).alias("s"), "accepted")
+        given = labelled.where(F.col("accepted").isNotNull()).select(symbols(F.col("url")).alias("s"), "accepted")
         marked = given.groupBy("s", "accepted").agg(F.count("*").alias("n"))
     every = distinct.select("s").union(marked.select("s"))
     scores = materialize(score(every, materialize(model(marked, every), "ratios")), "scores")

@@ -393,6 +393,16 @@ def test_url_rules_and_model(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_model_sees_the_whole_url(spark):
+    urls = ["http://x.net/p?good", "http://x.net/p?evil", "http://x.net/p#good", "http://x.net/p#evil", "good", "evil", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    marks = [(f"{k}{s}http://y.net/{i}?{k}#{k}", k == "good") for i, s in enumerate("abcd") for k in ("good", "evil")]
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, (), labelled=spark.createDataFrame(marks, "url string, accepted boolean")).collect()}
+    assert all(got[i].score > got[i + 1].score for i in (0, 2, 4))
+    assert (got[4].verdict, got[5].verdict) == ("allow", "block")
+    assert (got[0].host, got[0].path) == ("x.net", "/p") and got[6].score == 0
+
+
 def test_url_model_against_brute_force(spark):
     rng = random.Random(2)
     good, bad = (["".join(rng.choices(v, k=8)) for _ in range(30)] for v in ("abc/", "bcd.",))
