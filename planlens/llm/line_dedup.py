@@ -1,29 +1,33 @@
 """Repeated passages by winnowing over words; DataFrame functions only.
 
-Texts are sequences of words, whatever lines they stand in. A window is
-``min_words`` consecutive words, and a word goes if it lies in a window whose
-words occur earlier in the corpus, in order of id and place. So a repeat of
-``min_words`` words or more goes from its first word to its last, wherever in a
-line it begins or ends.
-
-* Winnowing: a place is a candidate if the hash of its two words is among the
-  lowest eighth; each window selects the lowest candidate (ties: the leftmost)
-  that has ``GRAM`` words in the window, hence equal windows select alike. Those
-  words are the fingerprint; a window without a candidate is its own.
-* The consecutive windows that select one place are a block. Blocks of a
-  fingerprint at one place only are done with; of equal blocks all but the first
-  are later. Only where a fingerprint has different blocks, at the ends of
-  matches, the windows of each block's first occurrence are compared one by one.
-* Later windows that overlap or touch make one run: the maximal match.
-
-Words and windows are compared by 64-bit hashes.
-No pair of documents is ever formed: a passage in a third of all documents costs
-rows in proportion.
+Texts are sequences of words, whatever lines they stand in, so that a passage is
+found wherever in a line it begins or ends.
+
+* Winnowing. A place is marked by the hashes of its two words. Each window of
+  ``min_words`` words selects the lowest mark (ties: the leftmost) that has
+  ``GRAM`` words in the window; these words are the fingerprint. Equal windows
+  select alike, so a passage of ``min_words`` words that occurs twice has a
+  fingerprint at the same word of both. Consecutive windows that select one place
+  are a block, and a row: its place, its fingerprint and one hash of its words.
+* Joining positions. Fingerprints at one place only are done with. Equal blocks of
+  one fingerprint match whole; all but the first, by id and place, are later.
+* Extending. Where a fingerprint has different blocks, a match ends inside them:
+  the first of each kind goes on a word at a time both ways, its windows being
+  compared one by one.
+* Deleting. Later windows that overlap or touch make one run, the maximal match.
+
+So a word goes if it lies in a window of ``min_words`` words that occurs earlier in
+the corpus. A text of fewer words is compared whole with other such texts.
+
+Words are compared by 64-bit hashes. No pair of documents is ever formed: a
+passage in a third of all documents costs rows in proportion, and keys that hold
+more than 1/``HOT`` of the rows, which are under ``HOT``, are joined by broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +39,8 @@ MIN_WORDS = 50
 GRAM = 16
 #: Windows that begin in a piece of a text; a place in a piece takes ``BITS`` bits.
 PIECE, BITS = 1 << 16, 20
-#: One place in so many is a candidate; candidates looked at on either side.
-SHARE, NEAR = 8, 8
+#: Keys with over a share of 1 / HOT of all rows are joined by broadcast.
+HOT = 1000
 
 
 def _lines(text: Column) -> Column:
@@ -44,7 +48,8 @@ def _lines(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+    """The words of a text; one empty word if it has none."""
+    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), f"[{SPACE}]+")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -52,113 +57,168 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda v: body(v))[0]
 
 
+def _hashed(text: Column) -> Column:
+    return F.transform(_words(text), lambda w: F.xxhash64(w))
+
+
+def _names(docs: DataFrame, id_col: str, text: str) -> list[Column]:
+    """``id, th``: what tells documents apart."""
+    return [F.col(id_col).alias("id"), F.xxhash64(text).alias("th")]
+
+
 def pieces(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame:
-    """``(id, th, at, h)``: hashes of the words of texts of ``min_words`` words or
-    more, in pieces such that every window lies in the one in which it begins."""
-    cut = _let(
-        F.transform(_words(F.col(text)), lambda w: F.xxhash64(w)),
-        lambda v: F.when(
-            F.size(v) >= min_words,
-            F.transform(
-                F.sequence(F.lit(0), F.floor((F.size(v) - min_words) / PIECE).cast("int")),
-                lambda p: F.struct((p * PIECE).alias("at"), F.slice(v, p * PIECE + 1, F.lit(PIECE + min_words - 1)).alias("h")),
-            ),
-        ),
-    )
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.explode(cut).alias("p"))
+    """``(id, th, at, h)``: hashes of the words of texts, in pieces such that
+    every window lies in the one in which it begins; texts without words have none."""
+    most = PIECE + min_words - 1
+    cut = lambda v, i: F.struct((i * PIECE).alias("at"), F.slice(v, i * PIECE + 1, F.lit(most)).alias("h"))
+    one = lambda v: F.array(F.struct(F.lit(0).alias("at"), v.alias("h")))
+    all_ = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - min_words) / PIECE).cast("int")), lambda i: cut(v, i))
+    found = _let(_hashed(F.col(text)), lambda v: F.when(F.size(v) <= most, one(v)).otherwise(all_(v)))
+    rows = docs.where(F.col(text).rlike(f"[^{SPACE}]")).select(*_names(docs, id_col, text), F.explode(found).alias("p"))
     return rows.select("id", "th", "p.at", "p.h")
 
 
+def selected(h: Column, min_words: int, gram: int) -> Column:
+    """The marks that the windows of ``h`` select, in order; the low ``BITS`` are the place."""
+    span = min_words - gram + 1
+    marks = F.transform(h, lambda x, i: x.bitwiseXOR(F.get(h, i + 1)).bitwiseAND(F.lit(-1 << BITS)).bitwiseOR(i.cast("bigint")))
+    # the lowest of ``step`` marks, then of enough such to span a window
+    step = math.isqrt(span)
+    some = lambda m: F.transform(m, lambda x, i: F.least(x, *(F.get(m, i + d) for d in range(1, step))))
+    at = sorted({min(d, span - step) for d in range(0, span, step)})
+    every = F.sequence(F.lit(0), F.size(h) - min_words)
+    lowest = lambda m: F.transform(every, lambda i: F.least(*(F.get(m, i + d) for d in at), F.get(m, i + at[-1])))
+    return F.array_distinct(_let(_let(marks, some), lowest))
+
+
 def blocks(cut: DataFrame, min_words: int) -> DataFrame:
-    """``(id, th, a, n, fp, content)``: windows from word ``a`` to ``a + n`` that
-    select one fingerprint, its hash and that of all words of these windows.
-
-    Windows that hold no candidate are blocks of their own."""
-    gram = min(GRAM, (min_words + 1) // 2)
-    reach, mask = min_words - gram, (1 << BITS) - 1
-    top = -(1 << 63) + (1 << 64) // SHARE
-
-    def candidates(h: Column) -> Column:
-        marks = F.transform(F.slice(h, 1, F.size(h) - gram + 1), lambda x, i: F.xxhash64(x, F.get(h, i + 1)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint")))
-        return F.filter(marks, lambda x: x < F.lit(top))
-
-    def place(v: Column) -> Column:
-        return v.bitwiseAND(F.lit(mask)).cast("int")
-
-    def of(h: Column, c: Column) -> Column:
-        last = F.size(h) - min_words
-
-        def selected(x: Column, k: Column) -> Column:
-            p = place(x)
-            # few candidates lie within reach; where they are dense, look at all
-            back = F.when((k > NEAR) & (place(F.get(c, F.greatest(k - NEAR - 1, F.lit(0)))) >= p - reach), F.lit(reach)).otherwise(NEAR)
-            ahead = F.when(F.coalesce(place(F.get(c, k + NEAR + 1)) <= p + reach, F.lit(False)), F.lit(reach)).otherwise(NEAR)
-            before = F.filter(F.slice(c, F.greatest(k - back, F.lit(0)) + 1, F.least(back, k)), lambda y: y < x)
-            after = F.filter(F.slice(c, k + 2, ahead), lambda y: y < x)
-            a = _let(before, lambda b: F.greatest(F.coalesce(place(F.get(b, F.when(F.size(b) > 0, F.size(b) - 1))) + 1, F.lit(0)), p - reach))
-            b = F.least(F.coalesce(place(F.get(after, F.lit(0))) - reach - 1, last), last, p)
-            return F.struct(a.alias("a"), b.alias("b"), p.alias("p"))
-
-        def alone(x: Column, k: Column) -> Column:
-            """Starts of windows between the candidate before ``k`` and it."""
-            a = F.coalesce(place(F.get(c, F.when(k > 0, k - 1))) + 1, F.lit(0))
-            b = F.coalesce(place(F.get(c, k)), last + reach + 1) - reach - 1
-            return F.when(a <= b, F.transform(F.sequence(a, F.greatest(a, b)), lambda i: F.struct(i.alias("a"), i.alias("b"), i.alias("p")))).otherwise(F.array().cast("array<struct<a:int,b:int,p:int>>"))
-
-        some = F.filter(F.transform(c, selected), lambda s: s["a"] <= s["b"])
-        gaps = F.filter(F.sequence(F.lit(0), F.size(c)), lambda k: F.coalesce(place(F.get(c, k)), last + reach + 1) - F.coalesce(place(F.get(c, F.when(k > 0, k - 1))), F.lit(-1)) > reach + 1)
-        rest = F.flatten(F.transform(gaps, lambda k: alone(k, k)))
-        whole = lambda s: F.xxhash64(F.slice(h, s["a"] + 1, s["b"] - s["a"] + min_words))
-        one = lambda s: F.struct(s["a"].alias("a"), (s["b"] - s["a"]).alias("n"), F.xxhash64(F.slice(h, s["p"] + 1, F.lit(gram))).alias("fp"), whole(s).alias("content"))
-        lone = lambda s: F.struct(s["a"].alias("a"), F.lit(0).alias("n"), whole(s).alias("fp"), whole(s).alias("content"))
-        return F.concat(F.transform(some, one), F.transform(rest, lone))
-
-    found = F.explode(_let(F.col("h"), lambda h: _let(candidates(h), lambda c: of(h, c)))).alias("w")
-    rows = cut.select("id", "th", "at", found)
-    return rows.select("id", "th", (F.col("at") + F.col("w.a")).alias("a"), "w.n", "w.fp", "w.content")
-
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``(id, th, runs)``: maximal runs of words (structs ``s, e``, counted from
-    0 in the text) covered by windows that occur earlier in the corpus. Rows of
-    equal id and text are one document."""
+    """``(id, th, p, n, fp, content, whole)``: windows from word ``p`` to ``p + n``
+    that select one fingerprint, its hash and that of all their words. Shorter
+    texts have one row, of all their words, and are ``whole``."""
+    gram = _gram(min_words)
+    reach, whole, h = min_words - gram, F.size("h") < min_words, F.col("h")
+    marks = F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(_let(h, lambda h: selected(h, min_words, gram)))
+    # a generator, so that marks are found once
+    rows = cut.select("id", "th", "at", "h", F.explode(F.array(marks)).alias("c")).select("id", "th", "at", "h", "c", F.posexplode("c").alias("k", "x"))
+    place = lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+    before, after = F.get("c", F.col("k") - 1), F.get("c", F.col("k") + 1)
+    # a lower mark takes over when it comes into the window, a higher one when the mark leaves
+    a = F.coalesce(F.when(before > F.col("x"), place(F.col("x")) - reach).otherwise(place(before) + 1), F.lit(0))
+    b = F.coalesce(F.when(after < F.col("x"), place(after) - reach - 1).when(after.isNotNull(), place(F.col("x"))), F.size("h") - min_words)
+    rows = rows.select("id", "th", "at", "h", place(F.col("x")).alias("x"), F.greatest(a, F.lit(0)).alias("a"), F.greatest(b, F.lit(0)).alias("b"), whole.alias("whole"))
+    fp = F.when(F.col("whole"), F.xxhash64(F.lit("whole"), "h")).otherwise(F.xxhash64(F.slice("h", F.col("x") + 1, F.lit(gram))))
+    content = F.xxhash64(F.slice("h", F.col("a") + 1, F.col("b") - F.col("a") + min_words))
+    n = F.when(F.col("whole"), F.size("h") - min_words).otherwise(F.col("b") - F.col("a"))
+    return rows.select("id", "th", (F.col("at") + F.col("a")).alias("p"), n.alias("n"), fp.alias("fp"), content.alias("content"), "whole")
+
+
+def _gram(min_words: int) -> int:
+    return min(GRAM, (min_words + 1) // 2)
+
+
+class _Order:
+    """The order of places in the corpus: by id, then by word. One number where
+    ids are distinct and fit beside the words' numbers, a struct otherwise."""
+
+    def __init__(self, docs: DataFrame, found: DataFrame, id_col: str):
+        r = found.agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max(F.col("p") + F.greatest("n", F.lit(0))).alias("p"), F.count("*").alias("n"), F.count("id").alias("m")).first()
+        self.bits = max(1, (r["p"] or 0).bit_length())
+        fits = r["n"] == r["m"] and r["n"] > 0 and -(1 << 63 - self.bits) <= r["a"] and r["b"] < 1 << 63 - self.bits
+        self.plain = fits and dict(docs.dtypes)[id_col] in ("bigint", "int") and docs.groupBy(id_col).count().where("count > 1").isEmpty()
+
+    def of(self) -> Column:
+        if self.plain:
+            return F.shiftleft("id", self.bits).bitwiseOR(F.col("p").cast("bigint"))
+        return F.struct("id", "p", "th")
+
+    def word(self, o: Column) -> Column:
+        return o.bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int") if self.plain else o["p"]
+
+    def next(self, o: str, i: str) -> Column:
+        """The place ``i`` words on."""
+        if self.plain:
+            return F.col(o) + F.col(i)
+        return F.struct(F.col(o)["id"].alias("id"), (F.col(o)["p"] + F.col(i)).alias("p"), F.col(o)["th"].alias("th"))
+
+    def doc(self, o: Column) -> Column:
+        return F.shiftright(o, self.bits) if self.plain else F.struct(o["id"].alias("id"), o["th"].alias("th"))
+
+    def named(self, id_col: str, text: str) -> Column:
+        own = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"))
+        return (F.col(id_col).cast("bigint") if self.plain else own).alias("doc")
+
+
+def _joined(rows: DataFrame, ones: DataFrame, key: Sequence[str], some: Column | str = "true") -> DataFrame:
+    """Inner join of ``rows`` with ``some`` on ``key`` with ``ones``, a row a key,
+    whose ``_n`` is the key's number of rows. ``rows`` is a written table. Keys with
+    over a share of 1 / HOT of its rows are at most HOT and are broadcast, the
+    others go by shuffle: no task gets a hot key."""
+    few, ones = rows.count() // HOT, materialize(ones, "ones")
+    hot, rest = ones.where(F.col("_n") > few), ones.where(F.col("_n") <= few)
+    rows = rows.where(some)
+    cold = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def _firsts(rows: DataFrame, key: Sequence[str], *more: Column) -> DataFrame:
+    """A row for each ``key``: the first place ``_lo`` of it in the order ``o``, the last, and their number."""
+    return rows.groupBy(*key).agg(F.min("o").alias("_lo"), F.max("o").alias("_hi"), F.count("*").alias("_n"), *more)
+
+
+def _later(rows: DataFrame, firsts: DataFrame, key: Sequence[str], some: Column | str = "true") -> DataFrame:
+    """``rows``, a written table, with ``some`` but for the first of each ``key``."""
+    return _joined(rows, firsts.where("_lo <> _hi").select(*key, "_lo", "_n"), key, some).where("o <> _lo").select(*rows.columns)
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, Column]:
+    """``(doc, runs)``: runs of words (structs ``s, e``, counted from 0 in the
+    text) that repeat earlier ones; and ``doc`` of a row of ``docs``. Rows of equal
+    id and text are one document."""
     found = materialize(blocks(pieces(docs, id_col, text, min_words), min_words), "blocks")
-    place = F.xxhash64("id", "th", "a")
-    start = F.struct("id", "a", "th")
-    shared = found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("fp")
-    kept = materialize(found.join(shared, "fp", "left_semi"), "shared")
+    order = _Order(docs, found, id_col)
+    placed = found.withColumn("o", order.of()).drop("id", "th", "p")
+    shared = _firsts(placed, ["fp"]).where("_lo <> _hi").select("fp", "_n")
+    kept = materialize(_joined(placed, shared, ["fp"]).drop("_n"), "shared")
     discard(found)
-    # Equal blocks: all but the first are later, window by window.
-    firsts = kept.groupBy("fp", "content").agg(F.min(start).alias("lo"), F.first("n").alias("n"))
-    firsts = materialize(firsts, "firsts")
-    later = kept.join(firsts.select("fp", "content", "lo"), ["fp", "content"]).where(start != F.col("lo")).select("id", "th", "a", (F.col("a") + F.col("n")).alias("b"))
-    # Where one fingerprint has different blocks, the windows of their first
-    # occurrences are compared: any other occurrence of a window is later.
-    mixed = firsts.groupBy("fp").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x <> y").select("fp")
-    open_ = firsts.join(mixed, "fp", "left_semi").select(F.col("lo.id").alias("_id"), F.col("lo.th").alias("_th"), F.col("lo.a").alias("a"), "n")
-    open_ = open_.groupBy("_id", "_th").agg(F.collect_set(F.struct("a", "n")).alias("open"))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    texts = texts.join(open_, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
-    wide = _let(
-        F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)),
-        lambda h: F.flatten(F.transform("open", lambda o: F.transform(F.sequence(o["a"], o["a"] + o["n"]), lambda i: F.struct(i.alias("a"), F.xxhash64(F.slice(h, i + 1, F.lit(min_words))).alias("content"))))),
-    )
-    w = materialize(texts.select("id", "th", F.explode(wide).alias("w")).select("id", "th", "w.*"), "windows")
-    twice = w.groupBy("content").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("content")
-    again = w.join(twice, "content", "left_semi")
-    least = again.groupBy("content").agg(F.min(start).alias("lo"))
-    later = later.union(again.join(least, "content").where(start != F.col("lo")).select("id", "th", "a", F.col("a").alias("b")))
-    by_doc = later.groupBy("id", "th").agg(F.flatten(F.collect_set(F.sequence("a", "b"))).alias("v"))
-    by_doc = by_doc.select("id", "th", F.explode(F.array(F.array_sort(F.array_distinct("v")))).alias("v"))
-    s = F.filter("v", lambda x, k: (k == 0) | (x > F.get("v", F.when(k > 0, k - 1)) + min_words))
-    e = F.filter("v", lambda x, k: F.coalesce(F.get("v", k + 1) > x + min_words, F.lit(True)))
-    runs = F.zip_with(s, e, lambda x, y: F.struct(x.alias("s"), (y + min_words - 1).alias("e")))
-    return by_doc.select("id", "th", runs.alias("runs"))
+    p = order.word(F.col("o"))
+    part = [order.doc(F.col("o")).alias("doc"), p.alias("s"), (p + F.col("n") + min_words - 1).alias("e")]
+    key = ["fp", "content"]
+    firsts = materialize(_firsts(kept, key, F.first("n").alias("n"), F.first("whole").alias("whole")), "firsts")
+    parts = _later(kept, firsts, key).select(*part)
+    # Where blocks differ, the windows of the first of each kind: any other occurrence of a window is later.
+    mixed = firsts.where("not whole").groupBy("fp").agg(F.count("*").alias("_n")).where("_n > 1")
+    open_ = _joined(firsts.drop("_n").withColumnRenamed("_lo", "o"), mixed, ["fp"])
+    open_ = open_.groupBy(order.doc(F.col("o")).alias("_doc")).agg(F.collect_set(F.struct("o", "n")).alias("open"))
+    texts = docs.select(order.named(id_col, text), F.col(text).alias("text"))
+    texts = texts.join(open_, F.col("doc") == F.col("_doc"))
+    windows = texts.select("open", F.explode(F.array(_hashed(F.col("text")))).alias("h")).select("h", F.explode("open").alias("w"))
+    windows = windows.select("h", "w.*").select("h", "o", F.explode(F.sequence(F.lit(0), "n")).alias("i"))
+    content = F.xxhash64(F.slice("h", p + F.col("i") + 1, F.lit(min_words)))
+    windows = materialize(windows.select(order.next("o", "i").alias("o"), content.alias("content")), "windows")
+    again = _later(windows, _firsts(windows, ["content"]), ["content"]).withColumn("n", F.lit(0))
+    by_doc = parts.union(again.select(*part)).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("v"))
+    return by_doc.select("doc", _chains(F.col("v")).alias("runs")), order.named(id_col, text)
+
+
+def _chains(parts: Column) -> Column:
+    """Sorted runs of words, joined where they overlap or touch."""
+    run = "struct<s:int,e:int>"
+    state = F.struct(F.lit(None).cast(run).alias("now"), F.array().cast(f"array<{run}>").alias("done"))
+    closed = lambda acc: F.concat(acc["done"], F.array(acc["now"]))
+
+    def step(acc: Column, x: Column) -> Column:
+        now = acc["now"]
+        wider = F.struct(now["s"].alias("s"), F.greatest(now["e"], x["e"]).alias("e"))
+        own = F.struct(x["s"].alias("s"), x["e"].alias("e"))
+        apart = F.struct(own.alias("now"), F.when(now.isNull(), acc["done"]).otherwise(closed(acc)).alias("done"))
+        return F.when(x["s"] <= now["e"] + 1, F.struct(wider.alias("now"), acc["done"].alias("done"))).otherwise(apart)
+
+    return F.aggregate(parts, state, step, closed)
 
 
 def _line_of_words(lines: Column) -> Column:
     """The number of its line, for each word."""
-    return F.flatten(F.transform(lines, lambda x, i: F.transform(_words(x), lambda _: i)))
+    return F.flatten(F.transform(lines, lambda x, i: F.transform(F.filter(_words(x), lambda w: w != ""), lambda _: i)))
 
 
 def _ranges(text: Column, runs: Column) -> Column:
@@ -192,7 +252,8 @@ def _without(text: Column, cut: Column) -> Column:
 
     def one(line: Column, i: Column) -> Column:
         on = F.filter(cut, lambda r: i.between(r["a"], r["b"]))
-        return _let(on, lambda o: F.when(F.size(o) == 0, line).otherwise(rest(line, i, o)))
+        gone = lambda r: ((i > r["a"]) | (r["head"] == 0)) & ((i < r["b"]) | (r["tail"] == 0))
+        return _let(on, lambda o: F.when(F.size(o) == 0, line).when(F.exists(o, gone), F.lit(None)).otherwise(rest(line, i, o)))
 
     return F.array_join(F.filter(F.transform(_lines(text), one), lambda x: x.isNotNull()), "\n")
 
@@ -202,16 +263,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     (array of structs ``a, b, head, tail``: the line ranges of the deleted runs
     and the words that stay at the start of ``a`` and at the end of ``b``).
 
-    Null texts stay null and texts without words stay as they are. Lines without
-    words survive outside runs. Rows that repeat id and text are one document and
+    Null texts stay null and texts without words stay as they are. A text of under
+    ``min_words`` words goes whole if an earlier text is equal in words; in longer
+    texts, repeats of fewer words stay. Very long texts are taken in pieces that
+    overlap by a window. Lines without words survive outside runs. Rows that repeat id and text are one document and
     are cut alike; null ids come first in corpus order. Passages repeated inside
     a document count as later too. An empty table gives no rows. Other columns
     stay; one named ``removed`` is replaced.
     """
-    runs = repeated_runs(docs, id_col, text, min_words)
+    runs, named = repeated_runs(docs, id_col, text, min_words)
     keep = [c for c in docs.columns if c != "removed"]
-    on = docs[id_col].eqNullSafe(runs["id"]) & (F.xxhash64(docs[text]) == runs["th"])
-    out = docs.join(runs, on, "left").select(*(docs[c] for c in keep), F.col("runs").alias("_runs"))
+    out = docs.select(*keep, named.alias("_doc")).join(runs, F.col("_doc") == F.col("doc"), "left").select(*(docs[c] for c in keep), F.col("runs").alias("_runs"))
     none = F.array().cast("array<struct<a:int,b:int,head:int,tail:int>>")
     cut = F.when(F.col("_runs").isNull(), none).otherwise(_ranges(F.col(text), F.col("_runs")))
     done = F.when(F.col("_runs").isNull(), F.struct(F.col(text).alias("t"), none.alias("r"))).otherwise(_let(cut, lambda c: F.struct(_without(F.col(text), c).alias("t"), c.alias("r"))))

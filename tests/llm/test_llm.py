@@ -254,6 +254,13 @@ def slow_removed(rows, g=50):
     for key, way, a, _, content in found:
         rank = (key[0] is not None, key[0] or 0, a)
         seen[way, content] = min(seen.get((way, content), rank), rank)
+    whole = set()
+    for key, own in lines.items():  # shorter texts are compared whole
+        content = tuple((key[1] or "").split())
+        if own and len(content) < g:
+            if content in whole:
+                out[key] = {i for i, _, _ in own}
+            whole.add(content)
     for key, way, a, b, content in found:
         if (key[0] is not None, key[0] or 0, a) != seen[way, content]:
             out[key] |= {i for i, _, _ in lines[key] if a <= i <= b}
@@ -299,11 +306,11 @@ def slow_words(rows, g=50):
     seen, left = set(), {}
     for i, text in sorted(rows):
         own = text.split()
-        gone = set()
-        for k in range(len(own) - g + 1):
-            part = tuple(own[k : k + g])
+        gone, n = set(), min(g, len(own))  # shorter texts are compared whole
+        for k in range(len(own) - n + 1 if own else 0):
+            part = tuple(own[k : k + n])
             if part in seen:
-                gone.update(range(k, k + g))
+                gone.update(range(k, k + n))
             seen.add(part)
         left[i] = [w for k, w in enumerate(own) if k not in gone]
     return left
@@ -329,6 +336,30 @@ def test_line_dedup_inside_lines(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(one, "doc_id bigint, text string")).collect()} == {1: one[0][1], 2: "u  \nv\n\n w"}
 
 
+def test_line_dedup_short_texts(spark):
+    """Copies of a short text go, a passage in a longer one does not; ids may repeat."""
+    rng = random.Random(5)
+    short, long = "one two\nthree\nfour five", words(80, rng)
+    rows = [(i, short) for i in range(20)] + [(20, "six " + short), (21, long), (22, short + " " + words(60, rng)), (21, "x " + long), (-(1 << 62), "y " + long)]
+    got = collections.defaultdict(list)
+    for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got[r.doc_id].append(r.text)
+    assert got[0] == [short] and got[20] == [rows[20][1]] and got[22] == [rows[22][1]]
+    assert all(got[i] == [""] for i in range(1, 20))
+    assert got[-(1 << 62)] == ["y " + long] and sorted(got[21]) == ["", "x "]
+
+
+def test_line_dedup_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PIECE", 70)
+    rng = random.Random(12)
+    shared = [words(n, rng) for n in (50, 75, 210)]
+    rows = [(i, " ".join(rng.choice(shared) if rng.random() < 0.4 else words(rng.randint(1, 60), rng) for _ in range(9))) for i in range(25)]
+    rows.append((25, " ".join(["again"] * 400)))
+    want = slow_words(rows)
+    for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        assert r.text.split() == want[r.doc_id]
+
+
 # -- 6 and 7: compression ---------------------------------------------------------
 
 EN = "the and of to that with this from have which people about their would there".split()
