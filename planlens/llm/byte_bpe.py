@@ -1,17 +1,20 @@
 """Byte-level BPE as a monoid: encode halves, join neighbours at their seam.
 
-A text splits in half until its parts are short. A part's encoding is a list of
-pieces (matches of the pattern) with their tokens; joining two neighbours
-re-encodes a window around the seam that grows until nothing outside can change:
-
-* Left. The pattern looks ahead at most two characters past a match, so a piece
-  that ends two or more characters before the seam is final.
-* Right. The pattern never looks behind, so once a match starts where a piece of
-  the right part starts, all later pieces are as they were.
-* Inside one piece that crosses the seam, token lists join by the same idea: a
-  list of tokens is the encoding of its bytes exactly when each two neighbours
-  encode to themselves, so a re-encoded window of tokens is final once the pair
-  at each of its ends does. Only pieces longer than ``LONG`` bytes join this way.
+A text splits in half until its parts are leaves of ``LEAF`` characters, which the
+library encodes. Joining two neighbours encodes a window around the seam anew;
+the window grows both ways until nothing outside it can change:
+
+* A place is a *cut* if every piece (match of the pattern) that holds the
+  character before it ends there, whatever else the text holds. The tokens before
+  a cut and those after it are those of the two parts by themselves. So once the
+  window ends at cuts on both sides, or at the ends of the parts, all else stands.
+  For the default pattern a character before white space makes a cut, and a letter
+  before punctuation or a digit. A pattern without known cuts grows its windows to the
+  ends of the parts, which is right but slow.
+* A piece of over ``LONG`` characters that crosses the seam has no cut. Its two
+  token lists join by the same idea: a list of tokens is the encoding of its bytes
+  exactly when each two neighbours encode to themselves, so a window of tokens that
+  is merged anew is final once the pairs at its two ends do. It doubles until then.
 
 Decoding concatenates the bytes of tokens up the same tree.
 """
@@ -27,9 +30,12 @@ from pyspark.sql import DataFrame
 from .common import worker_cache
 
 #: Characters of a leaf of the tree.
-LEAF = 4096
-#: Bytes from which the part of a piece on one side of a seam is not encoded anew.
+LEAF = 96
+#: Characters from which a piece across a seam is joined by its tokens.
 LONG = 512
+#: Cuts of the default pattern: what stands before them, as a pattern. Only
+#: characters whose class does not depend on the version of Unicode.
+CUT = r"[\p{L}\p{N}\p{P}\p{S}](?=[ \t\n\r])|[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u0400-\u0481\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3](?=[!-@\[-`{-~\u3001-\u3003\u3008-\u3011\uFF0C])"
 
 
 def load_ranks(lines: bytes) -> dict[bytes, int]:
@@ -37,89 +43,106 @@ def load_ranks(lines: bytes) -> dict[bytes, int]:
 
 
 class MonoidBpe:
-    """Encoder and decoder over ``ranks`` and a pre-tokenising ``pattern``."""
+    """Encoder and decoder over ``ranks`` and a pre-tokenising ``pattern``.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, long: int = LONG):
+    ``tokens`` and ``joined`` count the tokens returned and those that joins made."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, long: int = LONG, cut: str | None = CUT):
         import regex
         import tiktoken
 
-        self.leaf, self.long = max(leaf, 8), max(long, 2)
-        self.find = regex.compile(pattern).finditer
+        self.leaf, self.long, self.ranks = max(leaf, 2), max(long, 2), ranks
+        self.whole = regex.compile(pattern).fullmatch
+        self.cuts = regex.compile(cut) if cut else None
         core = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.encode_leaf: Callable[[str], list[int]] = core.encode_ordinary
-        self.encode_piece: Callable[[bytes], list[int]] = core._encode_single_piece
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.tokens = self.joined = 0
 
     # -- encoding -------------------------------------------------------------
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids (uint32) of a whole text, as one sequential pass gives them."""
-        if len(text) <= self.leaf:
-            return np.array(self.encode_leaf(text), np.uint32)
-        return np.concatenate([np.zeros(0, np.uint32), *self._tree(text, 0, len(text))[1]])
+        out = self._tree(text, 0, len(text))
+        self.tokens += len(out)
+        return np.array(out, np.uint32)
 
-    def _tree(self, text: str, lo: int, hi: int) -> tuple[list[int], list[np.ndarray]]:
-        """(starts of blocks, tokens of blocks) of text[lo:hi]. A block is a run
-        of whole pieces; its start is the start of its first piece."""
+    def _tree(self, text: str, lo: int, hi: int) -> list[int]:
         if hi - lo <= self.leaf:
-            return self._leaf(text, lo, hi)
+            return self.encode_leaf(text[lo:hi])
         mid = (lo + hi) // 2
-        return self._join(text, self._tree(text, lo, mid), self._tree(text, mid, hi), mid, hi)
-
-    def _leaf(self, text: str, lo: int, hi: int) -> tuple[list[int], list[np.ndarray]]:
-        """The first and last pieces of a leaf are blocks of their own, those
-        between are one, so that a seam touches few tokens."""
-        part = text[lo:hi]
-        cuts = [m.start() for m in self.find(part)]
-        if len(cuts) <= 12:
-            ends = [*cuts[1:], len(part)]
-            return [lo + c for c in cuts], [self._piece(part[a:b]) for a, b in zip(cuts, ends, strict=True)]
-        heads, tails = cuts[:5], cuts[-4:]
-        starts = [*heads, *tails]
-        ends = [*starts[1:], len(part)]
-        # whole pieces between: encoding them alone gives the same pieces, as
-        # the middle ends where a piece starts and is closed by its own match
-        blocks = []
-        for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
-            if i == 4:
-                inner = [c for c in cuts if a <= c < b]
-                blocks.append(self._run(part, inner, b))
+        return self._join(text, lo, mid, hi, self._tree(text, lo, mid), self._tree(text, mid, hi))
+
+    def _join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
+        """Tokens of ``text[lo:hi]`` from those of its parts, in place of ``left``."""
+        a, b = self._before(text, lo, mid), self._after(text, mid, hi)
+        head, tail = text[a:mid], text[mid:b]
+        if b - a > self.long and self.whole(head + tail) and self.whole(head) and self.whole(tail):
+            i, j = self._last(left, head), self._first(right, tail)
+            window = self.join_tokens(left[len(left) - i :], right[:j])
+        else:
+            if b - a > 2 * self.leaf:  # counting bytes is cheaper than encoding anew
+                i, j = self._last(left, head), self._first(right, tail)
             else:
-                blocks.append(self._piece(part[a:b]))
-        return [lo + s for s in starts], blocks
-
-    def _run(self, part: str, cuts: list[int], end: int) -> np.ndarray:
-        """Tokens of consecutive pieces. The slice's last piece could match
-        otherwise at the slice's end, so it is encoded by itself."""
-        body = self.encode_leaf(part[cuts[0] : cuts[-1]]) if self._closed(part, cuts) else None
-        if body is None:
-            return np.concatenate([self._piece(part[a:b]) for a, b in zip(cuts, [*cuts[1:], end], strict=True)])
-        return np.concatenate([np.array(body, np.uint32), self._piece(part[cuts[-1] : end])])
-
-    def _closed(self, part: str, cuts: list[int]) -> bool:
-        """Whether text cut at the last start splits there as it did in place.
-        Only trailing white space can split otherwise without its successor."""
-        return len(cuts) > 1 and not part[cuts[-1] - 1].isspace()
-
-    def _piece(self, piece: str) -> np.ndarray:
-        data = piece.encode("utf-8", "surrogatepass")
-        if len(data) <= 2 * self.long:
-            return np.array(self.encode_piece(data), np.uint32)
-        return np.array(self._halves(data), np.uint32)
-
-    def _halves(self, data: bytes) -> list[int]:
-        """One long piece: halves, then a seam of tokens."""
-        if len(data) <= self.long:
-            return self.encode_piece(data)
-        mid = len(data) // 2
-        return self.join_tokens(self._halves(data[:mid]), self._halves(data[mid:]))
+                i, j = len(self.encode_leaf(head)), len(self.encode_leaf(tail))
+            window = self.encode_leaf(head + tail)
+            self.joined += len(window)
+        del left[len(left) - i :]
+        left += window
+        left += right[j:]
+        return left
+
+    def _before(self, text: str, lo: int, mid: int) -> int:
+        """The last cut before ``mid`` with both its characters in the part, else ``lo``."""
+        span = 16
+        while self.cuts and mid - lo > 1:
+            at = max(lo, mid - span)
+            found = at
+            for m in self.cuts.finditer(text, at, mid):
+                found = m.end()
+            if found > at:
+                return found
+            if at == lo:
+                break
+            span *= 4
+        return lo
+
+    def _after(self, text: str, mid: int, hi: int) -> int:
+        """The first cut after ``mid`` with both its characters in the part, else ``hi``."""
+        found = self.cuts.search(text, mid, hi) if self.cuts else None
+        return found.end() if found else hi
+
+    def _last(self, tokens: list[int], part: str) -> int:
+        """How many of the last ``tokens`` make ``part``."""
+        left, n = len(part.encode("utf-8")), 0
+        while left > 0:
+            n += 1
+            left -= len(self.bytes_of[tokens[-n]])
+        return n
+
+    def _first(self, tokens: list[int], part: str) -> int:
+        left, n = len(part.encode("utf-8")), 0
+        while left > 0:
+            left -= len(self.bytes_of[tokens[n]])
+            n += 1
+        return n
+
+    def merge(self, data: bytes) -> list[int]:
+        """Encoding of one short run of bytes: the lowest ranked pair merges first, the leftmost of equals."""
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while len(parts) > 1:
+            rank, at = min((self.ranks.get(x + y, len(self.ranks)), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == len(self.ranks):
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.ranks[x] for x in parts]
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether two neighbouring tokens encode to themselves."""
         found = self.pairs.get((a, b))
         if found is None:
-            found = self.encode_piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            found = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
             if len(self.pairs) < 1 << 18:
                 self.pairs[a, b] = found
         return found
@@ -130,60 +153,26 @@ class MonoidBpe:
             return left + right
         i, j = 1, 1
         while True:
-            window = self.encode_piece(b"".join(self.bytes_of[t] for t in left[len(left) - i :] + right[:j]))
+            window = self.merge(b"".join(self.bytes_of[t] for t in left[len(left) - i :] + right[:j]))
             ok_left = i >= len(left) or self._fits(left[-i - 1], window[0])
             ok_right = j >= len(right) or self._fits(window[-1], right[j])
             if ok_left and ok_right:
+                self.joined += len(window)
                 return left[: len(left) - i] + window + right[j:]
             i = i if ok_left else min(len(left), 2 * i)
             j = j if ok_right else min(len(right), 2 * j)
 
-    def _join(self, text: str, left: tuple, right: tuple, mid: int, hi: int) -> tuple[list[int], list[np.ndarray]]:
-        ls, lt = left
-        rs, rt = right
-        # Left blocks are final if they end two characters before the seam.
-        keep = len(ls)
-        while keep and (ls[keep] if keep < len(ls) else mid) > mid - 2:
-            keep -= 1
-        at = ls[keep] if keep < len(ls) else mid
-        known = {s: i for i, s in enumerate(rs)}
-        starts, blocks, span = [], [], 64
-        while True:  # matches from `at` until one starts where a right block does
-            stop = min(hi, mid + span)
-            window, starts, blocks, done = text[at:stop], [], [], None
-            for m in self.find(window):
-                if at + m.start() in known and at + m.start() >= mid:
-                    done = known[at + m.start()]
-                    break
-                if stop < hi and m.end() > len(window) - 2:
-                    break  # it may go on past the window
-                starts.append(at + m.start())
-                blocks.append(m.span())
-            else:
-                if stop == hi:
-                    done = len(rs)
-            if done is not None:
-                break
-            span *= 2
-        made = [self._seam(text, at + a, at + b, mid, hi, left, right) for a, b in blocks]
-        return ls[:keep] + starts + rs[done:], lt[:keep] + made + rt[done:]
-
-    def _seam(self, text: str, lo: int, hi: int, mid: int, end: int, left: tuple, right: tuple) -> np.ndarray:
-        """Tokens of the piece text[lo:hi]. A long one that is the last block on
-        the left and the first on the right joins their tokens instead."""
-        (ls, lt), (rs, rt) = left, right
-        if hi - lo > self.long and ls and ls[-1] == lo and rs and rs[0] == mid and (rs[1] if len(rs) > 1 else end) == hi:
-            return np.array(self.join_tokens(lt[-1].tolist(), rt[0].tolist()), np.uint32)
-        return self._piece(text[lo:hi])
-
     # -- decoding -------------------------------------------------------------
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the tokens, concatenated up a tree of halves."""
+        return self._concat(ids.tolist())
+
+    def _concat(self, ids: list[int]) -> bytes:
         if len(ids) <= self.leaf:
-            return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+            return b"".join(map(self.bytes_of.__getitem__, ids))
         mid = len(ids) // 2
-        return self.decode(ids[:mid]) + self.decode(ids[mid:])
+        return self._concat(ids[:mid]) + self._concat(ids[mid:])
 
 
 def codec(vocabulary: str | None = None, pattern: str | None = None, leaf: int = LEAF) -> MonoidBpe:
@@ -195,7 +184,8 @@ def codec(vocabulary: str | None = None, pattern: str | None = None, leaf: int =
         import public_tokenizers as public
 
         with open(vocabulary or public.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
-            cache[key] = MonoidBpe(load_ranks(f.read()), pattern or public.PATTERN, leaf)
+            own = pattern not in (None, public.PATTERN)
+            cache[key] = MonoidBpe(load_ranks(f.read()), pattern or public.PATTERN, leaf, cut=None if own else CUT)
     return cache[key]
 
 
@@ -205,7 +195,9 @@ def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None
     uint32). No shuffle: every row is encoded where it is read.
 
     A null text counts as empty: no tokens, the digests of nothing. Columns of
-    ``docs`` that clash with the new names are replaced; rows repeat as given.
+    ``docs`` that clash with the new names are replaced; rows repeat as given; an
+    empty table gives no rows. A very long text is one row of one task, whose
+    memory is in proportion to it. Encoding is a function: ties cannot arise.
     """
     import pyarrow as pa
 

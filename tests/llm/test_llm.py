@@ -70,8 +70,21 @@ def test_monoid_encoding_equals_sequential_encoding(text):
 @given(st.text("abcdeth", min_size=2, max_size=200), st.data())
 def test_token_lists_of_one_piece_join(piece, data):
     cut = data.draw(st.integers(0, len(piece)))
-    a, b = (SMALL.encode_piece(x.encode()) if x else [] for x in (piece[:cut], piece[cut:]))
-    assert SMALL.join_tokens(a, b) == SMALL.encode_piece(piece.encode())
+    a, b = (REFERENCE.encode_ordinary(x) for x in (piece[:cut], piece[cut:]))
+    assert SMALL.merge(piece.encode()) == REFERENCE.encode_ordinary(piece)
+    assert SMALL.join_tokens(a, b) == REFERENCE.encode_ordinary(piece)
+
+
+def test_joins_reach_all_but_the_shortest_texts():
+    """Shipped sizes: words, white space, script without spaces, one huge piece, and a pattern without known cuts."""
+    rng = random.Random(2)
+    texts = [words(4000, rng), "\n \t" * 900, "漢字かな交じり文、" * 300, "漢" * 3000, "x" * 5000, "a1" * 3000, "don't we'll 's'" * 200, "é" * 97]
+    for made in (byte_bpe.MonoidBpe(RANKS, PATTERN), byte_bpe.MonoidBpe(RANKS, PATTERN, cut=None)):
+        for t in texts:
+            made.joined = 0
+            ids = made.encode(t)
+            assert ids.tolist() == REFERENCE.encode_ordinary(t) and made.joined
+            assert made.decode(ids) == t.encode()
 
 
 def test_encode_documents(edge, empty):
