@@ -35,8 +35,9 @@ SEVERITY_POINTS = {"critical": 30, "high": 20, "medium": 10, "low": 5}
 
 #: Words that do not count in functional tool matching.
 STOP_WORDS = (
-    "what is the of in a an and or to how many who which are was were be been at on for with that this it its from"
-).split()
+    "what", "is", "the", "of", "in", "a", "an", "and", "or", "to", "how", "many", "who", "which", "are", "was", "were",
+    "be", "been", "at", "on", "for", "with", "that", "this", "it", "its", "from",
+)
 
 #: A literal that no parameter of the type accepts.
 INCOMPATIBLE = {"number": "invalid_string", "integer": "invalid_string", "string": "42", "array": "invalid_string", "object": "invalid_string", "boolean": "invalid_string"}
