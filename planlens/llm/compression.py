@@ -18,23 +18,23 @@ from .common import worker_cache
 CHUNK, LEVEL = 512, 6
 #: Bounds of what a class's model is fitted on: passages, and characters of each.
 PASSAGES, PASSAGE_CHARS = 192, 1024
+#: Classes that get a dictionary, the most frequent first: at most PASSAGES * PASSAGE_CHARS characters of each reach the driver.
+CLASSES = 1024
 
 
-def sample_passages(rows: DataFrame, label: str, text: str, key: Column, passages: int, chars: int, classes: int = 4096) -> dict[str, list[str]]:
+def sample_passages(rows: DataFrame, label: str, text: str, key: Column, passages: int, chars: int, classes: int = CLASSES) -> dict[str, list[str]]:
     """At most ``passages`` passages of ``chars`` characters for each label, the
-    most frequent label first (ties by name).
+    most frequent label first (ties by name). Labels beyond the ``classes`` most
+    frequent have no model: fitting takes a sample whose bound this is.
 
     Rows are picked by the hash of ``key`` (a hash threshold drawn from the
     label's count, then the smallest hashes), a passage begins at a hashed
     place of its text. What reaches the driver is bounded by the arguments."""
     rows = rows.where(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.lit("sample"), key, F.xxhash64(text)).alias("h"))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").limit(classes + 1).collect()}
-    if len(counts) > classes:
-        raise ValueError(f"over {classes} labels")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(classes).collect()}
     share = {k: min(1.0, 2.0 * passages / n) for k, n in counts.items()}
-    limit = F.lit(0.0)
-    for k, v in share.items():
-        limit = F.when(F.col("label") == k, F.lit(v)).otherwise(limit)
+    # a map, as its size does not grow the expression tree
+    limit = F.coalesce(F.create_map(*(F.lit(x) for p in share.items() for x in p))[F.col("label")], F.lit(0.0)) if share else F.lit(0.0)
     unit = F.shiftrightunsigned("h", 11) / float(1 << 53)
     span = F.greatest(F.length("text") - chars, F.lit(0)) + 1
     at = F.pmod(F.xxhash64(F.lit("place"), "h"), span) + 1

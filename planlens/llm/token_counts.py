@@ -31,7 +31,8 @@ def flat_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", eod
     anywhere; ``ids`` rows list the file's documents in order, the block then
     being the ordinal of the first. Null texts are empty documents.
 
-    ``width`` 2 holds ids below 65,536, which the given vocabularies respect."""
+    ``width`` 2 holds ids below 65,536; a vocabulary with larger ones, or in which
+    ``eod`` is a token, raises ValueError."""
 
     def run(frames: Iterator) -> Iterator:
         import pyarrow as pa
@@ -40,6 +41,9 @@ def flat_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", eod
         file, names = TaskContext.get().partitionId(), ["file", "block", "payload", "ids"]
         encode = codec(vocabulary).encode
         pending, held, block, ordinal = [], 0, 0, 0
+        most = max(codec(vocabulary).bytes_of)
+        if max(most, eod) >= 1 << 8 * width or eod in codec(vocabulary).bytes_of:
+            raise ValueError(f"ids up to {max(most, eod)} need more than {width} bytes, or {eod} is a token")
 
         def rows(blocks: list[bytes], ids: pa.Array | None) -> pa.RecordBatch:
             nonlocal block, ordinal

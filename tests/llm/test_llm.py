@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -477,7 +478,11 @@ def test_url_model_against_brute_force(spark):
 # -- 9: nearest neighbours -----------------------------------------------------------
 
 
-def test_ann(spark):
+@pytest.mark.parametrize(("need", "cell"), [(3000, 4096), (3000, 40), (200_000, 200)])
+def test_ann(spark, monkeypatch, need, cell):
+    """Slices of about two rows each, cells and crowds that are dealt out, and slices that hold all."""
+    monkeypatch.setattr(ann, "CELL", cell)
+    monkeypatch.setattr(ann, "QUERIES", max(8, cell // 8))
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
     x[100:400] = x[100]  # a crowd of equal vectors
@@ -485,7 +490,7 @@ def test_ann(spark):
     odd = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [None] * 16), (2080, [1.0, 2.0]), (None, [1.0] * 16), (0, rows[0][1])]
     v = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>")
     got = collections.defaultdict(list)
-    for r in ann.search(v, v.where("vec_id % 20 = 0"), k=10, shard_rows=400).collect():
+    for r in ann.search(v.withColumn("ids", F.lit(1)).withColumn("v", F.lit(2)), v.where("vec_id % 20 = 0"), k=10, trees=32, need=need).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     data = np.array([r[1] for r in rows])
     hits = 0
@@ -495,15 +500,27 @@ def test_ann(spark):
         s = (data * data[q]).sum(1)
         order = sorted((i for i in range(1500) if i != q), key=lambda i: (-s[i], i))[:10]
         assert [f[0] for f in found] == list(range(1, 11)) and len({f[1] for f in found}) == 10 and q not in {f[1] for f in found}
-        assert all(f[2] == s[f[1]] for f in found)
+        assert all(f[2] == pytest.approx(s[f[1]], rel=1e-13) for f in found)
         assert found == sorted(found, key=lambda f: (-f[2], f[1]))
         hits += len({f[1] for f in found} & set(order))
     assert hits / 10 / len(got) >= 0.9
+    if need > 100_000:
+        assert hits == 10 * len(got)
     few = v.where("vec_id < 5")
     assert ann.search(few, few.where("vec_id = 0"), k=20).count() == 4
     assert ann.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_ann_near_the_limits_of_doubles(spark):
+    rows = [(0, [1e-200, 0.0]), (20, [1e-200, 1e-201]), (40, [1e200, 1e200]), (60, [-1e200, 3e200]), (3, [5e-324, 0.0]), (4, [1e308, 1e308]), (5, [0.0, 0.0]), (0, [0.0, 1e-200])]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(v, v.where("vec_id % 20 = 0"), k=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == {0, 20, 40, 60} and all(len(x) == 3 for x in got.values())
+    assert 4 in got[40] and 5 not in sum(got.values(), [])
+
+
 # -- 10: mixing ----------------------------------------------------------------------
 
 
@@ -540,6 +557,33 @@ def test_mix(spark, edge, empty):
     out = mixing.mix(edge, mixing.words(F.col("text")), F.array("source")).collect()
     assert len(out) == edge.count() and all(r.taken <= 2 * r["size"] for r in out)
     assert mixing.mix(empty, mixing.words(F.col("text")), F.array("source")).count() == 0
+    more = ["part", "full", "edge", "last", "gap", "picks", "cum", "n", "fine", "reached", "taken", "_key"]
+    odd = d.select("*", *(F.lit(1).alias(c) for c in more))
+    again = mixing.mix(odd, mixing.words(F.col("text")), F.array("source"), tie=F.xxhash64("text"))
+    assert set(again.columns) == {*d.columns, *more, "size", "source_size", "target"}
+    assert sorted(tuple(r) for r in again.select("doc_id", "source", "size", "source_size", "target", "taken").collect()) == got
+
+
+def test_flow_costs_least():
+    """Against every whole flow of small cases: as much as can be routed, then at least cost."""
+    rng = random.Random(8)
+    for _ in range(25):
+        caps = [rng.randint(0, 3) for _ in range(3)]
+        members = [rng.sample(range(2), rng.randint(1, 2)) for _ in caps]
+        quota = [rng.randint(0, 5) for _ in range(2)]
+        flow = mixing.min_cost_flow(caps, members, quota, 2)
+        cost = lambda c, x: sum(2 * k + 1 for k in range(2) for _ in range(max(0, min(c, x - k * c))))
+        best = (1, 0)
+        routes = [(p, s) for p, m in enumerate(members) for s in m]
+        for amounts in itertools.product(*(range(2 * caps[p] + 1) for p, _ in routes)):
+            out, into = collections.Counter(), collections.Counter()
+            for (p, s), x in zip(routes, amounts, strict=True):
+                out[p] += x
+                into[s] += x
+            if all(out[p] <= 2 * c for p, c in enumerate(caps)) and all(into[s] <= q for s, q in enumerate(quota)):
+                best = min(best, (-sum(amounts), sum(cost(c, out[p]) for p, c in enumerate(caps))))
+        got = [sum(f.values()) for f in flow]
+        assert (-round(sum(got)), sum(cost(c, round(x)) for c, x in zip(caps, got, strict=True))) == (min(0, best[0]), best[1] if best[0] <= 0 else 0)
 
 
 # -- the pipeline --------------------------------------------------------------------
