@@ -31,14 +31,38 @@ def sanitize_key(c: Column, most: int = 60) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, most)
 
 
-def normal_name(c: Column) -> Column:
-    """Lower case, trimmed, without closing punctuation."""
-    return F.lower(F.trim(F.regexp_replace(F.trim(c), "[?:.!\\s]+$", "")))
+def normal_name(c: Column, compatible: bool = False) -> Column:
+    """Lower case, trimmed, without closing punctuation; ``compatible``: in NFKC,
+    for which names beyond ASCII go through Python, so that others stay in the JVM."""
+    body = F.when(c.rlike("[^\\x00-\\x7F]"), nfkc(F.when(c.rlike("[^\\x00-\\x7F]"), c))).otherwise(c) if compatible else c
+    return F.lower(F.trim(F.regexp_replace(F.trim(body), "[?:.!\\s]+$", "")))
 
 
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    known = s.notna()
+    out = s.copy()
+    out[known] = [unicodedata.normalize("NFKC", t) for t in s[known]]
+    return out
+
+
+def json_object(c: Column) -> Column:
+    """The first balanced ``{...}`` of a text, braces in strings aside, without
+    fences and trailing commas; null if there is none. One pass over the brace,
+    quote and escape characters, not over all."""
+    body = strip_fences(c)
+    tokens = F.regexp_extract_all(body, F.lit(r'(?s)\\.|[{}"]|[^{}"\\]+'), F.lit(0))
+    state = F.struct(F.lit(0).alias("d"), F.lit(False).alias("q"), F.lit("").alias("out"), F.lit(False).alias("end"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["d"] + F.when(s["q"], 0).when(t == "{", 1).when((t == "}") & (s["d"] > 0), -1).otherwise(0)
+        inside = (s["d"] > 0) | (depth > 0)
+        quoted = F.when((t == '"') & inside, ~s["q"]).otherwise(s["q"])
+        took = F.struct(depth.alias("d"), quoted.alias("q"), F.when(inside, F.concat(s["out"], t)).otherwise(s["out"]).alias("out"), (inside & (depth == 0)).alias("end"))
+        return F.when(s["end"], s).otherwise(took)
+
+    found = F.aggregate(tokens, state, step)
+    return F.when(found["end"], F.regexp_replace(found["out"], ",\\s*([}\\]])", "$1"))
 
 
 def replace_names(text: Column, names: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planlens.functions import text
+
 
 def parameters(schema: Column) -> Column:
     """Parameters of a tool from its JSON: either ``properties`` with ``required``
@@ -31,6 +33,29 @@ def by_api_name(tools: DataFrame, key: str, name: str, order: str, api: str) ->
     return first.select(key, api, *(F.col(f"t.{c}") for c in rest))
 
 
+def remapped(rows: DataFrame, name: str, names: DataFrame, nl: str, api: str, compatible: bool = False) -> DataFrame:
+    """``rows`` plus ``tier`` (exact, normalized or none) and ``api_name``: the API
+    name of the equal natural name, else of one that is equal when normalised. Of
+    several names the least API name stands, so that no row is multiplied."""
+    key = text.normal_name(F.col(nl), compatible)
+    exact = names.groupBy(F.col(nl).alias("_nl")).agg(F.min(api).alias("_exact"))
+    loose = names.groupBy(key.alias("_key")).agg(F.min(api).alias("_loose"))
+    out = rows.join(exact, F.col(name) == F.col("_nl"), "left").withColumn("_own", text.normal_name(F.col(name), compatible))
+    out = out.join(loose, F.col("_own") == F.col("_key"), "left")
+    tier = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_loose").isNotNull(), "normalized").otherwise("none")
+    return out.select(*rows.columns, tier.alias("tier"), F.coalesce("_exact", "_loose").alias("api_name"))
+
+
+def remap_steps(plans: DataFrame, names: DataFrame, nl: str, api: str, key: str = "plan_id", steps: str = "steps") -> DataFrame:
+    """``(key, steps, n_exact, n_normalized, n_none, n_left)``: plans with API names in
+    their steps, counters by tier, and how many steps still have a sentence for a name."""
+    rows = plans.select(key, F.explode(steps).alias("s")).withColumn("_name", F.col("s.tool_name"))
+    done = remapped(rows, "_name", names, nl, api).withColumn("s", F.col("s").withField("tool_name", F.coalesce("api_name", "_name")))
+    count = lambda t: F.count_if(F.col("tier") == t).alias(f"n_{t}")
+    left = F.count_if(text.is_sentence_name(F.col("s.tool_name"))).alias("n_left")
+    return done.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias(steps), *map(count, ("exact", "normalized", "none")), left)
+
+
 def gold_name(name: Column, tools: Column) -> Column:
     """API name of a gold step's name among ``tools`` (array of structs ``key, api``
     in order): the equal key's, else that of the first key that contains the name

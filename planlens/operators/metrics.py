@@ -37,6 +37,15 @@ def prf(df: DataFrame, gold: str, pred: str, classes: list[str]) -> DataFrame:
     return out.select("class", "support", r6(p).alias("precision"), r6(r).alias("recall"), r6(ratio(2 * F.col("tp"), F.col("predicted") + F.col("support"))).alias("f1"))
 
 
+def averaged(by_class: DataFrame) -> DataFrame:
+    """``macro_precision, macro_recall, macro_f1, weighted_f1, support`` of ``prf()``'s
+    classes: plain means over the classes that occur, and F1 weighted by support."""
+    seen = by_class.where("support > 0")
+    mean = lambda c: r6(F.avg(c))
+    weighted = r6(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")))
+    return seen.agg(mean("precision").alias("macro_precision"), mean("recall").alias("macro_recall"), mean("f1").alias("macro_f1"), weighted.alias("weighted_f1"), F.sum("support").alias("support"))
+
+
 def ece(df: DataFrame, confidence: str, correct: Column) -> DataFrame:
     """Expected calibration error over ten bins ``[lo, hi)``; confidence 1.0 is in no bin but counts in n."""
     bin_ = F.lit(None).cast("int")
@@ -70,10 +79,10 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("n", r6(po).alias("agreement"), r6(F.when(pe >= 1, 1.0).otherwise((po - pe) / (1 - pe))).alias("kappa"))
 
 
-def upper_median(c: Column) -> Column:
+def upper_median(name: str) -> Column:
     """``sorted[n // 2]``."""
-    s = F.sort_array(F.collect_list(c))
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+    # the least value that more than half of the rows do not exceed or reach: a count of distinct values, not a list
+    return F.expr(f"percentile_disc(0.5000000001) within group (order by {name})")
 
 
 def bands(df: DataFrame, score: str, cuts: dict[str, tuple[float, float]]) -> DataFrame:

@@ -93,6 +93,22 @@ def selection_gain(best: DataFrame, least: int = 80) -> DataFrame:
     return best.agg(n.alias("n"), r6(a / n).alias("best_success"), r6(b / n).alias("first_success"), r6(100 * (a - b) / n).alias("success_gain_pts"), r6(sa / n).alias("best_mean"), r6(sb / n).alias("first_mean"), r6((sa - sb) / n).alias("score_gain_pts"))
 
 
+def valid_block(compared: DataFrame, score: str = "judge_score") -> DataFrame:
+    """One row: sizes, the judge's scores over all rows, structural means over valid ones."""
+    valid = lambda c: r6(F.avg(F.when(F.col("valid"), F.col(c).cast("double")))).alias(c)
+    return compared.agg(
+        F.count("*").alias("n"),
+        F.count_if("valid").alias("n_valid"),
+        *map(valid, ("exact_tool_accuracy", "param_accuracy", "exact_match")),
+        r6(F.avg(score)).alias("mean_judge_score"),
+        F.min(score).alias("least_judge_score"),
+        F.max(score).alias("most_judge_score"),
+        r6(F.stddev_pop(score)).alias("judge_score_std"),
+        F.count_if(F.col("gen_n_steps") == 0).alias("n_empty"),
+        r6(F.avg((F.col("gen_n_steps") == F.col("gold_n_steps")).cast("int"))).alias("same_length"),
+    )
+
+
 def within_failure_budget(calls: DataFrame, failed: Column, most: float = 0.05) -> DataFrame:
     """``calls`` as they are, if at most a share ``most`` of them failed; else an error."""
     n, bad = calls.agg(F.count("*"), F.count_if(failed)).first()

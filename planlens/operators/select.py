@@ -48,6 +48,28 @@ def first_per(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
 
 
+def ranked_candidates(df: DataFrame, group: str, score: str, order: str, value: str, most: int | None = None) -> DataFrame:
+    """``(group, candidates)``: each group's structs ``score, order, value``, the best
+    first, equal ones in their order. A group is one query's candidates."""
+    best = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(order).alias("o"), F.col(value).alias("v"))))
+    rows = df.groupBy(group).agg((F.slice(best, 1, most) if most else best).alias("c"))
+    return rows.select(group, F.transform("c", lambda x: F.struct((-x["s"]).alias(score), x["o"].alias(order), x["v"].alias(value))).alias("candidates"))
+
+
+def joined_with_missing(rows: DataFrame, lookup: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(inner join, ``(key, n)`` of what the lookup lacks)."""
+    missing = rows.join(lookup.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.count("*").alias("n"))
+    return rows.join(lookup, key), missing
+
+
+def uncovered_groups(groups: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
+    """``(key, fault)``: keys that a manifest lacks, has twice or has without need; none if it is sound."""
+    n = manifest.groupBy(key).agg(F.count("*").alias("n"))
+    both = groups.select(key).distinct().withColumn("known", F.lit(True)).join(n, key, "full")
+    fault = F.when(F.col("n").isNull(), "missing").when(F.col("known").isNull(), "unknown").when(F.col("n") > 1, "twice")
+    return both.select(key, fault.alias("fault")).where("fault is not null")
+
+
 def concat_with_offset(df: DataFrame, batch: str, local_id: str) -> DataFrame:
     """Global ids over batches in order: each is offset by what the ids of those before reach."""
     sizes = df.groupBy(batch).agg((F.max(local_id) + 1).alias("size"))

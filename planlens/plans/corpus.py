@@ -67,10 +67,10 @@ def parsed(spark: SparkSession, sf_dir: str, dialect: str = "strict") -> DataFra
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tool_name, required, arg_0_type: some tools are left out, so that plans can call unknown ones."""
+    """tool_name, required, types: some tools are left out, so that plans can call unknown ones."""
     tools = table(spark, sf_dir, "part").groupBy(F.replace("p_name", F.lit(" "), F.lit("_")).alias("tool_name")).agg(F.min("p_partkey").alias("k"))
     required = F.when(F.col("k") % 3 == 0, F.array(*map(F.lit, ("arg_0", "extra", "note")))).otherwise(F.array(F.lit("arg_0"), F.lit("note")))
-    return tools.where("k % 7 <> 3").select("tool_name", required.alias("required"), F.when(F.col("k") % 5 == 0, "string").otherwise("integer").alias("arg_0_type"))
+    return tools.where("k % 7 <> 3").select("tool_name", required.alias("required"), F.create_map(F.lit("arg_0"), F.when(F.col("k") % 5 == 0, "string").otherwise("integer"), F.lit("note"), F.lit("string")).alias("types"))
 
 
 def query_tools(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,20 @@ def chat(system: Column, user: Column) -> Column:
     return F.array(message("system", system), message("user", user))
 
 
+def defaults(params: Column, required: Column, types: Column) -> Column:
+    """``params`` (structs ``k, v``) with the required ones that are missing, as
+    literals by type: 0, 0.0, False, [], {} or an empty text."""
+    have = params["k"]
+    blank = lambda t: F.when(t == "integer", "0").when(t == "number", "0.0").when(t == "boolean", "False").when(t == "array", "[]").when(t == "object", "{}").otherwise("''")
+    made = F.transform(F.array_except(required, have), lambda k: F.struct(k.alias("k"), blank(F.coalesce(types[k], F.lit("any"))).alias("v")))
+    return F.concat(params, made)
+
+
+def with_expected(steps: Column, outputs: Column) -> Column:
+    """Steps with ``expected_output`` by position; null beyond the known outputs."""
+    return F.transform(steps, lambda s, i: F.struct(s["step_id"].alias("step_id"), s["tool_name"].alias("tool_name"), F.get(outputs, i).alias("expected_output")))
+
+
 def masked_labels(prompt: Column, answer: Column, most: int, ignore: int = -100) -> Column:
     """``ids, labels`` of a training row: the prompt's tokens are ignored, the row
     is cut at ``most``; null if the prompt alone reaches it."""

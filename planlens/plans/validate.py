@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,22 +11,52 @@ def exploded(df: DataFrame, *keys: str, steps: str = "steps") -> DataFrame:
     return df.select(*keys, F.explode(steps).alias("s")).select(*keys, "s.*")
 
 
+#: SQL: the kind of a literal as it stands in a plan.
+_KIND = """case when {0} rlike '^-?[0-9]+$' then 'integer' when {0} rlike '^-?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$' then 'number'
+  when {0} rlike '^(?i)(true|false)$' then 'boolean' when {0} rlike '(?s)^\\\\[.*\\\\]$' then 'array' when {0} rlike '(?s)^\\\\{{.*\\\\}}$' then 'object' else 'string' end"""
+#: SQL: the references in a step's parameters.
+_REFS = r"transform(flatten(transform(params, p -> regexp_extract_all(p.v, '\\{\\{(\\d+)\\}\\}', 1))), r -> cast(r as int))"
+
+
 def violations(steps: DataFrame, catalog: DataFrame, key: str = "plan_id") -> DataFrame:
     """``(key, pos, kind, detail)``: unknown_tool (which ends a step's checks),
-    missing_param, type_mismatch, forward_ref, nonexistent_ref."""
-    literal = "get(filter(params, p -> p.k = 'arg_0' and p.v not like '%{{%'), 0).v"
-    fits = f"""case arg_0_type when 'integer' then {literal} rlike '^-?[0-9]+$' when 'number' then {literal} rlike '^-?[0-9]+([.][0-9]+)?$'
-      else not {literal} rlike '^-?[0-9]+([.][0-9]+)?$' end"""
-    refs = r"transform(flatten(transform(params, p -> regexp_extract_all(p.v, '\\{\\{(\\d+)\\}\\}', 1))), r -> cast(r as int))"
+    missing_param, type_mismatch, forward_ref, nonexistent_ref.
+
+    ``catalog`` has ``tool_name, required`` (names) and ``types`` (name to type).
+    Every declared parameter without a reference is checked: an integer is a number
+    too, ``any`` is everything; undeclared ones are not. ``steps`` has ``last_step``,
+    the plan's largest step id: what lies beyond it does not exist."""
+    kind = _KIND.format("trim(p.v)")
+    fits = f"(types[p.k] in ({kind}, 'any') or (types[p.k] = 'number' and {kind} = 'integer'))"
     row = lambda kind, detail: f"named_struct('kind', '{kind}', 'detail', {detail})"
     found = f"""if(required is null, array({row("unknown_tool", "tool_name")}), concat(
       transform(array_except(required, params.k), x -> {row("missing_param", "x")}),
-      if({literal} is not null and not {fits}, array({row("type_mismatch", "'arg_0'")}), array()),
-      transform(filter({refs}, r -> r >= step_id), r -> {row("forward_ref", "cast(r as string)")}),
-      transform(filter({refs}, r -> r >= n_steps), r -> {row("nonexistent_ref", "cast(r as string)")})))"""
+      transform(filter(params, p -> types[p.k] is not null and p.v not like '%{{{{%' and not {fits}), p -> {row("type_mismatch", "p.k")}),
+      transform(filter({_REFS}, r -> r >= step_id), r -> {row("forward_ref", "cast(r as string)")}),
+      transform(filter({_REFS}, r -> r > last_step), r -> {row("nonexistent_ref", "cast(r as string)")})))"""
     return steps.join(catalog, "tool_name", "left").select(key, "pos", F.explode(F.expr(found)).alias("x")).select(key, "pos", "x.*")
 
 
+def checked(plans: DataFrame, catalog: DataFrame, key: str = "plan_id", steps: str = "steps") -> DataFrame:
+    """``(key, ok, errors)``, a row a plan: all violations as ``pos:kind:detail``,
+    sorted, and ``cycle``. A plan without steps has no errors."""
+    rows = plans.select(key, F.array_max(F.col(steps)["step_id"]).alias("last_step"), F.explode(steps).alias("s")).select(key, "last_step", "s.*")
+    found = violations(rows, catalog, key).select(key, F.concat_ws(":", F.col("pos").cast("string"), "kind", "detail").alias("e"))
+    found = found.union(cyclic(rows, key).select(key, F.lit("cycle"))).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("errors"))
+    none = F.array().cast("array<string>")
+    return plans.select(key).join(found, key, "left").select(key, F.col("errors").isNull().alias("ok"), F.coalesce("errors", none).alias("errors"))
+
+
+def gated(rows: DataFrame, reports: DataFrame, gold: str, key: str = "plan_id") -> DataFrame:
+    """Rows whose gold plan (``gold``: its key) has no errors; rows without gold go."""
+    return rows.join(reports.where("ok").select(F.col(key).alias(gold)), gold, "left_semi")
+
+
+def refers(value: Column) -> Column:
+    """Whether a JSON or plain text value holds a reference, at any depth."""
+    return F.coalesce(value.rlike(r"\{\{\d+\}\}|\$var_?\d+\.\w+\$"), F.lit(False))
+
+
 def edges(steps: DataFrame, key: str = "plan_id") -> DataFrame:
     """``(key, src, dst)``: step ``src`` refers to the output of step ``dst``."""
     refs = F.explode(F.expr(r"array_distinct(flatten(transform(params, p -> regexp_extract_all(p.v, '\\{\\{(\\d+)\\}\\}', 1))))"))

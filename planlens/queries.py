@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from planlens.functions import maths, text
-from planlens.operators import execute, metrics, report, retrieve, score, select
+from planlens.operators import catalog, execute, metrics, report, retrieve, score, select
 from planlens.operators.metrics import r6, share
 from planlens.plans import compare, corpus, inject, parse, validate
 from planlens.plans.schema import ECE_EDGES, ERROR_TYPES, STOP_WORDS
@@ -30,8 +30,8 @@ _TOOLS = """v_tools as (select tool_name, case when k % 3 = 0 then ['arg_0', 'ex
 
 
 def steps_of(spark, sf_dir):
-    """Parsed steps with the number of steps of their plan."""
-    return corpus.parsed(spark, sf_dir).select("plan_id", F.size("steps").alias("n_steps"), F.explode("steps").alias("s")).select("plan_id", "n_steps", "s.*")
+    """Parsed steps with the largest step id of their plan."""
+    return corpus.parsed(spark, sf_dir).select("plan_id", F.array_max("steps.step_id").alias("last_step"), F.explode("steps").alias("s")).select("plan_id", "last_step", "s.*")
 
 
 # -- parsing and formatting -----------------------------------------------------
@@ -269,7 +269,7 @@ def prediction_dist(spark, sf_dir):
 @query(f"with {_PLANS} select error_type, list_sort(list(quality_score))[count(*) // 2 + 1] as upper_median, quantile_cont(quality_score, 0.25)::double as q1, quantile_cont(quality_score, 0.5)::double as median, quantile_cont(quality_score, 0.75)::double as q3, round(stddev_pop(quality_score), 6) as std from v_plans group by error_type")
 def score_medians(spark, sf_dir):
     q = lambda p, n: F.percentile("quality_score", F.lit(p)).alias(n)
-    return corpus.plans(spark, sf_dir).groupBy("error_type").agg(metrics.upper_median(F.col("quality_score")).alias("upper_median"), q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), r6(F.stddev_pop("quality_score")).alias("std"))
+    return corpus.plans(spark, sf_dir).groupBy("error_type").agg(metrics.upper_median("quality_score").cast("int").alias("upper_median"), q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), r6(F.stddev_pop("quality_score")).alias("std"))
 
 
 @query(f"""with {_PLANS}, g as (select query_id, max(judge_score) as gold from v_plans where slot = 0 group by 1), s as (select error_type, judge_score, gold from v_plans join g using (query_id) where slot > 0)
@@ -389,8 +389,8 @@ def injected_steps(spark, sf_dir, error_type):
 @query(f"with {_STEPS}, n as (select plan_id, count(*) as k from v_steps group by 1) select plan_id, 'forward_ref' as kind, count(*) as n from n where k >= 2 group by 1, 2")
 def validate_refs(spark, sf_dir):
     """Forward references that the injector makes are found again, one a plan."""
-    p = injected_steps(spark, sf_dir, "forward_reference").select("plan_id", F.size("steps").alias("n_steps"), F.explode("steps").alias("s")).select("plan_id", "n_steps", "s.*")
-    every = p.select("tool_name").distinct().select("tool_name", F.array().cast("array<string>").alias("required"), F.lit("integer").alias("arg_0_type"))
+    p = injected_steps(spark, sf_dir, "forward_reference").select("plan_id", F.array_max("steps.step_id").alias("last_step"), F.explode("steps").alias("s")).select("plan_id", "last_step", "s.*")
+    every = p.select("tool_name").distinct().select("tool_name", F.array().cast("array<string>").alias("required"), F.create_map(F.lit("arg_0"), F.lit("integer")).alias("types"))
     return validate.violations(p, every).where("kind like '%_ref'").groupBy("plan_id", "kind").agg(F.count("*").alias("n"))
 
 
@@ -485,7 +485,9 @@ def inject_with_fallback(spark, sf_dir):
 def tool_catalog_dedupe(spark, sf_dir):
     """Tools by API name: the first wins."""
     p = corpus.table(spark, sf_dir, "part")
-    return p.groupBy(F.col("p_brand").alias("api_name")).agg(F.min("p_partkey").alias("first_key"), F.count("*").alias("n"))
+    first = catalog.by_api_name(p.select(F.lit("all").alias("key"), "p_brand", "p_partkey"), "key", "p_partkey", "p_partkey", "p_brand")
+    n = p.groupBy("p_brand").agg(F.count("*").alias("n"))
+    return first.join(n, "p_brand").select(F.col("p_brand").alias("api_name"), F.col("p_partkey").alias("first_key"), "n")
 
 
 @query("""select p_partkey, case p_partkey % 3 when 0 then 'exact' when 1 then 'normalized' else 'none' end as tier, case p_partkey % 3 when 2 then null else replace(p_name, ' ', '_') end as api_name from part""")
@@ -494,20 +496,17 @@ def name_remap_two_tier(spark, sf_dir):
     p = corpus.table(spark, sf_dir, "part").select("p_partkey", "p_name")
     names = p.select(F.col("p_name").alias("nl"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("api")).distinct()
     asked = p.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit(" "), F.upper("p_name"), F.lit(" ?:"))).otherwise(F.lit("no such tool")).alias("name"))
-    exact = asked.join(names.withColumnRenamed("api", "a1"), asked["name"] == F.col("nl"), "left").drop("nl")
-    both = exact.withColumn("key", text.normal_name(F.col("name"))).join(names.select(text.normal_name(F.col("nl")).alias("key"), F.col("api").alias("a2")), "key", "left")
-    tier = F.when(F.col("a1").isNotNull(), "exact").when(F.col("a2").isNotNull(), "normalized").otherwise("none")
-    return both.select("p_partkey", tier.alias("tier"), F.coalesce("a1", "a2").alias("api_name"))
+    return catalog.remapped(asked, "name", names, "nl", "api").select("p_partkey", "tier", "api_name")
 
 
-@query("select p_partkey, 'Use ' || replace(p_name, ' ', '_') || ' on ' || lower(p_brand) || '.' as prose from part")
+@query("select p_partkey, 'Use ' || replace(replace(p_name, ' ', '_'), split_part(p_name, ' ', 1), '<' || split_part(p_name, ' ', 1) || '>') || ' on ' || lower(p_brand) || '.' as prose from part")
 def prose_replace(spark, sf_dir):
     p = corpus.table(spark, sf_dir, "part")
     first = F.element_at(F.split("p_name", " "), 1)
     names = F.array(F.struct(first.alias("old"), F.concat(F.lit("<"), first, F.lit(">")).alias("new")), F.struct(F.col("p_name").alias("old"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("new")), F.struct(F.col("p_brand").alias("old"), F.lower("p_brand").alias("new")))
     done = text.replace_names(F.concat(F.lit("Use "), "p_name", F.lit(" on "), "p_brand", F.lit(".")), names)
     # the shorter name runs last and finds itself inside the longer one's replacement
-    return p.select("p_partkey", F.regexp_replace(done, "[<>]", "").alias("prose"))
+    return p.select("p_partkey", done.alias("prose"))
 
 
 # -- execution ------------------------------------------------------------------
@@ -577,7 +576,7 @@ def hard_negatives_topk(spark, sf_dir):
 
 
 @query("with t as (select vec_id // 20 as query_id, unnest(embedding)::double::decimal(28,12) as x, generate_subscripts(embedding, 1) - 1 as dim from embeddings) select query_id, dim::int as dim, round(sum(x)::double / count(*), 6) as mean from t group by 1, 2")
-def sgc_retrieve(spark, sf_dir):
+def sgc_smooth(spark, sf_dir):
     return retrieve.smoothed(tools_of(spark, sf_dir), "query_id", "embedding")
 
 

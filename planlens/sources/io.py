@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from planlens.plans.schema import ENVELOPE
 
 
-def read_envelope(spark: SparkSession, path: str, schema: str = ENVELOPE) -> tuple[DataFrame, DataFrame]:
-    """``{metadata, data: [...]}`` files (gzip too) to (records, metadata)."""
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+def read_envelope(spark: SparkSession, path: str, schema: str = ENVELOPE, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``{metadata, data: [...]}`` files (gzip too), or such documents a line, to (records, metadata)."""
+    raw = spark.read.schema(schema).option("multiLine", not lines).json(path)
     return raw.select(F.posexplode("data").alias("ord", "r")).select("ord", "r.*"), raw.select("metadata")
 
 
@@ -74,10 +74,30 @@ def write_sheet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
 
 
+def write_json(df: DataFrame, path: str, gzip: bool = False) -> None:
+    """JSON lines, a file a partition; null fields are written."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).option("compression", "gzip" if gzip else "none").json(path)
+
+
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("overwrite").partitionBy(split).parquet(path)
 
 
+def write_manifest(df: DataFrame, path: str, key: str, seed: str, shares: tuple[float, float], split: str = "split") -> None:
+    """The split's manifest as JSON lines: one line of its seed, shares and sizes,
+    then a line a key, so that no list of all keys is ever one value."""
+    sizes = df.groupBy(split).agg(F.count_distinct(key).alias("n"))
+    head = sizes.agg(F.map_from_entries(F.collect_list(F.struct(split, "n"))).alias("sizes"))  # a row a split
+    head = head.select(F.lit(seed).alias("split_seed"), F.array(*map(F.lit, shares)).alias("split_ratios"), "sizes", F.lit(None).cast("string").alias(key), F.lit(None).cast("string").alias(split))
+    rows = df.select(key, split).distinct().select(F.col(key).cast("string").alias(key), split)
+    write_json(head.unionByName(rows, allowMissingColumns=True), path)
+
+
+def read_manifest(spark: SparkSession, path: str, key: str, split: str = "split") -> DataFrame:
+    """``(key, split)`` of a manifest."""
+    return spark.read.schema(f"{key} string, {split} string").json(path).where(F.col(key).isNotNull())
+
+
 def write_with_backup(df: DataFrame, path: str) -> None:
     """Replace a table: the new one is written beside it first, the old one is kept as ``.bak`` (once)."""
     spark, jvm = df.sparkSession, df.sparkSession._jvm

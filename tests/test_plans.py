@@ -140,7 +140,7 @@ def test_metrics(spark):
     assert metrics.kappa(one, "a", "b").first().kappa == 1
     sure = spark.createDataFrame([(1.0,)], "c double")
     assert metrics.ece(sure, "c", F.lit(True)).first().ece == 0
-    assert spark.range(1, 5).agg(metrics.upper_median(F.col("id"))).first()[0] == 3
+    assert spark.range(1, 5).agg(metrics.upper_median("id")).first()[0] == 3
     cand = spark.createDataFrame([(0, 0, 90, 0.5, "aaa"), (0, 1, 90, 0.5, "aa"), (0, 2, 80, 0.9, "a")], "q int, i int, s int, c double, t string")
     assert select.best_of_n(cand, "q", "i", "s", "c", "t").first().best_idx == 1
 
