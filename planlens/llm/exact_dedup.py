@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions
 
 PREFILTER_BITS = 20
+#: Leading bits that are a filter's quotients.
+QUOTIENT_BITS = 16
 #: Distinct fingerprints that a merged segment is meant to hold.
 SEGMENT_KEYS = 1 << 16
 
@@ -59,11 +61,28 @@ class CountingQuotientFilter:
         at = lo + int(np.searchsorted(self.remainders[lo:hi], np.uint64(rest)))
         return int(self.counts[at]) if at < hi and int(self.remainders[at]) == rest else 0
 
+    def join(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Both filters' slots in one, without sorting: each remainder of ``other``
+        is placed among the sorted ones of the same quotient's run."""
+        mine, theirs = self.fingerprints(), other.fingerprints()
+        at = np.searchsorted(mine, theirs)
+        known = np.zeros(len(theirs), bool)
+        inner = at < len(mine)
+        known[inner] = mine[at[inner]] == theirs[inner]
+        counts = self.counts.copy()
+        counts[at[known]] += other.counts[known]
+        new = ~known
+        runs = np.bincount((theirs[new] >> np.uint64(64 - self.q)).astype(np.int64), minlength=1 << self.q)
+        return CountingQuotientFilter(self.q, self.runends + np.cumsum(runs), np.insert(self.remainders, at[new], other.remainders[new]), np.insert(counts, at[new], other.counts[new]))
+
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """One filter with the summed counts; slots merge in fingerprint order."""
-        keys = np.concatenate([f.fingerprints() for f in filters])
-        return cls.build(keys, filters[0].q, np.concatenate([f.counts for f in filters]))
+        """One filter with the summed counts; halves of the list merge first, so
+        that a slot moves a logarithmic number of times."""
+        if len(filters) < 2:
+            return filters[0]
+        mid = len(filters) // 2
+        return cls.merge(filters[:mid]).join(cls.merge(filters[mid:]))
 
     def segments(self, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(leading ``bits`` <= q, fingerprints, counts) of non-empty segments."""
@@ -81,7 +100,7 @@ def merged_counts(fps: DataFrame, segment_bits: int) -> DataFrame:
         # One filter a partition; batches merge as they come.
         own: list[CountingQuotientFilter] = []
         for f in frames:
-            own.append(CountingQuotientFilter.build(f["fp"].to_numpy(np.int64).view(np.uint64), 16))
+            own.append(CountingQuotientFilter.build(f["fp"].to_numpy(np.int64).view(np.uint64), QUOTIENT_BITS))
             if len(own) == 16:
                 own = [CountingQuotientFilter.merge(own)]
         if own:
@@ -89,7 +108,7 @@ def merged_counts(fps: DataFrame, segment_bits: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["segment", "keys", "counts"])
 
     def merge(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        parts = [CountingQuotientFilter.build(np.frombuffer(k, np.uint64), 16, np.frombuffer(c, np.int64)) for k, c in zip(f["keys"], f["counts"], strict=True)]
+        parts = [CountingQuotientFilter.build(np.frombuffer(k, np.uint64), QUOTIENT_BITS, np.frombuffer(c, np.int64)) for k, c in zip(f["keys"], f["counts"], strict=True)]
         one = CountingQuotientFilter.merge(parts)
         many = one.counts > 1
         return pd.DataFrame({"fp": one.fingerprints()[many].view(np.int64), "n": one.counts[many]})
@@ -105,7 +124,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     Texts are equal when their bytes are. A null text counts as the empty one.
     A null id is smaller than any other; if a group has only null ids,
     ``keep_id`` is null and all its rows are kept. Rows that repeat the largest
-    id are all kept. An empty table gives no rows; other columns are ignored.
+    id are all kept. An empty table gives no rows; other columns are ignored,
+    whatever their names. Very long texts are compared whole, in the JVM.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
