@@ -74,12 +74,22 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, seed: in
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
+def tally(differing: np.ndarray) -> np.ndarray:
+    """How many positional bytes pairs share, by the bits in which they differ."""
+    return (np.ascontiguousarray(differing).view(np.uint8).reshape(*differing.shape, WIDTH) == 0).sum(-1)
+
+
+def _linked(differing: np.ndarray, most: int) -> np.ndarray:
+    """The count filter, then the check of all bits."""
+    return (tally(differing) >= WIDTH - most) & (np.bitwise_count(differing) <= most)
+
+
 def _forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, root) links of one posting list: sorted distinct fingerprints."""
     n = len(fps)
     roots = np.arange(n)
     if n <= 256:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= most
+        near = _linked(fps[:, None] ^ fps[None, :], most)
         step = lambda r: np.where(near, r[None, :], n).min(1)
     else:  # probe the free bits instead of comparing all pairs
         free = int(np.bitwise_or.reduce(fps ^ fps[0]))
@@ -138,7 +148,7 @@ def links(distinct: DataFrame, most: int = 2) -> DataFrame:
             fp = fp.view(np.uint64)
             size = ends - starts
             two = starts[size == 2]
-            close = np.bitwise_count(fp[two] ^ fp[two + 1]) <= most
+            close = _linked(fp[two] ^ fp[two + 1], most)
             us, vs = [fp[two + 1][close]], [fp[two][close]]
             for s, e in zip(starts[size > 2], ends[size > 2], strict=True):
                 u, v = _forest(np.sort(fp[s:e]), most)
@@ -248,7 +258,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, most: int = 2, jaccard: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each component the row
     with the smallest id. Rows with a null id stay; of rows that repeat the
-    staying id one stays."""
+    staying id one stays, any of them. Null, empty and wordless texts are one
+    component. Very long texts are hashed in blocks. An empty table gives no rows."""
     groups = simhash_groups(docs, id_col, text, shingle, most, jaccard)
     stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay")).distinct()
     kept = docs.join(stay, F.col(id_col) == F.col("_stay"), "left")
