@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 ORDER = 3
+#: Times that a context must occur in a class to have a say; shorter ones stand in for it.
+LEAST = 2
 #: Score bins a unit, for the calibration.
 BINS = 200
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -84,9 +86,10 @@ def model(labelled: DataFrame, seen: DataFrame) -> DataFrame:
     """``(gram, ratio)`` for each gram of full order in ``seen(s)``.
 
     ``labelled(s, accepted boolean, n bigint)`` holds distinct URLs with the
-    number of rows of each. Orders are interpolated from the uniform
-    distribution upwards: p = (c + t * lower) / (n + t), where n counts what
-    followed the context and t its different successors."""
+    number of rows of each. The order varies with the context: the longest one of
+    up to ``ORDER`` characters that occurs ``LEAST`` times is smoothed by the shorter ones, from
+    the uniform distribution upwards: p = (c + t * lower) / (n + t), where n counts
+    what followed the context and t its different successors."""
     counts = _grams(labelled, ORDER, "accepted", "n").groupBy("gram").agg(*(F.sum(F.when(F.col("accepted") == F.lit(a), F.col("n")).otherwise(0)).alias(c) for a, c in ((True, "c1"), (False, "c0"))))
     counts = materialize(counts, "grams")
     table = _grams(seen, ORDER).select("gram").distinct()
@@ -99,7 +102,7 @@ def model(labelled: DataFrame, seen: DataFrame) -> DataFrame:
         table = table.join(F.broadcast(g), "g", "left").join(F.broadcast(context), "x", "left")
         for k in "10":
             c, n, t = (F.coalesce(F.col(v + k), F.lit(0)) for v in "cnt")
-            table = table.withColumn("p" + k, F.when(n > 0, (c + t * F.col("p" + k)) / (n + t)).otherwise(F.col("p" + k)))
+            table = table.withColumn("p" + k, F.when(n >= LEAST, (c + t * F.col("p" + k)) / (n + t)).otherwise(F.col("p" + k)))
         table = table.select("gram", "p1", "p0")
     return table.select("gram", (F.ln("p1") - F.ln("p0")).alias("ratio"))
 
@@ -137,15 +140,22 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url
     """``keep`` columns plus ``host``, ``path``, ``rule``, ``verdict``, ``score``.
 
     A rule's verdict stands; other URLs are judged by the language models. Their
-    training URLs are ``labelled(url, accepted boolean)``, by default the URLs
+    training URLs are ``labelled(url, accepted boolean)`` (its other columns are
+    ignored), by default the URLs
     on which a rule decides. The models see the whole URL, with scheme, query and
     fragment. URLs without ``://`` have empty host and path and are judged by
     their text; null URLs by an empty one, whose score is 0; all rows stay, repeated ones too; without labels of both kinds the score decides at 0.
+    Of rules that are equally long a blocking one wins, then the later by name. Very
+    long URLs cost rows in proportion to their length. No pages, no rows. ``keep``
+    columns named like the new ones are replaced.
     """
     at, way = host(F.col(url)), path(F.col(url))
-    rows = pages.select(*keep, at.alias("host"), way.alias("path"), symbols(F.col(url)).alias("s"))
+    keep = [c for c in keep if c.lower() not in ("host", "path", "rule", "verdict", "score")]
+    # the user's columns travel in one struct, so that no name can clash
+    own = F.struct(*keep) if keep else F.lit(None)
+    rows = pages.select(own.alias("_own"), at.alias("host"), way.alias("path"), symbols(F.col(url)).alias("s"))
     rows = rows.withColumn("r", apply_rules(F.col("host"), F.col("path"), rules))
-    rows = rows.select(*keep, "host", "path", "s", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("_ruled"))
+    rows = rows.select("_own", "host", "path", "s", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("_ruled"))
     distinct = materialize(rows.groupBy("s", "_ruled").agg(F.count("*").alias("n")), "urls")
     if labelled is None:
         marked = distinct.where(F.col("_ruled").isNotNull()).select("s", (F.col("_ruled") == "allow").alias("accepted"), "n")
@@ -157,4 +167,4 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url
     limit = cut(marked.join(scores, "s"))
     out = rows.join(scores, "s")
     judged = F.when(F.col("score") >= limit, F.lit("allow")).otherwise(F.lit("block"))
-    return out.select(*keep, "host", "path", "rule", F.coalesce("_ruled", judged).alias("verdict"), "score")
+    return out.select(*(F.col("_own").getField(c).alias(c) for c in keep), "host", "path", "rule", F.coalesce("_ruled", judged).alias("verdict"), "score")
