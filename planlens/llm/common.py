@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -31,22 +33,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_KEPT: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there,
-    and a lost executor costs no recomputation."""
+    and a lost executor costs no recomputation. The table lives until ``discard``
+    or ``sweep``; what is left goes when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/planlens-{name}-{uuid.uuid4().hex}"
+    _KEPT[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._planlens_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _KEPT.pop(path, None)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by ``materialize`` that nothing needs any more."""
-    spark, jvm = df.sparkSession, df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._planlens_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._planlens_path)
+
+
+def sweep() -> None:
+    """Delete all tables that ``materialize`` wrote; results that were not written need them."""
+    for path, spark in list(_KEPT.items()):
+        with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+            _delete(spark, path)
+
+
+atexit.register(sweep)
 
 
 def fold(doc_id: Column, n: int) -> Column:

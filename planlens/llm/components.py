@@ -17,10 +17,11 @@ def _stars(edges: DataFrame, node: str, keep: str) -> DataFrame:
     return edges.join(least, node)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 256) -> DataFrame:
     """``edges(u, v)`` (bigint, either direction, repeats and loops allowed) to
     ``(node, root)``: every node that has an edge to another node, with the
-    smallest node that it reaches. Null ends are dropped. No edges, no rows.
+    smallest node that it reaches. Null ends are dropped. No edges, no rows. A
+    graph that is not settled after ``max_rounds`` raises RuntimeError.
 
     Rounds are logarithmic in the longest path in practice; each is written to
     the shared folder, so lineage stays short. Nothing is collected but a row

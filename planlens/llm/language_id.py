@@ -38,7 +38,9 @@ def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", margi
     smallest, ties to the language with most training rows. It is rejected if its lead is under
     ``margin`` or the text is null or has no letter; then without letters the
     language is ``und`` and the score 0. Without any learned language all is
-    ``und``. Rows keep their number; clashing columns are replaced; ``drop_text`` leaves the text out.
+    ``und``. Texts that compress alike in all languages go to the first of them;
+    very long texts are compressed in chunks, to the end; repeated rows are judged
+    alike; no rows give none. Rows keep their number; clashing columns are replaced; ``drop_text`` leaves the text out.
     """
     import pyarrow as pa
 

@@ -99,8 +99,9 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", drop_text: b
     """``docs`` plus ``score`` (0 to 1, calibrated) and ``predicted`` (1 from 0.5).
 
     A null text counts as empty; the empty text has difference 0, so its score is
-    the calibration's at 0. A model without both labels scores 0.5. Rows keep
-    their number; clashing columns are replaced; ``drop_text`` leaves the text out.
+    the calibration's at 0. A model without both labels scores 0.5, one with a
+    single label that label. Equal sizes are a difference of 0; very long texts are
+    compressed in chunks, to the end; no rows give none. Rows keep their number; clashing columns are replaced; ``drop_text`` leaves the text out.
     """
     import pyarrow as pa
 

@@ -154,7 +154,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", eo
     ``n_tokens``, through flat files in the shared folder and the separator scan.
 
     Null and empty texts count no tokens; null and repeated ids keep their rows;
-    an empty table gives none; other columns are ignored.
+    an empty table gives none; other columns are ignored, whatever their names. A
+    very long text spans blocks, which the scan stitches.
     """
     flat = materialize(flat_blocks(docs, id_col, text, eod, width, block_tokens), "tokens")
     scanned = materialize(separators(flat.where("payload is not null"), eod, width), "separators")

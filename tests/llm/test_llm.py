@@ -159,6 +159,15 @@ def test_exact_groups(edge, empty):
 # -- 4: SimHash -----------------------------------------------------------------
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=20), st.integers(0, 2**64 - 1))
+def test_tally_of_shared_bytes(xs, y):
+    want = [sum(a == b for a, b in zip(x.to_bytes(8, "little"), y.to_bytes(8, "little"), strict=True)) for x in xs]
+    assert simhash.tally(np.array(xs, np.uint64) ^ np.uint64(y)).tolist() == want
+    for n, x in zip(want, xs, strict=True):  # the guarantee: two bits spoil two bytes at most
+        assert n >= 6 or (x ^ y).bit_count() > 2
+
+
 def slow_fingerprint(text):
     import xxhash
 
@@ -402,6 +411,38 @@ def test_language(spark, labelled, edge, empty):
     assert {r.lang_pred for r in language_id.identify(edge, language_id.fit(empty)).collect()} == {"und"}
 
 
+def plain_sizes(dictionaries, text, level):
+    """Compressed sizes by class, with a dictionary of one's own for every chunk."""
+    import zstandard as z
+
+    data, out = text.encode(), []
+    for d in dictionaries.values():
+        n = 0
+        for i in range(0, len(data), 512):
+            own = z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT)
+            own.precompute_compress(level=level)
+            n += len(z.ZstdCompressor(dict_data=own, level=level, write_content_size=False, write_checksum=False, write_dict_id=False).compress(data[i : i + 512]))
+        out.append(n)
+    return out
+
+
+def test_compression_against_brute_force(spark, labelled):
+    """Whole texts, chunk by chunk: language by the smallest sum, quality by the calibrated difference."""
+    rows = labelled.limit(40).collect()
+    d = labelled.where(F.col("doc_id").isin([r.doc_id for r in rows])).union(labelled.limit(1).select(F.lit(-1).alias("doc_id"), F.concat_ws(" ", F.array_repeat("text", 60)).alias("text"), *labelled.columns[2:]))
+    langs = language_id.fit(labelled, passages=30, chars=150)
+    for r in language_id.identify(d, langs).collect():
+        sizes = plain_sizes(langs, language_id.canonical(r.text), 6)
+        two = sorted(sizes)
+        assert r.lang_pred == list(langs)[sizes.index(two[0])]
+        lead = (two[1] - two[0]) / two[1]
+        assert r.rejected == (lead < language_id.MARGIN) and r.score == pytest.approx(1 / (1 + np.exp(-40 * lead)))
+    model = quality.fit(labelled, labelled.select("doc_id", (F.col("lang") == "en").cast("int").alias("quality")), passages=30, chars=150)
+    for r in quality.score(d, model).collect():
+        bad, good = plain_sizes(model.dictionaries, quality.canonical(r.text), quality.LEVEL)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.slope * (bad - good) / (bad + good) + model.offset))))
+
+
 def test_fold(spark):
     rows = spark.createDataFrame([(i,) for i in (0, 7, 12345, None)], "doc_id bigint").select("doc_id", language_id.held_out().alias("h"))
     assert all(r.h == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0) for r in rows.collect())
@@ -466,7 +507,7 @@ def test_url_model_against_brute_force(spark):
                         if s[i - k : i] == ctx:
                             after[s[i]] += n
             n, t = sum(after.values()), len(after)
-            p = (after[gram[-1]] + t * p) / (n + t) if n else p
+            p = (after[gram[-1]] + t * p) / (n + t) if n >= url_filter.LEAST else p
         return p
 
     ratios = {r.gram: r.ratio for r in url_filter.model(marked, seen).collect()}
@@ -475,6 +516,33 @@ def test_url_model_against_brute_force(spark):
         assert ratios[g] == pytest.approx(np.log(prob(True, g)) - np.log(prob(False, g)), abs=1e-9)
 
 
+def test_url_cut_and_verdicts_against_brute_force(spark):
+    """The cut is the middle of the bins of least balanced error; verdicts follow from mean ratios."""
+    rng = random.Random(3)
+    urls = [f"http://{rng.choice(['good', 'fine'])}{i}.net/{rng.choice('ab')}" for i in range(40)] + [f"http://{rng.choice(['evil', 'fine'])}{i}.biz/{rng.choice('bc')}" for i in range(40)] + ["http://long.net/" + "a" * 20_000, "x"]
+    pages = spark.createDataFrame([(i, u, 1, 2, 3) for i, u in enumerate(urls)], "page_id bigint, url string, host int, s int, r int")
+    marks = [(u, i < 40) for i, u in enumerate(urls[:80])]
+    labelled = spark.createDataFrame(marks, "url string, accepted boolean")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, (), keep=("page_id", "s", "r", "host"), labelled=labelled).collect()}
+    assert got[0].s == 2 and got[0].r == 3 and got[0].host.startswith(("good", "fine"))
+    scores = {u: got[i].score for i, u in enumerate(urls)}
+    bins = collections.Counter()
+    for u, a in marks:
+        bins[int(np.floor(scores[u] * url_filter.BINS)), a] += 1
+    edges = sorted({b for b, _ in bins} | {max(b for b, _ in bins) + 1})
+    error = {e: sum(n for (b, a), n in bins.items() if a and b < e) / 40 + sum(n for (b, a), n in bins.items() if not a and b >= e) / 40 for e in edges}
+    best = [e for e in edges if error[e] <= min(error.values()) + 1e-12]
+    limit = (best[0] + best[-1]) / 2 / url_filter.BINS
+    assert all((r.verdict == "allow") == (r.score >= limit) for r in got.values())
+
+
+def test_rules_of_equal_length(spark):
+    rules = (url_filter.Rule("allow", "a.b", "/x"), url_filter.Rule("block", "a.b", "/x"), url_filter.Rule("allow", "b", "/x/y"))
+    d = spark.createDataFrame([("a.b", "/x/y"), ("c.b", "/x/y"), ("c.b", "/x")], "h string, p string")
+    got = [(r.x.rule, r.x.verdict) if r.x else None for r in d.select(url_filter.apply_rules(F.col("h"), F.col("p"), rules).alias("x")).collect()]
+    assert got == [("a.b/x", "block"), ("b/x/y", "allow"), None]
+
+
 # -- 9: nearest neighbours -----------------------------------------------------------
 
 
