@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .parse import once
-from .schema import ERROR_TYPES
+from .schema import ERROR_TYPES, INCOMPATIBLE
 
+#: SQL: a quote within a text.
+_QUOTE = "\\'"
 _HAS = "exists(s.params, p -> p.v like '%{{%')"
 
 
@@ -62,7 +64,7 @@ def _literal(s: str) -> str:
     return f"get(filter({s}.params, p -> p.v not like '%{{{{%'), 0)"
 
 
-def injector(error_type: str, steps: str = "steps", tools: str = "all_tools", specs: str | None = None) -> Column:
+def injector(error_type: str, steps: str = "steps", tools: str = "all_tools", specs: str | None = None, types: str | None = None) -> Column:
     """``struct<steps, changed>`` for one error type. ``tools`` (names of the
     catalog) or ``specs`` (structs ``name, required``) is read by wrong_tool only:
     with specs, a tool that requires none of the step's parameters comes before
@@ -70,7 +72,12 @@ def injector(error_type: str, steps: str = "steps", tools: str = "all_tools", sp
     n = f"size({steps})"
     if error_type == "type_mismatch":
         i = _nearest_middle(steps, f"{_literal('s')} is not null")
-        new, where = _at(steps, i, _set("s", f"{_literal('s')}.k", f"if({_literal('s')}.v rlike '^-?[0-9.]+$', '\\'invalid_string\\'', '42')")), f"{i} is not null"
+        wrong = f"if({_literal('s')}.v rlike '^-?[0-9.]+$', '\\'invalid_string\\'', '42')"
+        if types:  # a declared type says what it does not accept
+            declared = f"element_at({types}, concat(s.tool_name, '.', {_literal('s')}.k))"
+            cases = " ".join(f"when '{t}' then '{v if v.isdigit() else _QUOTE + v + _QUOTE}'" for t, v in INCOMPATIBLE.items())
+            wrong = f"coalesce(case {declared} {cases} end, {wrong})"
+        new, where = _at(steps, i, _set("s", f"{_literal('s')}.k", wrong)), f"{i} is not null"
     elif error_type == "missing_dependency":
         i = _nearest_middle(steps, _HAS, 1)
         key = "get(filter(s.params, p -> p.v like '%{{%'), 0).k"
@@ -114,9 +121,10 @@ def injector(error_type: str, steps: str = "steps", tools: str = "all_tools", sp
     return F.expr(f"named_struct('steps', if({where}, {new}, {steps}), 'changed', {where})")
 
 
-def inject(df: DataFrame, error_type: str, steps: str = "steps") -> DataFrame:
-    """``df`` with ``injected`` and ``changed`` for one error type."""
-    out = once(df, "_i", injector(error_type, steps))
+def inject(df: DataFrame, error_type: str, steps: str = "steps", types: str | None = None) -> DataFrame:
+    """``df`` with ``injected`` and ``changed`` for one error type. ``types`` names a
+    column that maps ``tool.parameter`` to its declared type, for type_mismatch."""
+    out = once(df, "_i", injector(error_type, steps, types=types))
     return out.withColumn("injected", F.col("_i.steps")).withColumn("changed", F.col("_i.changed")).drop("_i")
 
 

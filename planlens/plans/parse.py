@@ -56,11 +56,23 @@ def _number(steps: str) -> str:
     return f"transform({steps}, (s, i) -> named_struct('pos', i, 'step_id', s.step_id, 'tool_name', s.tool_name, 'params', s.params, 'output_variable', s.output_variable))"
 
 
+#: SQL: a call after an equals sign, to the line's end.
+_AFTER = r"'=\\s*[^(]+\\(.*\\)\\s*$'"
+
+
+def _called(c: str) -> tuple[str, str]:
+    """SQL: (tool, arguments) of what ``_AFTER`` matches: up to its first bracket, and from there to its last."""
+    at = f"instr({c}, '(')"
+    return f"btrim(substr({c}, 2, {at} - 2), ' \t')", f"substr({c}, {at} + 1, length(btrim({c}, ' \t\r\n\f\u000b')) - {at} - 1)"
+
+
 def _strict(text: str) -> str:
-    lines = rf"filter(transform(split({text}, '\n'), l -> btrim(l, ' \t\r\n')), l -> l rlike '^Step (\\d+):' and l rlike '\\{{\\{{\\d+\\}}\\}}\\s*=' and l rlike '=\\s*[^(]+\\(.*\\)\\s*$')"
-    call = r"'=\\s*([^(]+)\\((.*)\\)\\s*$'"
-    step = rf"named_struct('step_id', cast(regexp_extract(l, '^Step (\\d+):', 1) as int), 'tool_name', btrim(regexp_extract(l, {call}, 1)), 'params', {params(f'regexp_extract(l, {call}, 2)')}, 'output_variable', regexp_extract(l, '(\\{{\\{{\\d+\\}}\\}})\\s*=', 1))"
-    return _number(f"transform({lines}, l -> {step})")
+    lines = rf"filter(transform(split({text}, '\n'), l -> btrim(l, ' \t\r\n')), l -> startswith(l, 'Step '))"
+    # each pattern runs once a line
+    found = rf"transform({lines}, l -> named_struct('n', regexp_extract(l, '^Step (\\d+):', 1), 'o', regexp_extract(l, '(\\{{\\{{\\d+\\}}\\}})\\s*=', 1), 'c', regexp_extract(l, {_AFTER}, 0)))"
+    tool, args = _called("x.c")
+    step = f"named_struct('step_id', cast(x.n as int), 'tool_name', {tool}, 'params', {params(args)}, 'output_variable', x.o)"
+    return _number(f"transform(filter({found}, x -> x.n <> '' and x.o <> '' and x.c <> ''), x -> {step})")
 
 
 def _lenient(text: str) -> str:
@@ -116,7 +128,7 @@ def parse_plan(column: str, dialect: str = "strict") -> Column:
     if dialect == "strict":
         return F.coalesce(F.expr(_strict(text)), F.expr(_EMPTY))
     if dialect == "lenient":
-        return F.expr(f"if(size({_strict(text)}) > 0, {_strict(text)}, {_lenient(text)})")
+        return F.expr(f"transform(array({_strict(text)}), strict -> if(size(strict) > 0, strict, {_lenient(text)}))[0]")
     if dialect == "mixed":
         return F.expr(_mixed(text))
     if dialect == "robust":

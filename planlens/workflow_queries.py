@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planlens.functions import text
+from planlens.functions import maths, text
 from planlens.operators import catalog, execute, filters, metrics, report, retrieve, score, select
 from planlens.operators.metrics import r6
-from planlens.plans import corpus, extract, parse, render, validate
-from planlens.queries import _COMPARE, _PLANS, _STEPS, compared
+from planlens.plans import corpus, extract, inject, parse, render, validate
+from planlens.queries import _COMPARE, _PLANS, _STEPS, _injected, _line, compared
 from planlens.registry import query
 from planlens.sources import io
 from planlens.sources.scratch import scratch
@@ -525,3 +525,42 @@ def canonical_forms(spark, sf_dir):
     tool = F.regexp_extract("line", r"\}\} = ([a-z])\(", 1)
     return s.select("plan_id", "pos", F.when(F.col("line").isNotNull(), tool).alias("tool"))
 
+
+
+# -- injection by declared type, and the rest of the math functions ---------------------------
+
+_BY_TYPE = "case when pos = mid then case when plan_id % 3 = 0 then '42' else '''invalid_string''' end else qty::varchar end"
+
+
+@query(_injected(_line(a=_BY_TYPE), changed="true"))
+def inject_type_by_spec(spark, sf_dir):
+    """A text is put where the catalog asks for a number, a number where it asks for a text."""
+    p = corpus.parsed(spark, sf_dir).where("size(steps) > 0")
+    kind = F.when(F.col("plan_id") % 3 == 0, "string").when(F.col("plan_id") % 3 == 1, "number").otherwise("array")
+    types = F.map_from_entries(F.transform(F.array_distinct("steps.tool_name"), lambda t: F.struct(F.concat(t, F.lit(".arg_0")), kind)))
+    done = inject.inject(p.withColumn("types", types), "type_mismatch", types="types")
+    return done.select("plan_id", "changed", F.md5(parse.format_plan("injected").cast("binary")).alias("text_md5"))
+
+
+_MATH = {
+    "negate": "-a", "inverse": "1.0 / a", "negate_prob": "1 - b / 10.0", "floor": "floor(a / b)", "lcm": "lcm(a, b)", "min_number": "least(a, b)",
+    "speed": "a / b", "rectangle_area": "a * b", "rectangle_perimeter": "2 * (a + b)", "triangle_area": "a * b / 2", "rhombus_area": "a * b / 2",
+    "square_area": "a * a", "square_perimeter": "4 * a", "square_edge_by_area": "sqrt(a)", "square_edge_by_perimeter": "a / 4", "circumface": "2 * pi() * a",
+    "surface_sphere": "4 * pi() * a * a", "volume_cylinder": "pi() * a * a * b", "surface_cylinder": "2 * pi() * a * (a + b)", "volume_cone": "pi() * a * a * b / 3",
+    "volume_cube": "a * a * a", "surface_cube": "6 * a * a", "cube_edge_by_volume": "pow(a, 1.0 / 3)", "power": "pow(a, b)", "subtract": "a - b",
+    "permutation": "(b + 2) * (b + 1)", "choose": "(b + 2) * (b + 1) / 2", "factorial": "factorial(b::int)", "reminder": "a % b", "log": "trunc(ln(a + 0.5) / ln(2))",
+}
+_MATH_SQL = ", ".join(f"round(({e})::double, 4) as {k}" for k, e in _MATH.items())
+
+
+@query(f"with t as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_quantity)::bigint as a, l_linenumber::bigint as b from lineitem) select l_orderkey, l_linenumber, l_partkey, l_suppkey, {_MATH_SQL} from t")
+def math_formulas(spark, sf_dir):
+    t = corpus.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_quantity").alias("a"), F.col("l_linenumber").cast("bigint").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    special = {
+        "inverse": (a.cast("double"),), "negate_prob": (b / 10,), "floor": (a / b,), "min_number": (F.array(a, b),), "permutation": ((b + 2).cast("int"), F.lit(2)),
+        "choose": ((b + 2).cast("int"), F.lit(2)), "factorial": (b.cast("int"),), "log": (a + 0.5, F.lit(2)),
+    }
+    two = {"lcm", "speed", "rectangle_area", "rectangle_perimeter", "triangle_area", "rhombus_area", "volume_cylinder", "surface_cylinder", "volume_cone", "power", "subtract", "reminder"}
+    value = lambda k: maths.MATH[k](*special.get(k, (a, b) if k in two else (a,)))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(F.round(value(k).cast("double"), 4).alias(k) for k in _MATH))
