@@ -85,6 +85,50 @@ def upper_median(name: str) -> Column:
     return F.expr(f"percentile_disc(0.5000000001) within group (order by {name})")
 
 
+def rollouts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``(group, n, mean, std, lo, hi)`` of a group's rewards."""
+    return df.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+
+
+def goldilocks(stats: DataFrame, least: float, most: float, spread: float) -> DataFrame:
+    """Groups that are neither saturated nor hopeless: a mean in the closed range or a wide spread."""
+    return stats.where(F.col("mean").between(least, most) | (F.col("std") > spread))
+
+
+def distribution(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """``(column, n, pct)`` for every name, also one that never occurs; shares are of all rows."""
+    one = df.agg(F.count("*").alias("_n"), *(F.count_if(F.col(column) == n).alias(n) for n in names))
+    row = lambda n: F.struct(F.lit(n).alias(column), F.col(n).alias("n"), F.round(100.0 * F.col(n) / F.col("_n"), 1).alias("pct"))
+    return one.select(F.explode(F.array(*map(row, names))).alias("x")).select("x.*")
+
+
+def legacy_binary(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """One row over three classes (success, uncertain, failure): rows whose prediction
+    is uncertain are left out, uncertain gold rows count as wrong."""
+    g, p = F.col(gold), F.col(pred)
+    told, right, yes = p != "uncertain", g == p, p == "success"
+    n = lambda e: F.count_if(e)
+    return df.agg(n(told).alias("n_confident"), r6(n(told) / F.count("*")).alias("coverage"), r6(F.try_divide(n(told & right), n(told))).alias("legacy_binary_accuracy"), r6(F.try_divide(n(yes & right), n(yes))).alias("legacy_binary_precision"))
+
+
+def detection(pairs: DataFrame, by: str, score: str, gold: str, least: float = 80) -> DataFrame:
+    """``(by, n, detection, separation, gold_pass)`` of faulty plans beside their gold
+    plan's score: the share scored low, the mean gap, the share of gold scored high."""
+    s, g = F.col(score), F.col(gold)
+    return pairs.groupBy(by).agg(F.count("*").alias("n"), r6(share(s < least)).alias("detection"), r6(F.sum(g - s) / F.count("*")).alias("separation"), r6(share(g >= least)).alias("gold_pass"))
+
+
+def consistency(plans: DataFrame, group: str, order: str, tools: str) -> DataFrame:
+    """``(group, consistency)``: mean over pairs of a group's plans, which are one
+    query's few candidates, of the share of positions with the same tool."""
+    one = lambda o, t: plans.select(group, F.col(order).alias(o), F.col(tools).alias(t))
+    same = F.expr("size(filter(arrays_zip(x, y), z -> z.x = z.y))")
+    longest = F.greatest(F.size("x"), F.size("y"))
+    like = F.round(F.coalesce(F.try_divide(same, longest), F.lit(0.0)), 6)
+    pairs = one("i", "x").join(one("j", "y"), group).where("i < j").select(group, like.alias("s"))
+    return pairs.groupBy(group).agg(r6(F.avg("s")).alias("consistency"))
+
+
 def bands(df: DataFrame, score: str, cuts: dict[str, tuple[float, float]]) -> DataFrame:
     """``(band, n)`` with a row for every band, ``lo <= score < hi``."""
     one = df.agg(*(F.sum(((F.col(score) >= lo) & (F.col(score) < hi)).cast("bigint")).alias(k) for k, (lo, hi) in cuts.items()))

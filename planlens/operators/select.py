@@ -70,6 +70,16 @@ def uncovered_groups(groups: DataFrame, manifest: DataFrame, key: str) -> DataFr
     return both.select(key, fault.alias("fault")).where("fault is not null")
 
 
+def numbered(df: DataFrame, group: str, order: str, name: str, width: int = 4096) -> DataFrame:
+    """``df`` plus its rows' numbers from 0 in each group, by a whole-number ``order``.
+    Runs of ``width`` orders are counted first, so no task ranks a whole group."""
+    rows = df.withColumn("_b", F.floor(F.col(order) / width))
+    w = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(group, "_b").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(group, "_b").orderBy(order)) - 1
+    return rows.join(counts.drop("_c"), [group, "_b"]).withColumn(name, F.col("_before") + inside).drop("_b", "_before")
+
+
 def concat_with_offset(df: DataFrame, batch: str, local_id: str) -> DataFrame:
     """Global ids over batches in order: each is offset by what the ids of those before reach."""
     sizes = df.groupBy(batch).agg((F.max(local_id) + 1).alias("size"))

@@ -218,11 +218,8 @@ def judge_prf_3class(spark, sf_dir):
 @query(f"""with {_PLANS}, c as (select {_THREE.format("quality_score")} as g, {_THREE.format("judge_score")} as p from v_plans)
   select count(*) filter (p <> 'uncertain') as n_confident, round(avg((p <> 'uncertain')::int), 6) as coverage, round(count(*) filter (p <> 'uncertain' and g = p) / count(*) filter (p <> 'uncertain'), 6) as legacy_binary_accuracy, round(count(*) filter (p = 'success' and g = 'success') / count(*) filter (p = 'success'), 6) as legacy_binary_precision from c""")
 def judge_legacy_binary(spark, sf_dir):
-    """Rows whose prediction is uncertain are left out, uncertain gold rows count as wrong."""
     three = lambda c: F.when(F.col(c) >= 75, "success").when(F.col(c) >= 50, "uncertain").otherwise("failure")
-    p = corpus.plans(spark, sf_dir).select(three("quality_score").alias("g"), three("judge_score").alias("p"))
-    n = lambda e: F.count_if(F.expr(e))
-    return p.agg(n("p <> 'uncertain'").alias("n_confident"), r6(n("p <> 'uncertain'") / F.count("*")).alias("coverage"), r6(n("p <> 'uncertain' and g = p") / n("p <> 'uncertain'")).alias("legacy_binary_accuracy"), r6(n("p = 'success' and g = p") / n("p = 'success'")).alias("legacy_binary_precision"))
+    return metrics.legacy_binary(corpus.plans(spark, sf_dir).select(three("quality_score").alias("g"), three("judge_score").alias("p")), "g", "p")
 
 
 _EDGES = ", ".join(f"({i}, {lo!r}::double, {hi!r}::double)" for i, (lo, hi) in enumerate(zip(ECE_EDGES, ECE_EDGES[1:], strict=False)))
@@ -259,11 +256,9 @@ def score_bands(spark, sf_dir):
 
 @query(f"""with {_PLANS}, d(prediction) as (values ('yes'), ('likely_yes'), ('uncertain'), ('likely_no'), ('no'), ('never_predicted')) select d.prediction, count(plan_id) as n, round(100.0 * count(plan_id) / (select count(*) from v_plans), 1)::double as pct from d left join v_plans v on v.judge_prediction = d.prediction group by d.prediction""")
 def prediction_dist(spark, sf_dir):
-    """Every prediction gets a row, also one that never occurs."""
     names = ["yes", "likely_yes", "uncertain", "likely_no", "no", "never_predicted"]
-    p = corpus.plans(spark, sf_dir)
-    one = p.agg(*(F.count_if(F.col("judge_prediction") == n).alias(n) for n in names), F.count("*").alias("_n"))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("prediction"), F.col(n).alias("n"), F.round(100.0 * F.col(n) / F.col("_n"), 1).alias("pct")) for n in names))).alias("x")).select("x.*")
+    p = corpus.plans(spark, sf_dir).select(F.col("judge_prediction").alias("prediction"))
+    return metrics.distribution(p, "prediction", names)
 
 
 @query(f"with {_PLANS} select error_type, list_sort(list(quality_score))[count(*) // 2 + 1] as upper_median, quantile_cont(quality_score, 0.25)::double as q1, quantile_cont(quality_score, 0.5)::double as median, quantile_cont(quality_score, 0.75)::double as q3, round(stddev_pop(quality_score), 6) as std from v_plans group by error_type")
@@ -277,7 +272,7 @@ def score_medians(spark, sf_dir):
 def detection_separation(spark, sf_dir):
     p = corpus.plans(spark, sf_dir).select("query_id", "slot", "error_type", "judge_score")
     g = p.where("slot = 0").groupBy("query_id").agg(F.max("judge_score").alias("gold"))
-    return p.where("slot > 0").join(g, "query_id").groupBy("error_type").agg(F.count("*").alias("n"), r6(share(F.col("judge_score") < 80)).alias("detection"), r6(F.sum(F.col("gold") - F.col("judge_score")) / F.count("*")).alias("separation"), r6(share(F.col("gold") >= 80)).alias("gold_pass"))
+    return metrics.detection(p.where("slot > 0").join(g, "query_id"), "error_type", "judge_score", "gold")
 
 
 # -- selection, pairs, splits ---------------------------------------------------
@@ -329,15 +324,15 @@ def stratified_sample(spark, sf_dir):
   o as (select source, coalesce(sum(n) over (order by source rows between unbounded preceding and 1 preceding), 0) as off from s) select doc_id, (off + local_id)::bigint as global_id from d join o using (source)""")
 def batch_concat_offset(spark, sf_dir):
     d = corpus.table(spark, sf_dir, "documents").where("source is not null").select("source", "doc_id")
-    d = d.withColumn("local_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    d = select.numbered(d, "source", "doc_id", "local_id")
     return select.concat_with_offset(d, "source", "local_id").select("doc_id", F.col("global_id").cast("bigint").alias("global_id"))
 
 
 @query("select user_id, count(*) as n, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, min(value) as lo, max(value) as hi from events group by user_id having avg(value) between 20 and 80 or stddev_pop(value) > 15")
 def goldilocks_filter(spark, sf_dir):
     """Rollout statistics of users that are neither saturated nor hopeless."""
-    e = corpus.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return e.where("mean between 20 and 80 or std > 15").select("user_id", "n", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"), "lo", "hi")
+    e = metrics.goldilocks(metrics.rollouts(corpus.table(spark, sf_dir, "events"), "user_id", "value"), 20, 80, 15)
+    return e.select("user_id", "n", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"), "lo", "hi")
 
 
 @query("select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 9 preceding and current row), 6) as last10 from events")
@@ -590,13 +585,8 @@ def kmeans_round_robin(spark, sf_dir):
   hit as (select pa, pb, count(*) as h from pair join v_steps x on x.plan_id = pa join v_steps y on y.plan_id = pb and x.pos = y.pos and x.tool_name = y.tool_name group by 1, 2)
   select query_id, round(avg(round(case when m = 0 then 0 else coalesce(h, 0) / m end, 6)), 6) as consistency from pair left join hit using (pa, pb) group by query_id""")
 def self_consistency(spark, sf_dir):
-    """Mean over pairs of a query's candidates of the share of positions with the same tool."""
     p = corpus.parsed(spark, sf_dir).where("slot < 5").select("query_id", "slot", F.col("steps.tool_name").alias("t"))
-    a, b = p.select("query_id", F.col("slot").alias("i"), F.col("t").alias("x")), p.select("query_id", F.col("slot").alias("j"), F.col("t").alias("y"))
-    same = F.expr("size(filter(arrays_zip(x, y), z -> z.x = z.y))")
-    longest = F.greatest(F.size("x"), F.size("y"))
-    pairs = a.join(b, "query_id").where("i < j").select("query_id", F.round(F.when(longest == 0, 0.0).otherwise(same / F.when(longest != 0, longest)), 6).alias("s"))
-    return pairs.groupBy("query_id").agg(r6(F.avg("s")).alias("consistency"))
+    return metrics.consistency(p, "query_id", "slot", "t")
 
 
 # -- streaming ------------------------------------------------------------------
