@@ -59,6 +59,21 @@ def backpropagated(rollouts: DataFrame, path: list[str], reward: str) -> DataFra
     return out.withColumn("depth", F.lit(len(path)) - F.bit_count("_g")).drop("_g")
 
 
+def descend(nodes: DataFrame, path: list[str], prior: str) -> DataFrame:
+    """``(path...)`` of the leaf that is reached from the root by the best child at
+    every level. ``nodes`` has a row a node, with nulls beyond its depth."""
+    at = None
+    for depth in range(1, len(path) + 1):
+        level = nodes.where(F.col(path[depth - 1]).isNotNull())
+        for c in path[depth:]:
+            level = level.where(F.col(c).isNull())
+        if at is None:
+            at = best_child(level.withColumn("_root", F.lit(0)), ["_root"], path[0], prior).select(path[0])
+        else:
+            at = best_child(level.join(at, path[: depth - 1], "left_semi"), path[: depth - 1], path[depth - 1], prior)
+    return at.select(*path)
+
+
 def best_child(nodes: DataFrame, parent: list[str], child: str, prior: str) -> DataFrame:
     """Each parent's child of the greatest value, then visits, then prior (ties: the first by name)."""
     key = F.struct("q", "visits", prior)

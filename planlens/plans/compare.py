@@ -68,12 +68,16 @@ def compare(df: DataFrame, gen: str = "steps", gold: str = "gold_steps", empty_d
 
 
 def step_details(df: DataFrame, gen: str = "steps", gold: str = "gold_steps", *keys: str) -> DataFrame:
-    """One row per aligned position with the sorted missing and extra parameters."""
+    """One row per aligned position with the sorted missing, extra and incorrect
+    parameters; incorrect are those of both sides of which neither value holds the other."""
     n = f"greatest(size({gen}), size({gold}))"
     rows = df.where(f"{n} > 0").select(*keys, gen, gold, F.explode(F.expr(f"sequence(0, {n} - 1)")).alias("pos"))
     rows = rows.select(*keys, "pos", F.expr(f"get({gen}, pos)").alias("a"), F.expr(f"get({gold}, pos)").alias("b"))
+    va, vb = normal("p.v"), normal("get(filter(b.params, q -> q.k = p.k), 0).v")
+    apart = f"not exists(array(named_struct('a', {va}, 'b', {vb})), w -> contains(w.a, w.b) or contains(w.b, w.a))"
+    wrong = f"if(a is null or b is null, null, array_join(array_sort(transform(filter(a.params, p -> exists(b.params, q -> q.k = p.k) and {apart}), p -> p.k)), ','))"
     diff = lambda x, y: F.expr(f"if(a is null or b is null, null, array_join(array_sort(array_except({x}.params.k, {y}.params.k)), ','))")
-    return rows.select(*keys, "pos", F.expr("coalesce(lower(btrim(a.tool_name)) = lower(btrim(b.tool_name)), false)").alias("exact_tool_correct"), diff("b", "a").alias("missing"), diff("a", "b").alias("extra"))
+    return rows.select(*keys, "pos", F.expr("coalesce(lower(btrim(a.tool_name)) = lower(btrim(b.tool_name)), false)").alias("exact_tool_correct"), diff("b", "a").alias("missing"), diff("a", "b").alias("extra"), F.expr(wrong).alias("incorrect"))
 
 
 def with_gold(df: DataFrame, last: bool = False) -> DataFrame:

@@ -137,7 +137,7 @@ def stats_per_error_type(spark, sf_dir):
 @query(f"""with {_COMPARE} select p.plan_id, a.pos, a.tool_name = b.tool_name as exact_tool_correct, '' as missing, '' as extra from counts p join v_steps a on a.plan_id = p.plan_id join v_steps b on b.plan_id = p.g and a.pos = b.pos
   union all select p.plan_id, b.pos, false, null, null from counts p join v_steps b on b.plan_id = p.g where b.pos >= gen_n union all select p.plan_id, a.pos, false, null, null from counts p join v_steps a on a.plan_id = p.plan_id where a.pos >= gold_n""")
 def step_details(spark, sf_dir):
-    return compare.step_details(compare.with_gold(corpus.parsed(spark, sf_dir)), "steps", "gold_steps", "plan_id")
+    return compare.step_details(compare.with_gold(corpus.parsed(spark, sf_dir)), "steps", "gold_steps", "plan_id").drop("incorrect")
 
 
 @query(f"""with {_COMPARE}, hist as (select case when func_tool = 0 then '0.0' when func_tool < 0.2 then '0-0.2' when func_tool < 0.5 then '0.2-0.5' when func_tool < 0.8 then '0.5-0.8' when func_tool < 1 then '0.8-1.0' else '1.0' end as band from v_cmp)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from planlens.functions import maths, text
 from planlens.operators import catalog, execute, filters, metrics, report, retrieve, score, select
 from planlens.operators.metrics import r6
-from planlens.plans import corpus, extract, inject, parse, render, validate
+from planlens.plans import compare, corpus, extract, inject, parse, render, validate
 from planlens.queries import _COMPARE, _PLANS, _STEPS, _injected, _line, compared
 from planlens.registry import query
 from planlens.sources import io
@@ -564,3 +564,33 @@ def math_formulas(spark, sf_dir):
     two = {"lcm", "speed", "rectangle_area", "rectangle_perimeter", "triangle_area", "rhombus_area", "volume_cylinder", "surface_cylinder", "volume_cone", "power", "subtract", "reminder"}
     value = lambda k: maths.MATH[k](*special.get(k, (a, b) if k in two else (a,)))
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(F.round(value(k).cast("double"), 4).alias(k) for k in _MATH))
+
+
+# -- faulty plans beside their gold, descent in a search tree ---------------------------------
+
+
+@query(f"with {_STEPS} select plan_id, pos, case when pos % 3 = 1 then 'note' else '' end as missing, case when pos % 3 = 1 then 'x' else '' end as extra, case when pos % 3 = 0 then 'note' else '' end as incorrect, pos % 3 < 2 as exact_tool_correct from v_steps")
+def step_details_faulty(spark, sf_dir):
+    """Plans with wrong, missing and extra parameters and other tools, against themselves."""
+    p = corpus.parsed(spark, sf_dir).where("size(steps) > 0")
+    pair = lambda k, v: F.struct(F.lit(k).alias("k"), F.lit(v).alias("v"))
+
+    def spoiled(s: Column) -> Column:
+        other = F.filter(s["params"], lambda q: q["k"] != "note")
+        params = F.when(s["pos"] % 3 == 0, F.concat(other, F.array(pair("note", "'none of it'")))).when(s["pos"] % 3 == 1, F.concat(other, F.array(pair("x", "1")))).otherwise(s["params"])
+        name = F.when(s["pos"] % 3 == 2, F.concat(s["tool_name"], F.lit("_x"))).otherwise(F.concat(F.lit(" "), F.upper(s["tool_name"])))
+        return s.withField("params", params).withField("tool_name", name)
+
+    rows = p.select("plan_id", F.transform("steps", spoiled).alias("steps"), F.col("steps").alias("gold_steps"))
+    return compare.step_details(rows, "steps", "gold_steps", "plan_id").select("plan_id", "pos", "missing", "extra", "incorrect", "exact_tool_correct")
+
+
+_NODE = "select {0}, count(*) as visits, avg(l_quantity)::double as q from lineitem group by {0}"
+
+
+@query(f"with a as ({_NODE.format('l_returnflag')}), b as ({_NODE.format('l_returnflag, l_linestatus')}), x as (select l_returnflag from a order by q desc, visits desc, l_returnflag limit 1), c as ({_NODE.format('l_returnflag, l_linestatus, l_linenumber')}), y as (select * from b where l_returnflag in (select l_returnflag from x) order by q desc, visits desc, l_linestatus limit 1) select l_returnflag, l_linestatus, l_linenumber from c where (l_returnflag, l_linestatus) in (select l_returnflag, l_linestatus from y) order by q desc, visits desc, l_linenumber limit 1")
+def search_descent(spark, sf_dir):
+    """From the root to the leaf of the best child at every level."""
+    path = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    nodes = score.backpropagated(corpus.table(spark, sf_dir, "lineitem").select(*path, F.col("l_quantity").cast("double").alias("reward")), path, "reward")
+    return score.descend(nodes.withColumn("prior", F.lit(0.5)), path, "prior")
