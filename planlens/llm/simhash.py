@@ -222,7 +222,8 @@ def similar_texts(docs: DataFrame, text: str, shingle: int, jaccard: float) -> D
     pairs = posted.join(shared, "key").select("th", F.array("lo", *before).alias("xs")).select("th", F.explode("xs").alias("x"))
     pairs = materialize(pairs.where("x <> th").select("x", F.col("th").alias("y")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("th")).distinct()
-    known = materialize(texts.join(wanted, "th", "left_semi").dropDuplicates(["th"]), "texts")
+    # copies collapse where they are read, before the shuffle
+    known = materialize(texts.dropDuplicates(["th"]).join(wanted, "th", "left_semi"), "texts")
     filled = pairs.join(known.select(F.col("th").alias("x"), F.col("text").alias("s")), "x")
     filled = filled.join(known.select(F.col("th").alias("y"), F.col("text").alias("t")), "y").select("x", "y", "s", "t")
     return materialize(filled.mapInArrow(verified, "x bigint, y bigint"), "similar")
