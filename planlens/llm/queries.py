@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, exact_dedup, language_id, line_dedup, mixing, quality, simhash, token_counts, url_filter
+from . import ann, byte_bpe, embedding_dedup, exact_dedup, hard_negatives, language_id, lexical, line_dedup, mixing, quality, simhash, token_counts, url_filter
 from .common import read
 from .oracles import ORACLES
 
@@ -71,9 +71,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_groups(read(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_exact_dedup, op3_byte_bpe, op4_simhash, op5_line_dedup, op6_language_id, op7_quality, op8_url_filter, op9_ann, op10_mixing)
+    for f in (op1_token_counts, op2_exact_dedup, op3_byte_bpe, op4_simhash, op5_line_dedup, op6_language_id, op7_quality, op8_url_filter, op9_ann, op10_mixing, op11_embedding_dedup, op12_hard_negatives, op13_lexical_search)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
