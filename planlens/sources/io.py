@@ -4,37 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from planlens.plans.schema import ENVELOPE
 
+from . import blocks
+
 
 def read_envelope(spark: SparkSession, path: str, schema: str = ENVELOPE, lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``{metadata, data: [...]}`` files (gzip too), or such documents a line, to (records, metadata)."""
-    raw = spark.read.schema(schema).option("multiLine", not lines).json(path)
-    return raw.select(F.posexplode("data").alias("ord", "r")).select("ord", "r.*"), raw.select("metadata")
+    """``{metadata, data: [...]}`` files (gzip too), or such documents a line, to (records, metadata).
+
+    A file is read by as many tasks as it has blocks; a gzipped one by one task."""
+    if lines:
+        raw = spark.read.schema(schema).json(path)
+        return raw.select(F.posexplode("data").alias("ord", "r")).select("ord", "r.*"), raw.select("metadata")
+    fields = {f.name: f.dataType for f in StructType.fromDDL(schema).fields}
+    records, rest = blocks.documents(spark, path, [])
+    objects = records.where("form = 'data'").select("ord", F.from_json(_object("text"), fields["data"].elementType).alias("r"))
+    head = F.from_json("text", StructType([f for f in StructType.fromDDL(schema).fields if f.name == "metadata"]))
+    return objects.select("ord", "r.*"), rest.select(head["metadata"].alias("metadata"))
+
+
+def _object(text: str) -> Column:
+    """A record's text from its first brace on."""
+    return F.regexp_replace(text, r"^[^{]*+", "")
 
 
 def read_any_json(spark: SparkSession, path: str, element: str) -> DataFrame:
     """Records of type ``element`` from an envelope, a bare list, an object of
-    records (its keys become ``key``), one record or JSON lines."""
-    text = spark.read.option("wholetext", True).text(path).select(F.ltrim("value").alias("value"))
-    whole = F.try_parse_json("value").isNotNull()
-    rows = text.where(whole).unionByName(text.where(~whole).select(F.explode(F.split("value", "\r?\n")).alias("value")).where("trim(value) <> ''"))
-    as_list = F.from_json("value", f"array<{element}>")
+    records (its keys become ``key``), one record or JSON lines; a line may be any
+    of these. Files of one list or object are read in blocks by many tasks."""
+    records, _ = blocks.documents(spark, path, _names(element))
+    by_key = r'(?s)^.*?"((?:[^"\\]|\\.)*+)"\s*:\s*(\{.*)$'
+    blank = F.lit(None).cast("string")
+    key = F.from_json(F.concat(F.lit('["'), F.regexp_extract("text", by_key, 1), F.lit('"]')), "array<string>")[0]
+    single = F.when(F.col("form") == "items", F.struct(key.alias("key"), F.from_json(F.regexp_extract("text", by_key, 2), element).alias("r"))).otherwise(F.struct(blank.alias("key"), F.from_json(_object("text"), element).alias("r")))
+    own = records.where("form not in ('lines', 'one')").select(single.alias("x"))
+    small = records.where("form in ('lines', 'one')").select(_object("text").alias("value"))
     in_data = F.from_json("value", f"struct<data:array<{element}>>")["data"]
-    by_key = F.from_json("value", f"map<string,{element}>")
-    one = F.from_json("value", element)
     fields = F.json_object_keys("value")
-    is_one = F.arrays_overlap(fields, F.lit([c.split(":")[0] for c in _names(element)]))
-    blank = F.lit(None).cast("string")
+    is_one = F.arrays_overlap(fields, F.lit(_names(element)))
     tag = lambda a: F.transform(a, lambda x: F.struct(blank.alias("key"), x.alias("r")))
-    out = F.when(F.col("value").startswith("["), tag(as_list)).when(F.array_contains(fields, "data"), tag(in_data)).when(is_one, tag(F.array(one))).otherwise(F.transform(F.map_entries(by_key), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("r"))))
-    return rows.select(F.explode(out).alias("x")).select("x.key", "x.r.*")
+    out = F.when(F.array_contains(fields, "data"), tag(in_data)).when(is_one, tag(F.array(F.from_json("value", element)))).otherwise(F.transform(F.map_entries(F.from_json("value", f"map<string,{element}>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("r"))))
+    return own.union(small.select(F.explode(out).alias("x"))).select("x.key", "x.r.*")
 
 
 def _names(element: str) -> list[str]:
-    from pyspark.sql.types import StructType
-
     return StructType.fromDDL(element[element.index("<") + 1 : -1]).names
 
 

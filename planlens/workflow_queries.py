@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlens.functions import maths, text
@@ -50,35 +50,41 @@ def io_envelope(spark, sf_dir):
     return _typed(records)
 
 
-def _forms(spark, sf_dir, form: Column) -> DataFrame:
-    path = scratch(spark, "forms")
-    _bucketed(spark, sf_dir).where("b < 20").select(form.alias("value")).repartition(20).write.text(path)
+def _one_value(spark, sf_dir, name: str, record: Column, head: str, tail: str) -> DataFrame:
+    """All orders as files of one JSON value each: ``head``, records between commas, ``tail``."""
+    path = scratch(spark, name)
+    w = Window.partitionBy("b").orderBy("o_orderkey")
+    first, last = F.lag("o_orderkey").over(w).isNull(), F.lead("o_orderkey").over(w).isNull()
+    rows = orders(spark, sf_dir).withColumn("b", F.col("o_orderkey") % 3)
+    text = rows.select("b", "o_orderkey", F.concat(F.when(first, head).otherwise(","), record, F.when(last, tail).otherwise("")).alias("value"))
+    text.repartition("b").sortWithinPartitions("b", "o_orderkey").select("b", "value").write.partitionBy("b").text(path)
     return _typed(io.read_any_json(spark, path, _ELEMENT))
 
 
-_FEW = _WIDE + " where o_orderkey % 997 < 20"
-
-
-@query(_FEW)
+@query(_WIDE)
 def io_json_list(spark, sf_dir):
-    return _forms(spark, sf_dir, F.to_json("data"))
+    """Bare lists, each a file that several tasks read."""
+    return _one_value(spark, sf_dir, "list", F.to_json(_record()), "[", "]")
 
 
-@query(_FEW)
+@query(_WIDE)
 def io_json_data(spark, sf_dir):
-    return _forms(spark, sf_dir, F.to_json(F.struct(F.lit(1).alias("version"), "data")))
+    """Lists under ``data``, beside keys that also hold lists and objects."""
+    return _one_value(spark, sf_dir, "data", F.to_json(_record()), '{"version":[[1],{"data":[]}],"data":[', '],"note":"}]{\\"data\\":["}')
 
 
-@query(_FEW)
+@query(_WIDE)
 def io_json_by_key(spark, sf_dir):
-    pairs = F.map_from_entries(F.transform("data", lambda r: F.struct(F.concat(F.lit("k"), r["o_orderkey"].cast("string")), r)))
-    return _forms(spark, sf_dir, F.to_json(pairs))
+    """Objects of records by key."""
+    return _one_value(spark, sf_dir, "by-key", F.concat(F.lit('"k'), F.col("o_orderkey").cast("string"), F.lit('": '), F.to_json(_record())), "{", "}")
 
 
-@query(_FEW)
+@query(_WIDE)
 def io_json_or_jsonl(spark, sf_dir):
     """Files of one record a line, read by the reader of any JSON."""
-    return _forms(spark, sf_dir, F.array_join(F.transform("data", lambda r: F.to_json(r)), "\n"))
+    path = scratch(spark, "lines")
+    orders(spark, sf_dir).select(F.to_json(_record()).alias("value")).write.text(path)
+    return _typed(io.read_any_json(spark, path, _ELEMENT))
 
 
 @query(_WIDE)

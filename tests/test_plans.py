@@ -279,3 +279,34 @@ def test_failure_budget(spark):
     assert report.within_failure_budget(calls.where("id > 0"), F.col("failed") & (F.col("id") > 2)).count() == 99
     with pytest.raises(RuntimeError):
         report.within_failure_budget(calls, F.col("failed"))
+
+
+def test_json_in_blocks(spark, tmp_path):
+    """Files of every form, cut at blocks of a few hundred bytes, against Python's own reader."""
+    import random
+
+    rng = random.Random(3)
+    parts = ['a', '"', "\\", "{", "}", "[", "]", ",", ":", " ", "\n", "é", "data", '"data":[', "}]", "\\}"]
+    text = lambda: "".join(rng.choices(parts, k=rng.randrange(9)))
+    record = lambda i: {"a": i, "t": text(), "n": {"x": 2 * i, "l": [text() for _ in range(rng.randrange(3))]}}
+    dump = lambda o: json.dumps(o, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2]))
+    want, at = [], 0
+    for k in range(4):
+        for form in ("list", "data", "first", "items", "lines", "empty"):
+            n = {"empty": 0, "lines": 20}.get(form, (1, 2, 25, 40)[k])
+            rows = [record(at + i) for i in range(n)]
+            at += n
+            meta = {"m": {"q": text(), "z": {"w": [1, [2]]}}, "v": [[{"a": 5}], "}"]}
+            value = {"data": {**meta, "data": rows, "tail": {"data": [{"a": 1}]}}, "first": {"data": rows, "m": [{}]}, "items": {f'{i}"{text()}': r for i, r in enumerate(rows)}, "empty": {**meta, "data": []}}.get(form, rows)
+            (tmp_path / f"{form}{k}").write_text("\n".join(json.dumps(r) for r in rows) + "\n" if form == "lines" else dump(value) + rng.choice(["", "\n"]), encoding="utf-8")
+            want += rows
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        got = io.read_any_json(spark, str(tmp_path), "struct<a:bigint,t:string,n:struct<x:bigint,l:array<string>>>").drop("key")
+        assert sorted((r.asDict(True) for r in got.collect()), key=lambda r: r["a"]) == want
+        records, meta = io.read_envelope(spark, str(tmp_path / "data3"), "metadata struct<q:string>, data array<struct<a:bigint>>")
+        assert [r.ord for r in records.orderBy("ord").collect()] == list(range(40)) and meta.count() == 1
+        assert spark.read.option("lineSep", "}").text(str(tmp_path / "data3")).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
