@@ -62,7 +62,9 @@ def scaled(vec: str) -> Column:
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     top = F.array_max(F.transform(v, F.abs))
     power = F.pow(F.lit(2.0), -F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.floor(F.log2(top)).cast("double"))))
-    return F.when(v.isNotNull() & ~bad & (top > 0), F.transform(v, lambda x: x * power))
+    # the power is bound once, or each component would find the largest anew
+    whole = F.transform(F.array(power), lambda p: F.transform(v, lambda x: x * p))[0]
+    return F.when(v.isNotNull() & ~bad & (top > 0), whole)
 
 
 def dot(a: str, b: str) -> Column:
