@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def strip_fences(c: Column) -> Column:
@@ -32,18 +28,14 @@ def sanitize_key(c: Column, most: int = 60) -> Column:
 
 
 def normal_name(c: Column, compatible: bool = False) -> Column:
-    """Lower case, trimmed, without closing punctuation; ``compatible``: in NFKC,
-    for which names beyond ASCII go through Python, so that others stay in the JVM."""
-    body = F.when(c.rlike("[^\\x00-\\x7F]"), nfkc(F.when(c.rlike("[^\\x00-\\x7F]"), c))).otherwise(c) if compatible else c
+    """Lower case, trimmed, without closing punctuation; ``compatible``: in NFKC."""
+    body = F.when(c.rlike("[^\\x00-\\x7F]"), nfkc(c)).otherwise(c) if compatible else c
     return F.lower(F.trim(F.regexp_replace(F.trim(body), "[?:.!\\s]+$", "")))
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    known = s.notna()
-    out = s.copy()
-    out[known] = [unicodedata.normalize("NFKC", t) for t in s[known]]
-    return out
+def nfkc(c: Column) -> Column:
+    """Unicode's compatibility composition, by the ICU library that Spark's collations use."""
+    return F.when(c.isNotNull(), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True)))
 
 
 def json_object(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from planlens.functions.literals import python_repr
+
 
 def literal(value: Column) -> Column:
     """Text as a quoted literal: single quotes, double ones if only single ones
@@ -30,6 +32,18 @@ def plan_string(steps: Column, anywhere: bool = False, first: int = 0) -> Column
     return F.array_join(F.transform(steps, line), "\n")
 
 
+def typed_plan_string(steps: Column) -> Column:
+    """Steps whose values are JSON (``params`` of structs ``k, v``, as ``to_json`` writes
+    a VARIANT) as plan text, each value as Python prints it: texts in quotes, references
+    too, floats with a point, None, True and False, nested lists and objects."""
+
+    def line(s: Column) -> Column:
+        args = F.array_join(F.transform(s["params"], lambda p: F.concat(p["k"], F.lit("="), python_repr(p["v"]))), ", ")
+        return F.concat(F.lit("Step "), s["step_id"].cast("string"), F.lit(": "), s["output_variable"], F.lit(" = "), s["tool_name"], F.lit("("), args, F.lit(")"))
+
+    return F.array_join(F.transform(steps, line), "\n")
+
+
 def tool_list(tools: Column, marks: bool = True) -> Column:
     """``Available Tools`` of a prompt: structs ``name, params (array of name,
     type), required``, the first of a name only. ``marks`` tells required ones."""

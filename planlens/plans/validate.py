@@ -68,5 +68,32 @@ def cyclic(steps: DataFrame, key: str = "plan_id") -> DataFrame:
     settled in its own row: nodes without open dependencies are removed until
     none are left or nothing changes; as many rounds as a plan has edges suffice."""
     graph = edges(steps, key).groupBy(key).agg(F.collect_set(F.struct("src", "dst")).alias("e"))
-    pruned = F.expr("aggregate(sequence(1, size(e)), e, (g, i) -> filter(g, x -> exists(g, y -> y.src = x.dst)))")
+    pruned = F.expr(_PRUNED)
     return graph.where(F.size(pruned) > 0).select(key)
+
+
+#: SQL: the edges ``e`` from which a cycle is reached.
+_PRUNED = "aggregate(sequence(1, size(e)), e, (g, i) -> filter(g, x -> exists(g, y -> y.src = x.dst)))"
+
+
+def first_cycles(steps: DataFrame, key: str = "plan_id") -> DataFrame:
+    """``(key, start, cycle)`` of the plans that have a cycle: the first step, in
+    order, from which one is reached, and the cycle that a search from there meets
+    first, following references in the order in which they are written. ``cycle`` begins
+    and ends with the same step id.
+
+    Of steps with the same id the last one counts; references to no step lead nowhere.
+    Edges from which no cycle is reached are pruned first, so that the search never
+    turns back: it walks from step to step until one repeats, within its own row.
+    """
+    refs = F.expr(r"flatten(transform(params, p -> regexp_extract_all(p.v, '\\{\\{(\\d+)\\}\\}', 1)))")
+    rows = steps.select(key, "pos", "step_id", F.transform(refs, lambda r: r.try_cast("int")).alias("refs"))
+    last = rows.groupBy(key, "step_id").agg(F.max_by("refs", "pos").alias("refs"), F.min("pos").alias("pos"))
+    plans = last.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "step_id", "refs"))).alias("s"))
+    plans = plans.withColumn("e", F.expr("flatten(transform(s, n -> transform(n.refs, r -> named_struct('src', n.step_id, 'dst', r))))"))
+    plans = plans.where("size(e) > 0").withColumn("e", F.expr(_PRUNED)).where("size(e) > 0")
+    plans = plans.withColumn("start", F.expr("filter(s, n -> exists(e, x -> x.src = n.step_id))[0].step_id"))
+    step = "if(array_position(p, p[size(p) - 1]) < size(p), p, array_append(p, filter(e, x -> x.src = p[size(p) - 1])[0].dst))"
+    plans = plans.withColumn("path", F.expr(f"aggregate(sequence(1, size(s) + 1), array(start), (p, i) -> {step})"))
+    at = "array_position(path, path[size(path) - 1])"
+    return plans.select(key, "start", F.expr(f"slice(path, cast({at} as int), size(path))").alias("cycle"))

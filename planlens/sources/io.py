@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -127,6 +127,23 @@ def write_with_backup(df: DataFrame, path: str) -> None:
     fs.rename(at(path + ".new"), at(path))
 
 
+def numbered(spark: SparkSession, path: str, name: str = "place") -> DataFrame:
+    """Parquet rows with their place, from 0: by file name, then by row in the file.
+
+    Only the files' row counts meet in one place, a row a file; rows number themselves."""
+    df = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = df.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return df.join(starts, "_file").withColumn(name, F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
+def join_by_place(spark: SparkSession, left: str, right: str, how: str = "inner") -> DataFrame:
+    """Rows of two Parquet folders side by side, the n-th of one with the n-th of the
+    other, however each is cut into files; with ``how`` "full" the longer one's rest too."""
+    return numbered(spark, left).join(numbered(spark, right), "place", how)
+
+
 def first_existing(spark: SparkSession, candidates: list[str]) -> str:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for c in candidates:

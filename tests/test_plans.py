@@ -167,7 +167,7 @@ def test_math_agrees_with_the_interpreter(spark):
 
 def test_text(spark):
     t = spark.createDataFrame([("Ｆoo？", "What is it?")], "a string, b string")
-    r = t.select(text.nfkc("a").alias("n"), text.is_sentence_name(F.col("b")).alias("s"), text.sanitize_key(F.col("b")).alias("k")).first()
+    r = t.select(text.nfkc(F.col("a")).alias("n"), text.is_sentence_name(F.col("b")).alias("s"), text.sanitize_key(F.col("b")).alias("k")).first()
     assert tuple(r) == ("Foo?", True, "what_is_it")
 
 
