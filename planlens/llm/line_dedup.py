@@ -273,10 +273,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     """
     runs, named = repeated_runs(docs, id_col, text, min_words)
     keep = [c for c in docs.columns if c != "removed"]
-    out = docs.select(*keep, named.alias("_doc")).join(runs, F.col("_doc") == F.col("doc"), "left").select(*(docs[c] for c in keep), F.col("runs").alias("_runs"))
+    # the input's columns travel in one struct, so that no name can clash
+    out = docs.select(F.struct(*keep).alias("row"), named.alias("name")).join(runs.select(F.col("doc").alias("name"), "runs"), "name", "left")
+    body = F.col("row").getField(text)
     none = F.array().cast("array<struct<a:int,b:int,head:int,tail:int>>")
-    cut = F.when(F.col("_runs").isNull(), none).otherwise(_ranges(F.col(text), F.col("_runs")))
-    done = F.when(F.col("_runs").isNull(), F.struct(F.col(text).alias("t"), none.alias("r"))).otherwise(_let(cut, lambda c: F.struct(_without(F.col(text), c).alias("t"), c.alias("r"))))
+    cut = F.when(F.col("runs").isNull(), none).otherwise(_ranges(body, F.col("runs")))
+    done = F.when(F.col("runs").isNull(), F.struct(body.alias("t"), none.alias("r"))).otherwise(_let(cut, lambda c: F.struct(_without(body, c).alias("t"), c.alias("r"))))
     # a generator, so that the cut is computed once
-    out = out.select(*keep, F.explode(F.array(done)).alias("_done"))
-    return out.select(*(F.col("_done.t").alias(c) if c == text else F.col(c) for c in keep), F.col("_done.r").alias("removed"))
+    out = out.select("row", F.explode(F.array(done)).alias("done"))
+    return out.select(*(F.col("done.t").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in keep), F.col("done.r").alias("removed"))

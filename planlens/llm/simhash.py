@@ -262,8 +262,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     staying id one stays, any of them. Null, empty and wordless texts are one
     component. Very long texts are hashed in blocks. An empty table gives no rows."""
     groups = simhash_groups(docs, id_col, text, shingle, most, jaccard)
-    stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stay")).distinct()
-    kept = docs.join(stay, F.col(id_col) == F.col("_stay"), "left")
-    kept = kept.where(F.col("_stay").isNotNull() | F.col(id_col).isNull())
-    kept = kept.withColumn("_null", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
-    return kept.dropDuplicates([id_col, "_null"]).select(*docs.columns)
+    stay = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
+    # the input's columns travel in one struct, so that no name can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id")).join(stay.withColumn("stays", F.lit(True)), "id", "left")
+    kept = rows.where(F.col("stays") | F.col("id").isNull()).withColumn("own", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["id", "own"]).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

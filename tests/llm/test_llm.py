@@ -684,3 +684,11 @@ def test_pipeline(spark, tmp_path):
             assert ids == collections.Counter(r.doc_id for r in before.select("doc_id").collect())
             assert all(np.frombuffer(r.token_ids, "<u4").tolist() == REFERENCE.encode_ordinary(mixed[r.doc_id]) for r in docs.collect())
     assert pipeline.run(spark, str(tmp_path)).count() == sum(ids.values())
+
+
+def test_names_of_inner_columns_may_stand_in_the_input(spark):
+    names = ["doc", "runs", "row", "name", "done", "_doc", "_runs", "_done", "_stay", "_null", "stays", "own", "id", "o", "fp", "th"]
+    d = docs_of(spark, [LONG, LONG, "a b"]).select("doc_id", "text", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names))
+    for out, left in ((line_dedup.dedup_lines(d).drop("removed"), 3), (simhash.near_dedup(d), 2)):
+        rows = out.collect()
+        assert out.columns == d.columns and len(rows) == left and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
