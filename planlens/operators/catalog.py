@@ -25,11 +25,19 @@ def parameters(schema: Column) -> Column:
     return F.array_sort(F.transform(props, lambda e: F.struct(e["key"].alias("name"), kind(e["value"]).alias("type"), required(e["key"]).alias("required"))))
 
 
+def made_name(name: Column) -> Column:
+    """An API name for a natural one: lower case, other characters as underscores, 60 at most."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9_]+", "_"), "^_+|_+$", "")
+    return F.when(plain == "", "unnamed_tool").otherwise(F.substring(plain, 1, 60))
+
+
 def by_api_name(tools: DataFrame, key: str, name: str, order: str, api: str) -> DataFrame:
-    """``(key, api)`` and the other columns of the first tool of each API name. A
-    partially aggregated minimum: no task sorts a catalog."""
+    """``(key, api)`` and the other columns of the first tool of each API name; a tool
+    without one is named by its natural ``name``. A partially aggregated minimum: no
+    task sorts a catalog."""
     rest = [c for c in tools.columns if c not in (key, api)]
-    first = tools.groupBy(key, F.col(api)).agg(F.min_by(F.struct(*rest), order).alias("t"))
+    named = tools.withColumn(api, F.coalesce(F.when(F.col(api) != "", F.col(api)), made_name(F.col(name))))
+    first = named.groupBy(key, F.col(api)).agg(F.min_by(F.struct(*rest), order).alias("t"))
     return first.select(key, api, *(F.col(f"t.{c}") for c in rest))
 
 

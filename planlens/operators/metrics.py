@@ -79,10 +79,34 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("n", r6(po).alias("agreement"), r6(F.when(pe >= 1, 1.0).otherwise((po - pe) / (1 - pe))).alias("kappa"))
 
 
+def agreements(sheets: dict[str, DataFrame], item: str, labels: list[str]) -> DataFrame:
+    """``(label, a, b, n, agreement, kappa)`` for each label and each pair of annotators:
+    over the items that both have marked, Cohen's kappa (1 where chance agreement is 1).
+
+    ``sheets``: a table of ``item`` and ``labels`` by annotator, in order; items and labels
+    that are null do not count, and of an item that repeats in a sheet the greatest mark
+    stands. Pairs without common items have no row. One join by item for all pairs; no list of marks is made.
+    """
+    names = list(sheets)
+    marks = [df.groupBy(F.col(item).alias("item")).agg(*(F.max(c).alias(c) for c in labels)).where("item is not null").withColumn("who", F.lit(i)) for i, df in enumerate(sheets.values())]
+    every = marks[0]
+    for df in marks[1:]:
+        every = every.union(df)
+    long = every.select("item", "who", F.explode(F.array(*(F.struct(F.lit(c).alias("label"), F.col(c).cast("string").alias("mark")) for c in labels))).alias("m")).select("item", "who", "m.*").where("mark is not null")
+    side = lambda x: long.select("item", "label", F.col("who").alias(x), F.col("mark").alias(f"m{x}"))
+    pairs = side("a").join(side("b"), ["item", "label"]).where("a < b").groupBy("label", "a", "b", "ma", "mb").agg(F.count("*").alias("k"))
+    by = ["label", "a", "b"]
+    total = pairs.groupBy(by).agg(F.sum("k").alias("n"), F.sum(F.when(F.col("ma") == F.col("mb"), F.col("k")).otherwise(0)).alias("same"))
+    one = lambda m, x: pairs.groupBy(*by, F.col(m).alias("mark")).agg(F.sum("k").alias(x))
+    chance = one("ma", "x").join(one("mb", "y"), [*by, "mark"]).groupBy(by).agg(F.sum(F.col("x") * F.col("y")).alias("e"))
+    po, pe = F.col("same") / F.col("n"), F.coalesce("e", F.lit(0)) / (F.col("n") * F.col("n"))
+    name = lambda c: F.element_at(F.array(*map(F.lit, names)), F.col(c) + 1).alias(c)
+    return total.join(chance, by, "left").select("label", name("a"), name("b"), "n", r6(po).alias("agreement"), r6(F.when(pe >= 1, 1.0).otherwise((po - pe) / (1 - pe))).alias("kappa"))
+
+
 def upper_median(name: str) -> Column:
-    """``sorted[n // 2]``."""
-    # the least value that more than half of the rows do not exceed or reach: a count of distinct values, not a list
-    return F.expr(f"percentile_disc(0.5000000001) within group (order by {name})")
+    """``sorted[n // 2]``, by counts of distinct values, not a list: the lower one of the two from above."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {name} desc)")
 
 
 def rollouts(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planlens.plans.schema import CATEGORIES
 
-from .metrics import r6
+from .metrics import r6, upper_median
 
 
 def stats_by_type(df: DataFrame, ratios: dict[str, Column], by: str = "error_type") -> DataFrame:
@@ -109,6 +109,64 @@ def valid_block(compared: DataFrame, score: str = "judge_score") -> DataFrame:
     )
 
 
+def _long(one: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
+    """``(section, name, value)`` of a table of one row; ``names`` are by column."""
+    rows = (F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), F.col(f"`{c}`").cast("double").alias("value")) for c, (s, n) in names.items())
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def results_block(results: DataFrame, predictions: tuple[str, ...] = ("yes", "likely_yes", "uncertain", "likely_no", "no"), least: float = 80) -> DataFrame:
+    """``(section, name, value)``: a method's results as one block of statistics.
+
+    ``results`` has the flags ``judge_success, error_type_handled, judge_full_parse,
+    exact_match, functional_match, param_only_match, step_count_match``, the scores
+    ``best_score, first_score, mean_score`` (of all candidates), the shares
+    ``functional_tool_accuracy, param_accuracy, dependency_accuracy`` and ``prediction``.
+    Sections: size, accuracy, scores, structural, tool_accuracy (a histogram, its inner
+    bins closed below) and predictions (counts, and shares in percent). One aggregate
+    over the rows; no rows give zero counts and null means.
+    """
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    n = F.count("*")
+    rate = lambda e: 100 * F.try_divide(F.count_if(e).cast("double"), n)
+    tool = F.col("functional_tool_accuracy")
+    inner = lambda lo, hi: F.count_if((tool >= lo) & (tool < hi))
+    cells = {
+        ("size", "n"): n,
+        **{("accuracy", k): mean(c) for k, c in {"judge_success_rate": "judge_success", "error_handled_rate": "error_type_handled", "judge_full_parse_rate": "judge_full_parse"}.items()},
+        ("accuracy", "first_success_rate"): F.try_divide(F.count_if(F.col("first_score") >= least).cast("double"), n),
+        ("accuracy", "gain_pts"): mean("best_score") - mean("first_score"),
+        ("scores", "best_mean"): mean("best_score"), ("scores", "best_median"): F.median("best_score"), ("scores", "best_std"): F.stddev_pop("best_score"),
+        ("scores", "first_mean"): mean("first_score"), ("scores", "mean_of_n"): mean("mean_score"),
+        ("scores", "pct_success"): rate(F.col("best_score") >= least), ("scores", "pct_full"): rate(F.col("best_score") == 100),
+        **{("structural", c): mean(c) for c in ("exact_match", "functional_match", "param_only_match", "step_count_match", "functional_tool_accuracy", "param_accuracy", "dependency_accuracy")},
+        ("tool_accuracy", "0.0"): F.count_if(tool == 0), ("tool_accuracy", "0-0.2"): F.count_if((tool > 0) & (tool < 0.2)), ("tool_accuracy", "0.2-0.5"): inner(0.2, 0.5),
+        ("tool_accuracy", "0.5-0.8"): inner(0.5, 0.8), ("tool_accuracy", "0.8-1.0"): inner(0.8, 1.0), ("tool_accuracy", "1.0"): F.count_if(tool == 1),
+        **{("predictions", p): F.count_if(F.col("prediction") == p) for p in predictions},
+        **{("predictions", f"{p} %"): rate(F.col("prediction") == p) for p in predictions},
+    }
+    names = {f"c{i}": k for i, k in enumerate(cells)}
+    one = results.agg(*(e.alias(c) for c, e in zip(names, cells.values(), strict=True)))
+    return _long(one, names).select("section", "name", r6(F.col("value")).alias("value"))
+
+
+def dataset_statistics(plans: DataFrame, issues: DataFrame) -> DataFrame:
+    """``(section, name, value)`` of a corpus: plans by ``error_type`` and by ``prediction``,
+    the mean, least, largest and upper median ``quality_score``, and ``issues`` by
+    ``severity`` and ``type``. Names are those that occur; null names and scores do not count."""
+    by = lambda df, c, s: df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("name")).agg(F.count("*").cast("double").alias("value")).select(F.lit(s).alias("section"), "name", "value")
+    score = F.col("quality_score")
+    one = plans.agg(F.avg(score).alias("mean"), F.min(score).alias("min"), F.max(score).alias("max"), upper_median("quality_score").alias("median"))
+    scores = _long(one, {c: ("quality_scores", c) for c in one.columns}).withColumn("value", r6(F.col("value")))
+    return by(plans, "error_type", "error_types").union(scores).union(by(plans, "prediction", "success_predictions")).union(by(issues, "severity", "issue_severities")).union(by(issues, "type", "issue_types"))
+
+
+def issue_order(issues: DataFrame, kind: str = "type") -> DataFrame:
+    """``(kind, n, rank)``: issues by type, the most frequent first, ties by name."""
+    counts = issues.groupBy(kind).agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), kind)))  # as many rows as types
+
+
 def within_failure_budget(calls: DataFrame, failed: Column, most: float = 0.05) -> DataFrame:
     """``calls`` as they are, if at most a share ``most`` of them failed; else an error."""
     n, bad = calls.agg(F.count("*"), F.count_if(failed)).first()

@@ -67,6 +67,32 @@ def compare(df: DataFrame, gen: str = "steps", gold: str = "gold_steps", empty_d
     )
 
 
+def compare_counts(df: DataFrame, gen: str = "steps", gold: str = "gold_steps") -> DataFrame:
+    """``df`` plus the plainer comparison of fine-tuned planners: ``valid``, ``error``
+    (null if valid), ``step_count_match``, counts and shares of right tools and parameters,
+    and ``exact_match``, which a plan without parameters never reaches.
+
+    Steps align by position; tools are equal but for case and space; a value is right if
+    it holds the gold one or is held by it, once quotes at the ends, case and runs of space are gone.
+    """
+    bare = lambda v: rf"regexp_replace(lower(btrim(btrim(btrim({v}), '\"'), '\'')), '\\s+', ' ')"
+    flat = lambda v: f"btrim({bare(v)})"
+    pairs = f"filter(arrays_zip({gen}, {gold}), z -> z.{gen} is not null and z.{gold} is not null)"
+    z = f"transform({pairs}, z -> named_struct('a', z.{gen}, 'b', z.{gold}))"
+    right = f"filter(z.b.params, p -> exists(z.a.params, q -> q.k = p.k and exists(array(named_struct('x', {flat('q.v')}, 'y', {flat('p.v')})), w -> contains(w.x, w.y) or contains(w.y, w.x))))"
+    per = f"transform({z}, z -> named_struct('tool', cast(lower(btrim(z.a.tool_name)) = lower(btrim(z.b.tool_name)) as int), 'all', size(z.b.params), 'right', size({right})))"
+    out = once(df, "_per", F.expr(per)).withColumn("valid", F.expr(f"size({gen}) > 0 and size({gold}) > 0"))
+    total = lambda f: F.expr(f"if(valid, aggregate(_per, 0L, (a, x) -> a + x.{f}), 0L)")
+    out = out.withColumns({"correct_tools": total("tool"), "total_params": total("all"), "correct_params": total("right")})
+    out = out.withColumns({
+        "error": F.expr(f"case when size({gen}) = 0 then 'No steps generated' when size({gold}) = 0 then 'No ground truth steps' end"),
+        "step_count_match": F.expr(f"valid and size({gen}) = size({gold})"),
+        "tool_accuracy": F.expr(f"if(valid, correct_tools / size({gold}), 0.0D)"),
+        "param_accuracy": F.expr("coalesce(try_divide(correct_params, total_params), 0.0D)"),
+    })
+    return out.withColumn("exact_match", F.expr("step_count_match and tool_accuracy = 1 and param_accuracy = 1")).drop("_per")
+
+
 def step_details(df: DataFrame, gen: str = "steps", gold: str = "gold_steps", *keys: str) -> DataFrame:
     """One row per aligned position with the sorted missing, extra and incorrect
     parameters; incorrect are those of both sides of which neither value holds the other."""

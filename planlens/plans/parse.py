@@ -112,7 +112,7 @@ def _robust(text: str) -> str:
       'id', if(r.body rlike {_ASSIGN}, cast(regexp_extract(r.body, {_VAR}, 1) as int), r.n),
       'call', if(r.body rlike {_ASSIGN}, regexp_extract(r.body, {_ASSIGN}, 1), r.body)))"""
     rows = rf"filter({rows}, r -> r.call rlike {_CALL})"
-    step = f"named_struct('step_id', r.n, 'tool_name', btrim(regexp_extract(r.call, {_CALL}, 1)), 'params', {params(f'regexp_extract(r.call, {_CALL}, 2)', True)}, 'output_variable', concat('{{{{', r.id, '}}}}'))"
+    step = f"named_struct('step_id', r.n, 'tool_name', btrim(regexp_extract(r.call, {_CALL}, 1)), 'params', {params(f"trim(trailing ')' from regexp_extract(r.call, {_CALL}, 2))", True)}, 'output_variable', concat('{{{{', r.id, '}}}}'))"
     return _number(f"transform({rows}, r -> {step})")
 
 

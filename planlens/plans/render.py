@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,3 +86,36 @@ def masked_labels(prompt: Column, answer: Column, most: int, ignore: int = -100)
     ids = F.slice(F.concat(prompt, answer), 1, most)
     labels = F.slice(F.concat(F.transform(prompt, lambda _: F.lit(ignore)), answer.cast("array<int>")), 1, most)
     return F.when(F.size(prompt) < most, F.struct(ids.alias("ids"), labels.alias("labels")))
+
+
+#: What a judge is asked for a plan, and the form of its answer.
+JUDGE_REQUEST = """Query: {query}
+
+{tools}
+
+Plan to Evaluate:
+{plan}
+
+Please evaluate this plan and provide:
+1. Quality score (0-100)
+2. Success prediction (yes/likely_yes/uncertain/likely_no/no)
+3. Detailed reasoning
+4. List of issues (if any)
+5. Confidence (0.0-1.0)
+
+Format your response as JSON:
+{{
+  "quality_score": <int>,
+  "success_prediction": "<string>",
+  "reasoning": "<string>",
+  "issues": [...],
+  "confidence": <float>
+}}"""
+
+
+def judge_request(query: Column, tools: Column, plan: Column) -> Column:
+    """The user's message to a judge; ``tools`` as ``tool_list`` writes them. Nulls are empty."""
+    values = {"query": query, "tools": tools, "plan": plan}
+    parts = re.split(r"(?<!\{)\{(\w+)\}(?!\})", JUDGE_REQUEST)
+    text = lambda i, p: F.coalesce(values[p], F.lit("")) if i % 2 else F.lit(p.replace("{{", "{").replace("}}", "}"))
+    return F.concat(*(text(i, p) for i, p in enumerate(parts)))

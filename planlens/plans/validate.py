@@ -23,7 +23,8 @@ def violations(steps: DataFrame, catalog: DataFrame, key: str = "plan_id") -> Da
     missing_param, type_mismatch, forward_ref, nonexistent_ref.
 
     ``catalog`` has ``tool_name, required`` (names) and ``types`` (name to type).
-    Every declared parameter without a reference is checked: an integer is a number
+    Every declared parameter is checked but texts and lists that hold a reference; objects
+    are checked whatever they hold: an integer is a number
     too, ``any`` is everything; undeclared ones are not. ``steps`` has ``last_step``,
     the plan's largest step id: what lies beyond it does not exist."""
     kind = _KIND.format("trim(p.v)")
@@ -31,7 +32,7 @@ def violations(steps: DataFrame, catalog: DataFrame, key: str = "plan_id") -> Da
     row = lambda kind, detail: f"named_struct('kind', '{kind}', 'detail', {detail})"
     found = f"""if(required is null, array({row("unknown_tool", "tool_name")}), concat(
       transform(array_except(required, params.k), x -> {row("missing_param", "x")}),
-      transform(filter(params, p -> types[p.k] is not null and p.v not like '%{{{{%' and not {fits}), p -> {row("type_mismatch", "p.k")}),
+      transform(filter(params, p -> types[p.k] is not null and (p.v not like '%{{{{%' or trim(p.v) rlike '^[{{][^{{]') and not {fits}), p -> {row("type_mismatch", "p.k")}),
       transform(filter({_REFS}, r -> r >= step_id), r -> {row("forward_ref", "cast(r as string)")}),
       transform(filter({_REFS}, r -> r > last_step), r -> {row("nonexistent_ref", "cast(r as string)")})))"""
     return steps.join(catalog, "tool_name", "left").select(key, "pos", F.explode(F.expr(found)).alias("x")).select(key, "pos", "x.*")

@@ -6,7 +6,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from planlens import more_queries, queries, structure_queries, workflow_queries  # noqa: E402, F401
+from planlens import more_queries, queries, review_queries, structure_queries, workflow_queries  # noqa: E402, F401
 from planlens.registry import ORACLES, QUERIES  # noqa: E402
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
