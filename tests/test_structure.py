@@ -253,3 +253,34 @@ def _grown(rows, rounds):
                 tree[n] = [visits + 1, mean + (reward - mean) / (visits + 1)]
         out |= {(q, n): tuple(v) for n, v in tree.items()}
     return out
+
+
+def test_typed_plans_equal_the_interpreter(spark):
+    """The fold against the interpreter, on plans of numbers and on others, which it leaves."""
+    from planlens.operators import typed
+
+    rng = random.Random(7)
+    numeral = lambda: rng.choice(["0", "1", "-3", "7", "12345678901", "999999999999999999", "2.5", "-0.0", "0.1", "1000000.0", " 4 ", "3.0"])
+    plans = []
+    for _ in range(300):
+        steps = []
+        for at in range(rng.randrange(5)):
+            tool = rng.choice([*typed.TOOLS, "add", "subtract", "divide", "nothing" if rng.random() < 0.2 else "multiply"])
+            names = typed.TOOLS.get(tool, (("x",), None))[0]
+            value = lambda at=at: f"{{{{{rng.randrange(at + (rng.random() < 0.1))}}}}}" if at and rng.random() < 0.6 else numeral()
+            params = [(k, value()) for k in names]
+            if rng.random() < 0.15:
+                params = rng.choice([[("arg_0", "1"), ("arg_1", "2")], params[:-1], [(k, rng.choice(["'4'", "[1, 2]", "+5", "1e3", "None"])) for k, _ in params], [*params, ("zz", "1")]])
+            steps.append((at, at, f" {tool} " if rng.random() < 0.1 else tool, params, rng.choice([f"{{{{{at}}}}}", None, f"{{{{{max(at - 1, 0)}}}}}"] if rng.random() < 0.2 else [f"{{{{{at}}}}}"])))
+        plans.append(steps)
+    schema = "id int, left string, row string, steps array<struct<pos:int,step_id:int,tool_name:string,params:array<struct<k:string,v:string>>,output_variable:string>>"
+    df = spark.createDataFrame([(i, "l", "r", s) for i, s in enumerate(plans)], schema).repartition(3)
+    rows = {r.id: r for r in execute.execute(df).collect()}
+    as_dicts = lambda s: [{"step_id": x[1], "tool_name": x[2], "params": [{"k": k, "v": v} for k, v in x[3]], "output_variable": x[4]} for x in s]
+    for i, s in enumerate(plans):
+        assert (rows[i].exec_status, rows[i].exec_output, rows[i].exec_failed_step) == execute.run_plan(as_dicts(s)), s
+    assert len(rows) == len(plans) and rows[0].left == "l" and rows[0].row == "r"
+    left = df.select(typed.run(F.col("steps"), list(execute.REGISTRY), 200).alias("r")).where("r.left").count()
+    assert 20 < left < 150
+    plain = df.where(F.col("id").isin([i for i, s in enumerate(plans) if all(t in ("add", "subtract") and all(k in ("arg_0", "arg_1") and v.strip().isdigit() for k, v in p) and len(p) == 2 for _, _, t, p, _ in s)]))
+    assert "Python" not in execute.execute(plain)._jdf.queryExecution().toString()
