@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planlens.sources.scratch import keep
+
 from .parse import once
 from .schema import ERROR_TYPES, INCOMPATIBLE
 
@@ -174,6 +176,43 @@ def compound(df: DataFrame, errors: list[str], steps: str = "steps") -> DataFram
     return out
 
 
+def compound_tried(df: DataFrame, k: int, errors: tuple[str, ...] = ERROR_TYPES[1:], tries: int = 25, key: str = "plan_id", steps: str = "steps") -> DataFrame:
+    """``df`` with ``injected``, ``errors`` (as applied) and ``tried`` (from 0): ``k`` distinct
+    injectors on each plan, of the first of ``tries`` draws in which all of them change it.
+    Plans for which no draw does have no row.
+
+    A draw takes the ``k`` least types by md5 of key, draw and type, truncation last. Draws
+    go in rounds of one, four and twenty, each only over plans that are still open. Columns of
+    ``df`` stay; the three new ones are replaced.
+    """
+    base = df.drop("injected", "errors", "tried")
+    order = F.array(*map(F.lit, ERROR_TYPES))
+    todo, done, at = base, None, 0
+    for many in (1, 4, tries):
+        if at >= tries:
+            break
+        draws = F.array(*map(F.lit, range(at, min(tries, at + many))))
+        ranked = lambda t: F.array_sort(F.array(*(F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), t.cast("string"), F.lit(e)).cast("binary")).alias("h"), F.lit(e).alias("e")) for e in errors)))
+        drawn = F.transform(F.slice(ranked(F.col("tried")), 1, k), lambda x: x["e"])
+        rows = todo.select("*", F.explode(draws).alias("tried")).withColumn("errors", F.array_sort(drawn, lambda a, b: F.when((a == "incomplete_plan") != (b == "incomplete_plan"), F.when(a == "incomplete_plan", 1).otherwise(-1)).otherwise(F.array_position(order, a).cast("int") - F.array_position(order, b).cast("int"))))
+        rows = rows.withColumn("injected", F.col(steps))
+        for i in range(k):
+            rows = once(rows, "_i", _one_of(errors, F.col("errors")[i])).where("_i.changed").withColumn("injected", F.col("_i.steps")).drop("_i")
+        first = rows.groupBy(key).agg(F.min_by(F.struct("injected", "errors", "tried"), "tried").alias("_f"))
+        hit = keep(todo.join(first, key).select(*base.columns, "_f.*"), "compound")
+        done = hit if done is None else done.union(hit)
+        todo, at = todo.join(hit.select(key), key, "left_anti"), at + many
+    return done
+
+
+def _one_of(errors: tuple[str, ...], wanted: Column) -> Column:
+    """The injector that ``wanted`` names, over ``injected``."""
+    out = F.when(F.lit(False), injector(errors[0], "injected"))
+    for e in errors:
+        out = out.when(wanted == e, injector(e, "injected"))
+    return out
+
+
 def quota_slots(n: int, shares: dict[str, float]) -> list[str]:
     """Labels of ``n`` candidates: the gold plan, each type's quota of the rest, then the types in turn; cut to ``n``."""
     rest = n - 1

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from planlens.operators import catalog, metrics, report
 from planlens.operators.metrics import r6
-from planlens.plans import compare, corpus, parse, render, validate
-from planlens.queries import _PLANS, _STEPS
+from planlens.plans import compare, corpus, inject, parse, render, validate
+from planlens.queries import _N, _PLANS, _STEPS
 from planlens.registry import query
 
 # -- agreement ---------------------------------------------------------------------------
@@ -175,3 +175,35 @@ def judge_requests(spark, sf_dir):
     p = corpus.plans(spark, sf_dir)
     text = render.judge_request(F.col("query_id").cast("string"), F.lit("Available Tools:\n- t(a: any)"), F.col("plan_text"))
     return p.select("plan_id", F.md5(text.cast("binary")).alias("request_md5"))
+
+
+# -- injectors -----------------------------------------------------------------------------
+
+_KINDS = ("type_mismatch", "inefficient_order", "incomplete_plan", "unnecessary_steps")
+
+
+@query(f"""with {_N}, d as (select plan_id, k, unnest(range(25)) as t from n where k >= 2), r as (select plan_id, k, t, e, row_number() over (partition by plan_id, t order by md5(plan_id || '|' || t || '|' || e)) as i from d, (values {', '.join(f"('{e}')" for e in _KINDS)}) v(e)),
+  g as (select plan_id, k, t, list_sort(list(e)) as e from r where i <= 2 group by all having not list_contains(list(e), 'inefficient_order')), f as (select plan_id, k, min(t) as t, arg_min(e, t) as e from g group by 1, 2)
+  select plan_id, t::int as tried, array_to_string(e, ',') as errors, (k + list_contains(e, 'unnecessary_steps')::int - list_contains(e, 'incomplete_plan')::int)::int as n_steps from f""")
+def compound_with_tries(spark, sf_dir):
+    """Two errors a plan, drawn anew while one of them changes nothing: these plans have no order to spoil."""
+    p = corpus.parsed(spark, sf_dir).where("size(steps) > 0").select("plan_id", "steps")
+    p = inject.compound_tried(p, 2, _KINDS)
+    return p.select("plan_id", "tried", F.array_join(F.array_sort("errors"), ",").alias("errors"), F.size("injected").alias("n_steps"))
+
+
+@query(f"""with {_N}, t as (select distinct plan_id // 10 as q, tool_name as x, case length(tool_name) % 4 when 0 then [] when 1 then ['other'] when 2 then ['arg_0', 'zzz'] else ['arg_0', 'arg_1', 'note'] end as req from v_steps),
+  m as (select plan_id, plan_id // 10 as q, tool_name as own, case when pos > 0 then ['arg_0', 'arg_1', 'note'] else ['arg_0', 'note'] end as held from s where pos = mid),
+  o as (select plan_id, x, case when len(req) = 0 or list_sort(req) = list_sort(held) then 2 when list_has_any(req, held) then 1 else 0 end as rank, md5(own || x) as h from m join t using (q) where x <> own)
+  select m.plan_id, count(x) > 0 as changed, coalesce(arg_min(x, rank || h), any_value(own)) as tool, coalesce(min(rank), -1)::int as rank from m left join o using (plan_id) group by m.plan_id""")
+def wrong_tool_by_rank(spark, sf_dir):
+    """The middle step calls a tool that requires none of its parameters, else some, else what takes them all."""
+    need = lambda t: F.when(F.length(t) % 4 == 0, F.array().cast("array<string>")).when(F.length(t) % 4 == 1, F.array(F.lit("other"))).when(F.length(t) % 4 == 2, F.array(F.lit("arg_0"), F.lit("zzz"))).otherwise(F.array(F.lit("arg_0"), F.lit("arg_1"), F.lit("note")))
+    tools = corpus.query_tools(spark, sf_dir).select("query_id", F.transform("all_tools", lambda t: F.struct(t.alias("name"), need(t).alias("required"))).alias("specs"))
+    p = corpus.parsed(spark, sf_dir).where("size(steps) > 0").join(tools, "query_id")
+    p = parse.once(p, "i", inject.injector("wrong_tool", specs="specs"))
+    middle = F.get(F.col("i.steps"), F.expr("size(steps) div 2"))
+    p = p.select("plan_id", "i.changed", middle["tool_name"].alias("tool"), middle["params"]["k"].alias("held"), "specs")
+    req = F.get(F.filter("specs", lambda t: t["name"] == F.col("tool")), 0)["required"]
+    rank = F.when(~F.col("changed"), -1).when((F.size(req) == 0) | (F.array_sort(req) == F.array_sort("held")), 2).when(F.arrays_overlap(req, "held"), 1).otherwise(0)
+    return p.select("plan_id", "changed", "tool", rank.alias("rank"))
