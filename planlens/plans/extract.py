@@ -101,9 +101,11 @@ def repair(line: Column, step: Column, tool: Column) -> Column:
 
 def label_refs(value: Column, labels: Column) -> Column:
     """``$var_N.field$`` references as ``{{index}}``, where ``labels`` (array of
-    names like ``$var_1`` or ``$var1``) has the label in either form; others stay."""
+    names like ``$var_1`` or ``$var1``) has the label in either form; others stay.
+    Arguments as JSON text are read as text too: labels hold nothing that JSON escapes,
+    so every string at any depth, and every key, is reached without taking them apart."""
     plain = F.transform(labels, lambda x: F.replace(F.replace(x, F.lit("$var_"), F.lit("")), F.lit("$var"), F.lit("")))
-    pieces = F.split(value, r"(?=\$var_?\d+\.\w+\$)|(?<=\w\$)")
+    pieces = F.regexp_extract_all(value, F.lit(r"\$var_?\d+\.\w+\$|[^$]+|\$"), F.lit(0))
     form = r"^\$var_?(\d+)\.\w+\$$"
 
     def piece(p: Column) -> Column:

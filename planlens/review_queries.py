@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planlens.operators import catalog, metrics, report
+from planlens import sql
+from planlens.operators import catalog, execute, metrics, report
 from planlens.operators.metrics import r6
-from planlens.plans import compare, corpus, inject, parse, render, validate
+from planlens.plans import compare, corpus, extract, inject, parse, render, validate
 from planlens.queries import _N, _PLANS, _STEPS
 from planlens.registry import query
 
@@ -207,3 +208,56 @@ def wrong_tool_by_rank(spark, sf_dir):
     req = F.get(F.filter("specs", lambda t: t["name"] == F.col("tool")), 0)["required"]
     rank = F.when(~F.col("changed"), -1).when((F.size(req) == 0) | (F.array_sort(req) == F.array_sort("held")), 2).when(F.arrays_overlap(req, "held"), 1).otherwise(0)
     return p.select("plan_id", "changed", "tool", rank.alias("rank"))
+
+
+# -- runs that end oddly, SQL, training rows -----------------------------------------------
+
+
+@query("""select p_partkey, case p_partkey % 7 when 0 then 'tool_error' when 1 then 'timeout' when 5 then 'call_error' when 6 then 'unresolved_ref' else 'ok' end as exec_status,
+  case p_partkey % 7 when 2 then (p_size + 2)::varchar when 3 then (p_size / 4.0)::double::varchar when 4 then 'n' || (p_size + 1) || '.' end as exec_output,
+  case p_partkey % 7 when 0 then 0 when 5 then 1 when 6 then 1 end::int as failed from part""")
+def exec_edges(spark, sf_dir):
+    """Outputs that tell of an error, plans that are too long, a call repeated without the argument
+    it refuses, arguments by position, a reference inside a text, a division by zero, a missing output."""
+    p = corpus.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("int").cast("string").alias("n"), F.replace("p_name", F.lit("'"), F.lit("")).alias("name"))
+    say = lambda *parts: F.concat(*(F.lit(x) if x != "n" and x != "name" else F.col(x) for x in parts))
+    long_ = "\n".join(f"Step {i}: {{{{{i}}}}} = negate(number=1)" for i in range(201))
+    kinds = [
+        say("Step 0: {{0}} = add(arg_0='Error: ', arg_1='", "name", "')"),
+        F.lit(long_),
+        say("Step 0: {{0}} = add(arg_0=", "n", ", arg_1=2, extra_flag=3)"),
+        say("Step 0: {{0}} = speed(arg_0=", "n", ", arg_1=4)"),
+        say("Step 0: {{0}} = add(arg_0=", "n", ", arg_1=1)\nStep 1: {{1}} = add(arg_0='n{{0}}', arg_1='.')"),
+        say("Step 0: {{0}} = subtract(arg_0=", "n", ", arg_1=", "n", ")\nStep 1: {{1}} = divide(arg_0=1, arg_1={{0}})"),
+        say("Step 0: {{0}} = negate(number=", "n", ")\nStep 1: {{1}} = negate(number={{5}})"),
+    ]
+    text = F.element_at(F.array(*kinds), (F.col("p_partkey") % 7 + 1).cast("int"))
+    out = execute.execute(parse.once(p.select("p_partkey", text.alias("t")), "steps", parse.parse_plan("t")).select("p_partkey", "steps"))
+    return out.select("p_partkey", "exec_status", "exec_output", F.col("exec_failed_step").alias("failed"))
+
+
+@query(f"with {_STEPS} select tool_name, count(*) as n, sum(qty)::bigint as qty, count(distinct plan_id) as plans from v_steps group by tool_name")
+def sql_surface(spark, sf_dir):
+    """Plans parsed and counted in SQL alone, by the table function over the view of plans."""
+    sql.register(spark, sf_dir)
+    return spark.sql("""select s.tool_name, count(*) as n, sum(cast(filter(s.params, p -> p.k = 'arg_0')[0].v as bigint)) as qty, count(distinct plan_id) as plans
+      from plans, lateral parse_plan(plan_text) s group by s.tool_name""")
+
+
+@query("""with t as (select p_partkey, p_size::int as n from part) select p_partkey, case when n < 20 then least(n + n % 7, 20)::int end as length, case when n < 20 then least(n, 20)::int end as ignored, case when n < 20 and n % 7 > 0 then 1000::int end as first_label from t""")
+def masked_training_rows(spark, sf_dir):
+    """Token rows whose prompt is ignored by the loss; rows that hold no more than a prompt go."""
+    p = corpus.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("int").alias("n"))
+    ids = lambda n, first: F.transform(F.array_repeat(F.lit(0), n), lambda _, i: i + first)
+    row = render.masked_labels(ids(F.col("n"), 1), ids(F.col("n") % 7, 1000), 20)
+    p = p.select("p_partkey", row.alias("r"))
+    told = F.filter("r.labels", lambda x: x != -100)
+    return p.select("p_partkey", F.when(F.col("r").isNotNull(), F.size("r.ids")).alias("length"), F.when(F.col("r").isNotNull(), F.size("r.labels") - F.size(told)).alias("ignored"), F.get(told, 0).alias("first_label"))
+
+
+@query("""select p_partkey, '{"a":["{{0}} of ' || p_size || '",{"k":"{{1}}","l":[[1,"x{{1}}y"]]}],"b":"$var_7.z$","{{0}}":null}' as arguments from part""")
+def label_refs_nested(spark, sf_dir):
+    """Labels in the strings and keys of nested arguments; those without a step stay."""
+    p = corpus.table(spark, sf_dir, "part")
+    text = F.concat(F.lit('{"a":["$var_1.result$ of '), F.col("p_size").cast("string"), F.lit('",{"k":"$var2.x$","l":[[1,"x$var_2.y$y"]]}],"b":"$var_7.z$","$var1.q$":null}'))
+    return p.select("p_partkey", extract.label_refs(text, F.array(F.lit("$var_1"), F.lit("$var2"))).alias("arguments"))
