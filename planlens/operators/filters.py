@@ -31,6 +31,14 @@ def covered(plans: DataFrame, tools: DataFrame, key: str = "plan_id", steps: str
     return plans.where(F.size(steps) > 0).join(missing, key, "left_anti")
 
 
+def organic_failure(plan_text: Column, functional_match: Column, correct: Column | None = None) -> Column:
+    """Whether a plan that a model wrote fails without a judge: by its match with the gold
+    plan, or, where runs are at hand, by their being ``correct`` (null: not run, a failure).
+    Null for empty plans, which fail to parse and count as neither."""
+    failed = functional_match.eqNullSafe(F.lit(False)) if correct is None else ~F.coalesce(correct, F.lit(False))
+    return F.when(F.coalesce(F.trim(plan_text), F.lit("")) != "", failed)
+
+
 def stop(score: Column, least: int = 100) -> Column:
     """Whether a search may end."""
     return score >= least

@@ -161,6 +161,18 @@ def dataset_statistics(plans: DataFrame, issues: DataFrame) -> DataFrame:
     return by(plans, "error_type", "error_types").union(scores).union(by(plans, "prediction", "success_predictions")).union(by(issues, "severity", "issue_severities")).union(by(issues, "type", "issue_types"))
 
 
+def failure_report(records: DataFrame, failed: Column, by: str, score: str = "judge_score", least: float = 80) -> DataFrame:
+    """``(by, n_records, n_failures, judge_mean_on_failures, flag_rate_on_failures,
+    judge_mean_on_non_failures)``: what a judge says of failures found without it, a row
+    a method and one of null ``by`` for all. Rows whose ``failed`` is null count in
+    ``n_records`` only; means over no rows are null, null scores in none."""
+    rows = records.select(F.col(by).alias(by), F.col(score).cast("double").alias("s"), failed.alias("f"))
+    on = lambda f: r6(F.avg(F.when(F.col("f") == f, F.col("s"))))
+    flagged = r6(F.avg(F.when(F.col("f"), (F.col("s") < least).cast("int"))))
+    cells = (F.count("*").alias("n_records"), F.count_if("f").alias("n_failures"), on(True).alias("judge_mean_on_failures"), flagged.alias("flag_rate_on_failures"), on(False).alias("judge_mean_on_non_failures"))
+    return rows.groupBy(by).agg(*cells).where(F.col(by).isNotNull()).union(rows.select(F.lit(None).cast(rows.schema[by].dataType).alias(by), "s", "f").groupBy(by).agg(*cells))
+
+
 def issue_order(issues: DataFrame, kind: str = "type") -> DataFrame:
     """``(kind, n, rank)``: issues by type, the most frequent first, ties by name."""
     counts = issues.groupBy(kind).agg(F.count("*").alias("n"))

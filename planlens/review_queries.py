@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from planlens import sql
-from planlens.operators import catalog, execute, metrics, report
+from planlens.operators import catalog, execute, filters, metrics, report
 from planlens.operators.metrics import r6
 from planlens.plans import compare, corpus, extract, inject, parse, render, validate
 from planlens.queries import _N, _PLANS, _STEPS
@@ -95,6 +95,19 @@ def issue_order(spark, sf_dir):
     return report.issue_order(_issues(spark, sf_dir))
 
 
+_FAILED = """r as (select 'm' || (slot % 3) as method, judge_score as s, case when trim(plan_text) <> '' then case when plan_id % 4 = 3 then true else plan_id % 4 = 1 end end as f from v_plans)"""
+_FAIL_CELLS = "count(*) as n_records, count(*) filter (f) as n_failures, round(avg(s) filter (f), 6) as judge_mean_on_failures, round(avg((s < 80)::int) filter (f), 6) as flag_rate_on_failures, round(avg(s) filter (not f), 6) as judge_mean_on_non_failures from r"
+
+
+@query(f"with {_PLANS}, {_FAILED} select method, {_FAIL_CELLS} group by method union all select null, {_FAIL_CELLS}")
+def failures_by_execution(spark, sf_dir):
+    """What a judge says of plans whose run was wrong or missing, by method and in all."""
+    p = corpus.plans(spark, sf_dir)
+    correct = F.when(F.col("plan_id") % 4 != 3, F.col("plan_id") % 4 != 1)
+    failed = filters.organic_failure(F.col("plan_text"), F.lit(True), correct)
+    return report.failure_report(p.withColumn("method", F.concat(F.lit("m"), (F.col("slot") % 3).cast("string"))), failed, "method")
+
+
 # -- comparison, catalogs, checks ---------------------------------------------------------
 
 _PAIRS = """g as (select *, count(*) over (partition by plan_id) as n from v_steps),
