@@ -40,8 +40,9 @@ from .common import materialize
 #: Trees, symbols of a hash string, projections of a symbol.
 TREES, DEPTH, DIMS = 64, 6, 8
 BITS = DIMS.bit_length()
-#: Candidates that a query's slices hold over all trees (see README for recall).
-NEED = 13_000
+#: Candidates that a query's slices hold over all trees: so many at least, and one in
+#: SHARE of the rows. Random vectors need that share at any size (see README for recall).
+NEED, SHARE = 13_000, 4
 #: Rows of a cell, queries that visit a cell at once, symbols of the histogram at most.
 CELL, QUERIES, UPPER = 4096, 8192, 4
 #: Candidates kept beyond k until they are scored exactly; queries merged at a time.
@@ -309,10 +310,11 @@ def _search(rows: DataFrame, asked: DataFrame, dim: int, n: int, lift: float, ke
     return found.groupBy("bucket").applyInPandas(lambda f: _best(f, keep), "query bigint, found bigint")
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec: str = "embedding", trees: int = TREES, need: int = NEED, seed: int = 42) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec: str = "embedding", trees: int = TREES, need: int | None = None, seed: int = 42) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``queries`` (same
     columns) the ``k`` rows of ``vectors`` of largest inner product that the
-    forest finds, those of the query's own id left out, ties to the smaller id.
+    forest finds, those of the query's own id left out, ties to the smaller id. ``need``
+    is what a query's slices hold in all; by default ``NEED`` or one in ``SHARE`` rows.
 
     Vectors that are null, zero or hold null or non-finite parts, and null ids,
     take no part; a query finds only vectors of its own dimension, of which there
@@ -329,7 +331,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     asked = materialize(usable(queries, id_col, vec).withColumn("key", F.xxhash64(F.lit("q"), "v")), "queries")
     asked_v = asked.groupBy("v", "top").agg(F.min("key").alias("id")).withColumn("dim", F.size("v"))
     stats = classes.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("lift")).collect()
-    parts = [_search(classes.where(F.col("dim") == r["dim"]), asked_v.where(F.col("dim") == r["dim"]), r["dim"], r["n"], r["lift"], k + 1 + SPARE, trees, need, seed) for r in stats]
+    parts = [_search(classes.where(F.col("dim") == r["dim"]), asked_v.where(F.col("dim") == r["dim"]), r["dim"], r["n"], r["lift"], k + 1 + SPARE, trees, need or max(NEED, r["n"] // SHARE), seed) for r in stats]
     empty = vectors.sparkSession.createDataFrame([], "query bigint, found bigint")
     found = materialize(functools.reduce(DataFrame.union, parts, empty), "found")
     pairs = found.join(asked_v.select(F.col("id").alias("query"), F.col("v").alias("qv")), "query")
