@@ -223,10 +223,11 @@ def _round(blocks: DataFrame, space: Space, directory: Directory, state: DataFra
                 done.append(r)
             yield pa.RecordBatch.from_pylist(done, schema)
 
-    met = state.mapInArrow(ask, _ASKED).join(blocks, "seg").drop("seg", "part")
+    # a few asking rows become a row a segment, which the planner's sizes do not know: neither side may be broadcast
+    met = state.mapInArrow(ask, _ASKED).join(blocks.hint("merge"), "seg").drop("seg", "part")
     met = met.mapInArrow(meet, "ask bigint, want int, ids array<bigint>, scores array<bigint>")
     found = met.groupBy("ask").agg(F.collect_list(F.struct("want", "ids", "scores")).alias("found"))
-    return state.join(found, "ask", "left").mapInArrow(merge, _STATE)
+    return state.join(found.hint("merge"), "ask", "left").mapInArrow(merge, _STATE)
 
 
 def _search(blocks: DataFrame, space: Space, directory: Directory, asks: DataFrame, dim: int, exact: bool) -> DataFrame:
@@ -270,7 +271,7 @@ def _of_dim(rows: DataFrame, anchors: DataFrame, dim: int, top: int, positives:
     lows, highs = F.transform(scores, lambda p: -hundredth(-least * p)), F.transform(scores, lambda p: hundredth(most * p))
     asks = first.select("ask", "own_id", "label", "v", F.lit(False).alias("same"), F.lit(negatives).alias("k"), lows.alias("lows"), highs.alias("highs"))
     found = _search(blocks, space, directory, asks, dim, exact).select("ask", "tops")
-    pairs = first.select("ask", "own_id", "top").join(found, "ask")
+    pairs = first.select("ask", "own_id", "top").join(found.hint("merge"), "ask")
     each = pairs.select("own_id", F.explode(F.arrays_zip(F.col("top.ids").alias("positive"), F.col("top.scores").alias("score"), F.col("tops").alias("found"))).alias("p"))
     each = each.select("own_id", F.col("p.positive").alias("positive_id"), F.col("p.score").alias("positive_score"), F.posexplode(F.arrays_zip(F.col("p.found.ids").alias("i"), F.col("p.found.scores").alias("s"))).alias("rank", "n"))
     return each.select(F.col("own_id").alias("anchor_id"), "positive_id", (F.col("rank") + 1).alias("rank"), F.col("n.i").alias("negative_id"), "positive_score", F.col("n.s").alias("negative_score"))

@@ -128,6 +128,22 @@ def test_mine_against_brute_force(spark, monkeypatch, seed, first, segment):
     assert got == mined(rows, lambda i: i % 20 == 0) and len(got) > 200
 
 
+def test_mine_broadcasts_no_rows(spark, monkeypatch):
+    """Asking rows become a row a segment, more than any estimate: no round may send them through the driver."""
+    plans, real = [], hard_negatives.materialize
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(hard_negatives, "materialize", spied)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], i % 3) for i in range(300)]
+    assert hard_negatives.mine(vectors_of(spark, rows), F.col("vec_id") % 10 == 0).count() > 0
+    joins = [p for p in plans if "Join" in p]
+    assert joins and not [p for p in joins if "BroadcastHashJoin" in p]
+
+
 def test_searches_leave_far_segments_out(spark):
     """Once the best rows are certain, segments that cannot hold better ones are not visited."""
     rng = np.random.default_rng(5)
