@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,13 +30,14 @@ def hash_rank(seed: str, key: Column) -> Column:
 
 
 def split_groups(groups: DataFrame, key: str, shares: tuple[float, float] = (0.8, 0.1), seed: str = "42") -> DataFrame:
-    """``(key, split)`` of exact sizes floor(n*r) for distinct keys. Ranks come
+    """``(key, split)`` of exact sizes floor(n*r) for distinct keys, r as the decimal
+    that it is written as: 90,000 * 0.7 is 63,000, not 62,999. Ranks come
     from counts of hash buckets first, so no task ranks all keys."""
     rows = groups.select(key).distinct().withColumn("_h", hash_rank(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
     counts = rows.groupBy("_b").agg(F.count("*").alias("c"))  # at most 4,096 rows
     before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("c").over(Window.partitionBy()))
     ranked = rows.join(F.broadcast(before), "_b").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1)
-    a, b = F.floor(F.col("total") * shares[0]), F.floor(F.col("total") * shares[1])
+    a, b = (F.floor(F.col("total") * F.lit(Decimal(repr(r)))) for r in shares)
     return ranked.select(key, F.when(F.col("rank") < a, "train").when(F.col("rank") < a + b, "val").otherwise("test").alias("split"))
 
 

@@ -133,6 +133,12 @@ def test_quota():
     assert slots == ["none", "a", "a", "a", "a", "b", "c", "a", "b", "c"]
 
 
+def test_split_sizes_are_of_decimal_shares(spark):
+    """In doubles 10 * 0.7 is 7.0, but 90 * 0.7 is 62.99 and more."""
+    out = select.split_groups(spark.range(90).withColumnRenamed("id", "k"), "k", (0.7, 0.15))
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 63, "val": 13, "test": 14}
+
+
 def test_metrics(spark):
     s = spark.createDataFrame([(100, True), (90, True), (80, True), (80, False), (70, False)], "s int, p boolean")
     assert metrics.auc(s, "s", F.col("p")).first().auc == round(5.5 / 6, 6)
