@@ -284,3 +284,17 @@ def test_typed_plans_equal_the_interpreter(spark):
     assert 20 < left < 150
     plain = df.where(F.col("id").isin([i for i, s in enumerate(plans) if all(t in ("add", "subtract") and all(k in ("arg_0", "arg_1") and v.strip().isdigit() for k, v in p) and len(p) == 2 for _, _, t, p, _ in s)]))
     assert "Python" not in execute.execute(plain)._jdf.queryExecution().toString()
+
+
+def test_rounds_of_search_derive_candidates_once(spark, monkeypatch):
+    """Rounds read what is written; none broadcasts a tree, whose files look small."""
+    plans, real = [], search.keep
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(search, "keep", spied)
+    c = spark.range(8).select(F.lit(1).alias("q"), F.col("id").alias("node"), F.when(F.col("id") > 0, F.lit(0)).cast("bigint").alias("parent"), (F.col("id") / 10).alias("prior"), (F.col("id") / 20).alias("reward"))
+    assert search.grow(c, "q", rounds=2, depth=1).count() == 8
+    assert sum("Range (" in p for p in plans) == 1 and not any("BroadcastHashJoin" in p for p in plans)
