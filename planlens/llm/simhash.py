@@ -189,22 +189,26 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def similar_texts(docs: DataFrame, text: str, shingle: int, jaccard: float) -> DataFrame:
-    """``(x, y)``: hashes of texts whose shingle sets have exact Jaccard
-    similarity ``jaccard`` or more, among pairs that share a band's key.
+    """``(x, y)``: hashes of texts whose shingle sets have exact Jaccard similarity
+    ``jaccard`` or more; their closure is that of all such pairs that share a band's key.
 
-    In a list of over five texts each meets the first and the three before it."""
+    In a list each text first meets the least and the three before it, which is all
+    of a list of five. In longer lists whoever is not yet linked to most of the list
+    then meets all that it is not linked to, and whose number of shingles allows it:
+    nothing is left out but pairs whose ends are linked already."""
     import pyarrow as pa
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ths, keys = [], []
+            ths, keys, sizes = [], [], []
             for th, t in zip(b.column("th").to_pylist(), b.column("text"), strict=True):
                 h = shingles(t.as_py(), shingle)
                 if len(h):
                     ths.append(np.full(BANDS, th, np.int64))
                     keys.append(bands(h).view(np.int64))
+                    sizes.append(np.full(BANDS, len(h), np.int64))
             if ths:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ths)), pa.array(np.concatenate(keys))], ["th", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ths, keys, sizes)], ["th", "key", "n"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -216,17 +220,36 @@ def similar_texts(docs: DataFrame, text: str, shingle: int, jaccard: float) -> D
             yield b.select(["x", "y"]).filter(pa.array(near, pa.bool_()))
 
     texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    posted = materialize(texts.mapInArrow(keyed, "th bigint, key bigint").distinct(), "bands")
-    shared = posted.groupBy("key").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").select("key", "lo")
+    def compared(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("x", "y")).alias("th")).distinct()
+        # copies collapse where they are read, before the shuffle
+        known = materialize(texts.dropDuplicates(["th"]).join(wanted, "th", "left_semi"), "texts")
+        filled = pairs.join(known.select(F.col("th").alias("x"), F.col("text").alias("s")), "x")
+        filled = filled.join(known.select(F.col("th").alias("y"), F.col("text").alias("t")), "y").select("x", "y", "s", "t")
+        return materialize(filled.mapInArrow(verified, "x bigint, y bigint"), "similar")
+
+    posted = materialize(texts.mapInArrow(keyed, "th bigint, key bigint, n bigint").distinct(), "bands")
+    lists = posted.groupBy("key").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.count("*").alias("c"))
+    lists = materialize(lists.where("lo <> hi"), "lists")
     before = [F.lag("th", k).over(Window.partitionBy("key").orderBy("th")) for k in (1, 2, 3)]
-    pairs = posted.join(shared, "key").select("th", F.array("lo", *before).alias("xs")).select("th", F.explode("xs").alias("x"))
+    pairs = posted.join(lists.select("key", "lo"), "key").select("th", F.array("lo", *before).alias("xs")).select("th", F.explode("xs").alias("x"))
     pairs = materialize(pairs.where("x <> th").select("x", F.col("th").alias("y")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("th")).distinct()
-    # copies collapse where they are read, before the shuffle
-    known = materialize(texts.dropDuplicates(["th"]).join(wanted, "th", "left_semi"), "texts")
-    filled = pairs.join(known.select(F.col("th").alias("x"), F.col("text").alias("s")), "x")
-    filled = filled.join(known.select(F.col("th").alias("y"), F.col("text").alias("t")), "y").select("x", "y", "s", "t")
-    return materialize(filled.mapInArrow(verified, "x bigint, y bigint"), "similar")
+    near = compared(pairs)
+    long = lists.where("c > 5").select("key")
+    if long.isEmpty():
+        return near
+    comps = connected_components(near.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    placed = posted.join(long, "key", "left_semi").join(comps.withColumnRenamed("node", "th"), "th", "left")
+    placed = materialize(placed.select("key", "th", "n", F.coalesce("root", "th").alias("root")), "placed")
+    main = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
+    own = placed.join(main, "key").where("root <> main").select("key", "main", F.col("th").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
+    met = own.join(placed.withColumnsRenamed({"th": "y", "n": "yn", "root": "yr"}), "key")
+    # of two that are both off the main group one order is enough
+    met = met.where((F.col("xr") != F.col("yr")) & ((F.col("yr") == F.col("main")) | (F.col("x") < F.col("y"))))
+    met = met.where(F.least("xn", "yn") >= jaccard * F.greatest("xn", "yn") - 1e-9)
+    rest = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rest = materialize(rest.join(pairs, ["x", "y"], "left_anti"), "rest")
+    return near.union(compared(rest))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, most: int = 2, jaccard: float | None = None) -> DataFrame:

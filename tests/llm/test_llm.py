@@ -692,3 +692,29 @@ def test_names_of_inner_columns_may_stand_in_the_input(spark):
     for out, left in ((line_dedup.dedup_lines(d).drop("removed"), 3), (simhash.near_dedup(d), 2)):
         rows = out.collect()
         assert out.columns == d.columns and len(rows) == left and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+
+
+def test_similar_texts_of_long_lists(spark, monkeypatch):
+    """All texts in one list: whoever is not next to its like, or to the first, is found too."""
+    monkeypatch.setattr(simhash, "bands", lambda hashes: np.zeros(simhash.BANDS, np.uint64))
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join(words[:-1]), " ".join(words + ["z"])]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.similar_texts(docs, "text", simhash.WORDS, 0.8).collect()
+    th = {r.th: r.doc_id for r in docs.select("doc_id", F.xxhash64("text").alias("th")).collect()}
+    sets = [set(simhash.shingles(t, simhash.WORDS).tolist()) for t in texts]
+    true = {(i, j) for i in range(36) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+    def groups(links):
+        root = list(range(36))
+        for _ in root:
+            for i, j in links:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    found = {tuple(sorted((th[r.x], th[r.y]), reverse=True)) for r in got}
+    assert found <= true and groups(found) == groups(true) and len(set(groups(true))) == 12
