@@ -85,23 +85,28 @@ def injector(error_type: str, steps: str = "steps", tools: str = "all_tools", sp
         key = "get(filter(s.params, p -> p.v like '%{{%'), 0).k"
         new, where = _at(steps, i, _set("s", key, "'\\'hardcoded_value\\''")), f"{n} >= 2 and {i} is not null"
     elif error_type == "wrong_tool":
-        own, held = f"get({steps}, {n} div 2).tool_name", f"get({steps}, {n} div 2).params.k"
-        named = f"transform({tools}, t -> named_struct('name', t, 'required', cast(array() as array<string>)))" if not specs else specs
-        pool = f"filter({named}, t -> t.name <> {own})"
+        held = "m.params.k"
         rank = f"case when size(t.required) = 0 or size(array_union(array_except(t.required, {held}), array_except({held}, t.required))) = 0 then 2 when arrays_overlap(t.required, {held}) then 1 else 0 end"
-        pick = f"array_min(transform({pool}, t -> named_struct('r', {rank}, 'h', md5(concat({own}, t.name)), 't', t.name))).t"
-        new, where = _at(steps, f"{n} div 2", _step("s", tool_name=pick)), f"{n} >= 1 and size({pool}) > 0"
+        # without requirements all are of one rank; the middle step and the pick are found once
+        rank, name = (rank, "t.name") if specs else ("2", "t")
+        pool = f"filter({specs or tools}, t -> {name} <> m.tool_name)"
+        pick = f"transform(array(get({steps}, {n} div 2)), m -> array_min(transform({pool}, t -> named_struct('r', {rank}, 'h', md5(concat(m.tool_name, {name})), 't', {name}))).t)[0]"
+        made = f"if(t is null, {steps}, transform({steps}, (s, j) -> if(j = {n} div 2, {_step('s', tool_name='t')}, s)))"
+        return F.expr(f"transform(array({pick}), t -> named_struct('steps', {made}, 'changed', {n} >= 1 and t is not null))[0]")
     elif error_type == "parameter_typo":
         i = f"array_min(filter(transform({steps}, (s, i) -> if({_typo_target('s', 'i')} is not null, i, null)), i -> i is not null))"
         key = _typo_target("s", "j")
         new, where = _at(steps, i, _set("s", f"{key}.k", _typo(f"{key}.v"))), f"{i} is not null"
     elif error_type == "circular_dependency":
-        refers = f"exists(slice({steps}, i + 2, {n}), t -> exists(t.params, p -> p.v like concat('%{{{{', i, '}}}}%')))"
-        i = f"array_min(filter(transform({steps}, (s, i) -> if(i < {n} - 1 and size(s.params) > 0 and {refers}, i, null)), i -> i is not null))"
-        t = f"array_min(filter(transform({steps}, (t, j) -> if(j > {i} and exists(t.params, p -> p.v like concat('%{{{{', {i}, '}}}}%')), j, null)), j -> j is not null))"
+        # per step its number and the first later one that refers to it; what follows names each value once
+        named = "exists(array(concat('{{', i, '}}')), m -> exists(t.params, p -> contains(p.v, m)))"
+        user = f"array_min(filter(transform({steps}, (t, j) -> if(j > i and {named}, j, null)), j -> j is not null))"
+        used = f"transform({steps}, (s, i) -> if(i < {n} - 1 and size(s.params) > 0, named_struct('at', i, 'to', {user}), null))"
         last = f"array_max(filter(transform({steps}, (s, i) -> if(size(s.params) > 0, i, null)), i -> i is not null))"
-        at, to = f"coalesce({i}, {last})", f"coalesce({t}, {last})"
-        new, where = _at(steps, at, _set("s", "get(s.params, 0).k", f"concat('{{{{', {to}, '}}}}')")), f"{n} >= 2 and {at} is not null"
+        place = f"coalesce(array_min(filter({used}, x -> x.to is not null)), transform(array({last}), l -> named_struct('at', l, 'to', l))[0])"
+        set_ = _set("s", "get(s.params, 0).k", "concat('{{', c.to, '}}')")
+        made = f"if(ok, transform({steps}, (s, j) -> if(j = c.at, {set_}, s)), {steps})"
+        return F.expr(f"transform(array({place}), c -> transform(array({n} >= 2 and c.at is not null), ok -> named_struct('steps', {made}, 'changed', ok))[0])[0]")
     elif error_type == "inefficient_order":
         free = f"not exists(get({steps}, i + 1).params, p -> contains(p.v, s.output_variable))"
         i = f"array_min(filter(transform({steps}, (s, i) -> if(i < {n} - 1, if({free}, i, null), null)), i -> i is not null))"
@@ -185,7 +190,7 @@ def compound_tried(df: DataFrame, k: int, errors: tuple[str, ...] = ERROR_TYPES[
     go in rounds of one, four and twenty, each only over plans that are still open. Columns of
     ``df`` stay; the three new ones are replaced.
     """
-    base = df.drop("injected", "errors", "tried")
+    base = keep(df.drop("injected", "errors", "tried"), "base")  # every round reads it twice
     order = F.array(*map(F.lit, ERROR_TYPES))
     todo, done, at = base, None, 0
     for many in (1, 4, tries):
