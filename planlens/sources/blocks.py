@@ -64,12 +64,20 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return every.select(*_KEY, "i", "text", ((F.col("lq") + F.col("bq")) % 2).alias("q"), ((F.col("lq") + F.col("bq") + F.col("odd")) % 2).alias("q1"), d0.alias("d0"), d1.alias("d1"))
 
 
+#: Strings, brackets, colons and what is between them; an object that holds no other.
+_TOKENS = r'"(?:[^"\\]|\\.)*+"?|[\[\]{}:]|[^"\[\]{}:]+'
+_FLAT = r'\{(?:"(?:[^"\\]|\\.)*+"|[^"\[\]{}])*+\}'
+
+
 def _outlined(text: Column, q: Column, depth: Column, inside: Column, key: str) -> Column:
     """``(own, rest, last, keys)`` of a piece of an object: what is within the list that
     is ``key``'s value, all other text, whether the piece ends inside that list, and
     the root keys that are named here. A fold over strings, brackets and what is between."""
     head = F.when(q == 1, F.regexp_extract(text, r'^(?:[^"\\]|\\.)*+"?', 0)).otherwise("")
-    tokens = F.regexp_extract_all(F.substr(text, F.length(head) + 1), F.lit(r'"(?:[^"\\]|\\.)*+"?|[\[\]{}:]|[^"\[\]{}:]+'), F.lit(0))
+    body = F.substr(text, F.length(head) + 1)
+    cut = lambda pattern: F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+    # below depth 1 nothing is named or entered, so that an object without brackets in it is one token there
+    tokens = F.when((depth >= 1) & ~F.contains(text, F.lit("]")), cut(rf"{_FLAT}|{_TOKENS}")).otherwise(cut(_TOKENS))
     start = F.struct(depth.alias("d"), F.lit("").alias("s"), F.when(inside, head).otherwise("").alias("own"), F.when(inside, "").otherwise(head).alias("rest"), inside.alias("in"), F.lit(None).cast("boolean").alias("last"), F.array().cast("array<string>").alias("keys"))
 
     def step(s: Column, t: Column) -> Column:
@@ -125,8 +133,9 @@ def _of_objects(every: DataFrame, fields: list[str], key: str) -> DataFrame:
     bare = _bare(F.when(F.col("q") == 1, F.concat(F.lit('"'), plain)).otherwise(plain))
     rises = F.contains(F.regexp_replace(bare, r"\[[^\[\]{}]*+\]", ""), F.lit("]"))
     touches = (F.col("d0") <= 1) | rises
-    either = {c: F.when(touches, _outlined(F.col("text"), F.col("q"), F.col("d0"), F.lit(state), key)) for c, state in (("from_out", False), ("from_in", True))}
-    every = every.withColumns(either).withColumn("set", F.when(F.col("from_out.last") == F.col("from_in.last"), F.col("from_out.last")))  # null: it stays as it was
+    # the list lies below depth 1: a piece that begins above it begins outside
+    either = {c: F.when(touches & some, _outlined(F.col("text"), F.col("q"), F.col("d0"), F.lit(state), key)) for c, state, some in (("from_out", False, F.lit(True)), ("from_in", True, F.col("d0") > 1))}
+    every = every.withColumns(either).withColumn("set", F.when((F.col("from_out.last") == F.col("from_in.last")) | (touches & (F.col("d0") <= 1)), F.col("from_out.last")))  # null: it stays as it was
     every = keep(every.select(*_KEY, "i", "text", "d1", "closed", "from_out", "from_in", "set"), "objects")
     own, all_before = _before(_KEY, "i"), _before(("file",), "start")
     marks = every.groupBy(*_KEY).agg(F.max_by("set", F.when(F.col("set").isNotNull(), F.col("i"))).alias("set"))
@@ -145,7 +154,7 @@ def _records(local: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records from pieces with their ends: within blocks, and across them."""
     own, all_before = _before(_KEY, "i"), _before(("file",), "start")
     local = keep(local.withColumn("r", _running(F.col("cut").cast("int"), own)), "cut")
-    joined = lambda c, *by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, c))), lambda x: x[c]), "")
+    joined = lambda c, *by: F.array_join(F.sort_array(F.collect_list(F.struct(*by, c)))[c], "")
     groups = local.groupBy(*_KEY, "form", "r").agg(joined("text", "i").alias("text"), F.max("cut").alias("cut"))
     cuts = local.groupBy(*_KEY).agg(F.sum(F.col("cut").cast("int")).alias("n")).select(*_KEY, _running(F.col("n"), all_before).alias("above"))
     groups = groups.join(cuts, list(_KEY)).withColumn("ord", F.col("r") + F.col("above"))

@@ -43,3 +43,12 @@ def test_circular_dependency_matches_no_pattern_made_per_row(plans):
     assert got[0] == (True, "Step 0: {{0}} = a(x={{1}}, y=2)\nStep 1: {{1}} = b(x={{0}})\nStep 2: {{2}} = c(x={{0}}, y={{1}})")
     assert got[1] == (True, "Step 0: {{0}} = a(x=1)\nStep 1: {{1}} = b(x={{1}})")
     assert [got[i][0] for i in (2, 3, 4)] == [False] * 3
+
+
+def test_pieces_above_the_list_are_folded_once(spark, tmp_path, monkeypatch):
+    kept, keep = {}, blocks.keep
+    monkeypatch.setattr(blocks, "keep", lambda df, name: kept.setdefault(name, keep(df, name)))
+    (tmp_path / "f.json").write_text('{"k0": {"a": "x]}{\\"", "b": 1}, "k1": {"a": "{", "b": 2},\n "data2": {"a": "}", "b": 3}, "k3": {"a": "", "b": 4, "c": [{"d": 1}]}}')
+    records, _ = blocks.documents(spark, str(tmp_path), ["a"])
+    assert {r["form"] for r in records.collect()} == {"items"} and records.count() == 4
+    assert kept["objects"].where("from_in is not null").count() < kept["objects"].where("from_out is not null").count()
