@@ -229,7 +229,7 @@ def grounded(spark, sf_dir):
     made-up value, calls no tool or refers to no step."""
     s = corpus.raw_steps(spark, sf_dir)
     step = F.struct("pos", "tool_name")
-    g = s.groupBy("plan_id").agg(F.array_sort(F.collect_list(step)).alias("s")).withColumn("kind", F.col("plan_id") % 4).withColumn("last", F.size("s") - 1)
+    g = s.groupBy("plan_id").agg(F.sort_array(F.collect_list(step)).alias("s")).withColumn("kind", F.col("plan_id") % 4).withColumn("last", F.size("s") - 1)
     answer = lambda i: F.concat(F.lit("value"), i.cast("string"), F.lit("of"), F.col("plan_id").cast("string"))
     hops = F.transform("s", lambda x: F.struct(x["tool_name"].alias("tool"), F.concat(F.lit("what is hop "), x["pos"], F.lit("?")).alias("question"), answer(x["pos"]).alias("answer")))
     g = g.withColumn("hops", hops).withColumn("gold", answer(F.col("last")))

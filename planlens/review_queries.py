@@ -175,7 +175,7 @@ def robust_faults(spark, sf_dir):
         .when(kind == 2, say("### Call ", pos, " - result_", pos, " = ", tool, "(a=1, b=[2, 3]))."))
         .otherwise(say("- Operation ", pos, ") {{", pos, "}} = ", tool, "(a=", qty, "), b=2)"))
     )
-    texts = s.groupBy("plan_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", line.alias("l"))))["l"], "\n").alias("t"))
+    texts = s.groupBy("plan_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", line.alias("l"))))["l"], "\n").alias("t"))
     read = parse.once(texts, "steps", parse.parse_plan("t", "robust")).withColumn("d", parse.diagnostics("t"))
     arg = lambda rest, k: F.expr(f"nullif(array_join(transform(filter(steps, s -> s.pos % 4 = {rest}), s -> filter(s.params, p -> p.k = '{k}')[0].v), ','), '')")
     return read.select("plan_id", F.size("steps").cast("bigint").alias("n"), F.array_min("steps.tool_name").alias("least_tool"), F.col("d.unclosed").cast("bigint").alias("unclosed"), F.col("d.alt_var").cast("bigint").alias("alt_var"), F.array_join("steps.output_variable", ",").alias("variables"), arg(3, "a").alias("deep"), arg(1, "a").alias("refs"))
@@ -232,7 +232,7 @@ def wrong_tool_by_rank(spark, sf_dir):
 def exec_edges(spark, sf_dir):
     """Outputs that tell of an error, plans that are too long, a call repeated without the argument
     it refuses, arguments by position, a reference inside a text, a division by zero, a missing output."""
-    p = corpus.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("int").cast("string").alias("n"), F.replace("p_name", F.lit("'"), F.lit("")).alias("name"))
+    p = corpus.spread(corpus.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("int").cast("string").alias("n"), F.replace("p_name", F.lit("'"), F.lit("")).alias("name")))
     say = lambda *parts: F.concat(*(F.lit(x) if x != "n" and x != "name" else F.col(x) for x in parts))
     long_ = "\n".join(f"Step {i}: {{{{{i}}}}} = negate(number=1)" for i in range(201))
     kinds = [

@@ -52,3 +52,32 @@ def test_pieces_above_the_list_are_folded_once(spark, tmp_path, monkeypatch):
     records, _ = blocks.documents(spark, str(tmp_path), ["a"])
     assert {r["form"] for r in records.collect()} == {"items"} and records.count() == 4
     assert kept["objects"].where("from_in is not null").count() < kept["objects"].where("from_out is not null").count()
+
+
+def test_a_plan_that_is_settled_is_not_written_again(spark, monkeypatch):
+    kept, keep = {}, execute.keep
+    monkeypatch.setattr(execute, "keep", lambda df, name: kept.setdefault(name, keep(df, name)))
+    p = steps_of(spark, "Step 0: {{0}} = add(arg_0=1, arg_1=2)", "Step 0: {{0}} = add(arg_0='a', arg_1='b')")
+    assert {r["plan_id"]: r["exec_output"] for r in execute.execute(p).collect()} == {0: "3", 1: "ab"}
+    assert [r["n"] for r in kept["ran"].select(F.size("row.steps").alias("n"), "ran.left").orderBy("left").collect()] == [None, 1] or kept["ran"].where("row.steps is not null").count() == 1
+
+
+def test_small_tables_are_spread(spark):
+    assert corpus.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_objects_of_arrow_columns():
+    kind = pa.list_(pa.struct([("a", pa.string()), ("b", pa.list_(pa.struct([("c", pa.int32())])))]))
+    rows = [[{"a": "x", "b": [{"c": 1}, {"c": None}]}, {"a": None, "b": None}], None, [], [None, {"a": "y", "b": []}], [{"a": "z", "b": [None]}]]
+    column = pa.array(rows, kind)
+    for part in (column, column[1:], column[2:4], column[:0]):
+        assert execute._objects(part) == part.to_pylist()
+
+
+@pytest.mark.parametrize("text", ["'a'", '"a b"', "''", "'it\\'s'", "'a' 'b'", "'a\nb'", "\"it's\"", "'", "x'", "'''a'''"])
+def test_literals_as_the_parser_reads_them(text):
+    try:
+        want = ast.literal_eval(text)
+    except (ValueError, SyntaxError):
+        want = text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"" else text
+    assert execute.literal(text) == want
