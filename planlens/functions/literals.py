@@ -183,7 +183,8 @@ def _python_string(c: Column) -> Column:
         return F.when(p == "\\", F.lit("\\\\")).when(p == "'", F.when(double, "'").otherwise("\\'")).when(p == "\n", "\\n").when(p == "\r", "\\r").when(p == "\t", "\\t").when(p.rlike(r"^[\p{C}\p{Z}&&[^ ]]"), hexed).otherwise(p)
 
     parts = F.regexp_extract_all(c, F.lit(r"[\p{C}\p{Z}&&[^ ]]|[\\']|[^\p{C}\p{Z}\\']+| +"), F.lit(0))
-    return F.concat(quote, F.array_join(F.transform(parts, part), ""), quote)
+    as_it_is = (double | ~c.contains("'")) & ~c.rlike(r"[\p{C}\p{Z}&&[^ ]]|\\")
+    return F.concat(quote, F.when(as_it_is, c).otherwise(F.array_join(F.transform(parts, part), "")), quote)
 
 
 def _python_float(t: Column) -> Column:
@@ -202,7 +203,10 @@ def _python_float(t: Column) -> Column:
         long_ = F.concat(head, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
         return F.concat(F.when(t.startswith("-"), "-").otherwise(""), F.when(x == 0, "0.0").when((power < -4) | (power >= 16), long_).otherwise(plain))
 
-    return F.when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(_let(shortest, written))
+    # no two decimals of up to 15 digits are one double, so that theirs are the shortest; 19 places hold them from 1e-4 on
+    few = (F.length(F.substring_index(F.lower(t), "e", 1)) <= 15) & (F.abs(x) >= 1e-4) & (F.abs(x) < 1e15)
+    exact = F.regexp_replace(F.regexp_replace(t.try_cast("decimal(38,19)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(few, exact).otherwise(_let(shortest, written))
 
 
 _JSON = r'"(?:[^"\\]|\\.)*+"|[\[\]{},:]|[^"\[\]{},:\s]+'
@@ -214,7 +218,8 @@ def python_repr(c: Column) -> Column:
     exponent as floats. The order of keys is the text's. Null for null."""
 
     def token(t: Column) -> Column:
-        text = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0]
+        plain = F.substr(t, F.lit(2), F.length(t) - 2)
+        text = F.when(t.rlike(r"[\\\x00-\x1f]"), F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")[0]).otherwise(plain)
         return (
             F.when(t.startswith('"'), _let(text, _python_string))
             .when(t == ",", ", ").when(t == ":", ": ").when(t == "true", "True").when(t == "false", "False").when(t == "null", "None")

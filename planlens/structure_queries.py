@@ -22,7 +22,7 @@ _NAME = "replace(p_name, '''', '')"
 
 def _literals(spark, sf_dir) -> DataFrame:
     """Python literals from the parts: nested, with tuples, signs, escapes, None, and some that are none."""
-    p = corpus.table(spark, sf_dir, "part").select("p_partkey", F.replace("p_name", F.lit("'"), F.lit("")).alias("name"), F.col("p_size").cast("int").alias("size"))
+    p = corpus.spread(corpus.table(spark, sf_dir, "part").select("p_partkey", F.replace("p_name", F.lit("'"), F.lit("")).alias("name"), F.col("p_size").cast("int").alias("size")))
     nested = F.concat(F.lit("{'n': ("), F.col("p_partkey").cast("string"), F.lit(", -"), F.col("size").cast("string"), F.lit(".5e1,), \"it's\": ['"), "name", F.lit("' '\\n\\x41', None], 7: {'deep': [[], {}, (True)]}, }"))
     broken = F.concat(F.lit("['"), "name", F.lit("', "), F.col("size").cast("string"))
     return p.withColumn("code", F.when(F.col("p_partkey") % 5 == 0, broken).when(F.col("p_partkey") % 5 == 1, F.concat("size", F.lit(", "), F.lit("0x1F, .25"))).otherwise(nested))
@@ -59,7 +59,7 @@ def typed_plan_strings(spark, sf_dir):
     typed = F.to_json(F.to_variant_object(F.struct(F.when(F.col("qty") % 2 == 0, True).alias("k"))))
     params = F.array(param("a", value(ref)), param("b", F.to_json(F.parse_json(mixed))), param("c", typed), param("d", value(F.concat("status", F.lit("'s")))))
     step = F.struct("pos", F.col("pos").alias("step_id"), ref.alias("output_variable"), "tool_name", params.alias("params"))
-    steps = s.groupBy("plan_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    steps = s.groupBy("plan_id").agg(F.sort_array(F.collect_list(step)).alias("steps"))
     return steps.select("plan_id", F.md5(render.typed_plan_string(F.col("steps")).cast("binary")).alias("text_md5"))
 
 

@@ -81,3 +81,17 @@ def test_literals_as_the_parser_reads_them(text):
     except (ValueError, SyntaxError):
         want = text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"" else text
     assert execute.literal(text) == want
+
+
+def test_floats_and_texts_as_python_prints_them(spark):
+    r = random.Random(5)
+    numbers = [f"{r.choice(['', '-'])}{r.randrange(10 ** r.randrange(1, 16))}.{r.randrange(10 ** r.randrange(1, 9))}" for _ in range(300)]
+    numbers += [f"{r.randrange(1, 10 ** r.randrange(1, 8))}.{r.randrange(1000)}e{r.randrange(-12, 20)}" for _ in range(300)]
+    numbers += ["0.0", "-0.0", "0.0001", "0.00009", "1e15", "1e16", "999999999999999.0", "9999999999999999.0", "1.50", "-12.500e1", "0.1e-3", "5e-324", "1.7e308", "123456789012345e-19"]
+    df = spark.createDataFrame([(x,) for x in numbers], "t string")
+    for x, got in df.select("t", literals.python_repr(F.col("t")).alias("p")).collect():
+        assert got == repr(float(x)), x
+    texts = ["", "plain", "it's", 'say "x"', "it's \"x\"", "back\\slash", "tab\t", "é x", "new\nline", "​", "a  b"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", F.expr("substr(to_json(array(t)), 2, length(to_json(array(t))) - 2)").alias("j"))
+    for x, got in df.select("t", literals.python_repr(F.col("j")).alias("p")).collect():
+        assert got == repr(x)
