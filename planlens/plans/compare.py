@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .parse import once
@@ -27,7 +27,7 @@ def functional(a: str, b: str) -> str:
 
 
 def refs(p: str) -> str:
-    return rf"array_distinct(flatten(transform({p}, x -> regexp_extract_all(x.v, '(\\{{\\{{\\d+\\}}\\}})', 1))))"
+    return rf"array_distinct(flatten(transform(filter({p}, x -> contains(x.v, '{{{{')), x -> regexp_extract_all(x.v, '(\\{{\\{{\\d+\\}}\\}})', 1))))"
 
 
 def compare(df: DataFrame, gen: str = "steps", gold: str = "gold_steps", empty_dependency: float = 0.0) -> DataFrame:
@@ -39,13 +39,16 @@ def compare(df: DataFrame, gen: str = "steps", gold: str = "gold_steps", empty_d
     """
     zipped = f"filter(arrays_zip({gen}, {gold}), z -> z.{gen} is not null and z.{gold} is not null)"
     z = f"transform({zipped}, z -> named_struct('a', z.{gen}, 'b', z.{gold}))"
-    va, vb = normal("get(filter(z.a.params, q -> q.k = p.k), 0).v"), normal("p.v")
-    shared = f"filter(z.b.params, p -> exists(z.a.params, q -> q.k = p.k) and exists(array(named_struct('a', {va}, 'b', {vb})), w -> contains(w.a, w.b) or contains(w.b, w.a)))"
-    per = f"""transform({z}, z -> named_struct(
+    # the first parameter of the same name holds or is held; equal ones need no cleaning
+    va, vb = normal("q.v"), normal("p.v")
+    alike = f"q.v = p.v or exists(array(named_struct('a', {va}, 'b', {vb})), w -> contains(w.a, w.b) or contains(w.b, w.a))"
+    shared = f"filter(z.b.params, p -> exists(slice(filter(z.a.params, q -> q.k = p.k), 1, 1), q -> {alike}))"
+    refers = f"transform(array(named_struct('a', {refs('z.a.params')}, 'b', {refs('z.b.params')})), r -> named_struct('all', size(r.b), 'right', size(array_intersect(r.b, r.a))))[0]"
+    per = f"""transform(transform({z}, z -> named_struct('a', z.a, 'b', z.b, 'r', {refers})), z -> named_struct(
         'tool', cast(lower(btrim(z.a.tool_name)) = lower(btrim(z.b.tool_name)) as int),
         'func', {functional("z.a.tool_name", "z.b.tool_name")},
         'keys', size(z.b.params), 'right', size({shared}),
-        'deps', size({refs("z.b.params")}), 'deps_right', size(array_intersect({refs("z.b.params")}, {refs("z.a.params")}))))"""
+        'deps', z.r.all, 'deps_right', z.r.right))"""
     out = once(df, "_per", F.expr(per)).withColumn("_ok", F.expr(f"size({gen}) > 0 and size({gold}) > 0"))
     total = lambda f, kind="bigint": f"aggregate(_per, cast(0 as {kind}), (a, x) -> a + x.{f})"
     gate = lambda e, other="0.0D": F.expr(f"if(_ok, {e}, {other})")
@@ -109,8 +112,9 @@ def step_details(df: DataFrame, gen: str = "steps", gold: str = "gold_steps", *k
 def with_gold(df: DataFrame, last: bool = False) -> DataFrame:
     """Join each plan to its query's perfect plan (the first by slot, or the
     last), falling back to its own steps where the query has none."""
-    perfect = df.where("error_type = 'none' and size(steps) > 0")
+    perfect = F.expr("query_id is not null and error_type = 'none' and size(steps) > 0")
     pick = F.max_by if last else F.min_by
-    perfect = perfect.groupBy("query_id").agg(pick("steps", "slot").alias("perfect_steps"), pick("plan_text", "slot").alias("perfect_text"))
-    out = df.join(perfect, "query_id", "left")
+    # over a window, as a join with the table itself would make and parse it twice
+    first = lambda c: pick(F.when(perfect, F.col(c)), F.when(perfect, F.col("slot"))).over(Window.partitionBy("query_id"))
+    out = df.select("query_id", *(c for c in df.columns if c != "query_id"), first("steps").alias("perfect_steps"), first("plan_text").alias("perfect_text"))
     return out.withColumn("gold_steps", F.coalesce("perfect_steps", "steps")).withColumn("gold_text", F.coalesce("perfect_text", "plan_text"))

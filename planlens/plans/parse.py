@@ -48,31 +48,32 @@ def params(args: str, robust: bool = False) -> str:
     if robust:
         value = rf"""regexp_replace(regexp_replace({value}, '(?<!\\{{)\\{{(\\s*\\d+\\s*)\\}}(?!\\}})', '{{{{$1}}}}'), '^(?i)(?:var|result|output|out|r|x|step|s)_?(\\d+)$', '{{{{$1}}}}')"""
     pairs = f"transform(filter({split_args(args, robust)}, p -> instr(p, '=') > 0), p -> named_struct('k', btrim(substr(p, 1, instr(p, '=') - 1)), 'v', {value}))"
-    return f"""transform(array({pairs}), a -> transform(array_distinct(transform(a, p -> p.k)),
-      k -> named_struct('k', k, 'v', element_at(filter(a, p -> p.k = k), -1).v)))[0]"""
+    return f"""transform(array({pairs}), a -> if(size(array_distinct(a.k)) = size(a), a, transform(array_distinct(a.k),
+      k -> named_struct('k', k, 'v', element_at(filter(a, p -> p.k = k), -1).v))))[0]"""
 
 
 def _number(steps: str) -> str:
     return f"transform({steps}, (s, i) -> named_struct('pos', i, 'step_id', s.step_id, 'tool_name', s.tool_name, 'params', s.params, 'output_variable', s.output_variable))"
 
 
-#: SQL: a call after an equals sign, to the line's end.
-_AFTER = r"'=\\s*[^(]+\\(.*\\)\\s*$'"
+#: SQL: a call after an equals sign, to its last bracket at the line's end.
+_AFTER = r"'=\\s*[^(]+\\(.*\\)(?=\\s*$)'"
 
 
 def _called(c: str) -> tuple[str, str]:
     """SQL: (tool, arguments) of what ``_AFTER`` matches: up to its first bracket, and from there to its last."""
     at = f"instr({c}, '(')"
-    return f"btrim(substr({c}, 2, {at} - 2), ' \t')", f"substr({c}, {at} + 1, length(btrim({c}, ' \t\r\n\f\u000b')) - {at} - 1)"
+    return f"btrim(substr({c}, 2, {at} - 2), ' \t')", f"substr({c}, {at} + 1, length({c}) - {at} - 1)"
 
 
 def _strict(text: str) -> str:
-    lines = rf"filter(transform(split({text}, '\n'), l -> btrim(l, ' \t\r\n')), l -> startswith(l, 'Step '))"
+    # what ends a line is left to the patterns: trimming it takes as long as one of them
+    lines = rf"filter(transform(split({text}, '\n'), l -> if(startswith(l, 'Step '), l, ltrim(' \t\r\n', l))), l -> startswith(l, 'Step '))"
     # each pattern runs once a line
     found = rf"transform({lines}, l -> named_struct('n', regexp_extract(l, '^Step (\\d+):', 1), 'o', regexp_extract(l, '(\\{{\\{{\\d+\\}}\\}})\\s*=', 1), 'c', regexp_extract(l, {_AFTER}, 0)))"
     tool, args = _called("x.c")
-    step = f"named_struct('step_id', cast(x.n as int), 'tool_name', {tool}, 'params', {params(args)}, 'output_variable', x.o)"
-    return _number(f"transform(filter({found}, x -> x.n <> '' and x.o <> '' and x.c <> ''), x -> {step})")
+    step = f"named_struct('pos', i, 'step_id', cast(x.n as int), 'tool_name', {tool}, 'params', {params(args)}, 'output_variable', x.o)"
+    return f"transform(filter({found}, x -> x.n <> '' and x.o <> '' and x.c <> ''), (x, i) -> {step})"
 
 
 def _lenient(text: str) -> str:
@@ -104,16 +105,15 @@ def _mixed(text: str) -> str:
 
 
 def _robust(text: str) -> str:
-    clean = rf"replace(regexp_replace({text}, '```[a-zA-Z0-9_+-]*\n?', ''), '```', '')"
-    heads = rf"filter(split({clean}, '\n'), l -> btrim(l) rlike {HEADER})"
-    rows = rf"""transform({heads}, l -> named_struct('n', cast(regexp_extract(btrim(l), {HEADER}, 1) as int),
-      'body', regexp_replace(regexp_extract(btrim(l), {HEADER}, 2), '[`*;.\\s]+$', '')))"""
-    rows = rf"""transform({rows}, r -> named_struct('n', r.n, 'assigned', r.body rlike {_ASSIGN},
-      'id', if(r.body rlike {_ASSIGN}, cast(regexp_extract(r.body, {_VAR}, 1) as int), r.n),
-      'call', if(r.body rlike {_ASSIGN}, regexp_extract(r.body, {_ASSIGN}, 1), r.body)))"""
-    rows = rf"filter({rows}, r -> r.call rlike {_CALL})"
-    step = f"named_struct('step_id', r.n, 'tool_name', btrim(regexp_extract(r.call, {_CALL}, 1)), 'params', {params(f"trim(trailing ')' from regexp_extract(r.call, {_CALL}, 2))", True)}, 'output_variable', concat('{{{{', r.id, '}}}}'))"
-    return _number(f"transform({rows}, r -> {step})")
+    clean = rf"if(contains({text}, '```'), replace(regexp_replace({text}, '```[a-zA-Z0-9_+-]*\n?', ''), '```', ''), {text})"
+    # no group that is asked for first can be empty, so that an empty one is no match and each pattern runs once a group
+    rows = rf"filter(transform(split({clean}, '\n'), l -> named_struct('l', btrim(l), 'n', regexp_extract(btrim(l), {HEADER}, 1))), r -> r.n <> '')"
+    rows = rf"transform({rows}, r -> named_struct('n', cast(r.n as int), 'body', regexp_replace(regexp_extract(r.l, {HEADER}, 2), '[`*;.\\s]+$', '')))"
+    rows = rf"transform({rows}, r -> named_struct('n', r.n, 'body', r.body, 'said', regexp_extract(r.body, {_ASSIGN}, 1)))"
+    rows = rf"transform({rows}, r -> named_struct('n', r.n, 'id', if(r.said <> '', cast(regexp_extract(r.body, {_VAR}, 1) as int), r.n), 'call', if(r.said <> '', r.said, r.body)))"
+    rows = rf"filter(transform({rows}, r -> named_struct('n', r.n, 'id', r.id, 'call', r.call, 'tool', regexp_extract(r.call, {_CALL}, 1))), r -> r.tool <> '')"
+    step = f"named_struct('pos', i, 'step_id', r.n, 'tool_name', btrim(r.tool), 'params', {params(f"trim(trailing ')' from regexp_extract(r.call, {_CALL}, 2))", True)}, 'output_variable', concat('{{{{', r.id, '}}}}'))"
+    return f"transform({rows}, (r, i) -> {step})"
 
 
 def parse_plan(column: str, dialect: str = "strict") -> Column:

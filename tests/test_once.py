@@ -95,3 +95,21 @@ def test_floats_and_texts_as_python_prints_them(spark):
     df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", F.expr("substr(to_json(array(t)), 2, length(to_json(array(t))) - 2)").alias("j"))
     for x, got in df.select("t", literals.python_repr(F.col("j")).alias("p")).collect():
         assert got == repr(x)
+
+
+def test_gold_plans_come_without_reading_plans_twice(spark):
+    assert plan_of(queries.compared(spark, SF)).count("o_orderkey#") and plan_of(queries.compared(spark, SF)).count("Relation [o_orderkey") == 1
+
+
+def test_gold_by_window_as_by_join(spark):
+    rows = [(1, 0, "a", "x"), (1, 1, "none", "y"), (1, 2, "none", "z"), (2, 0, "a", "x"), (None, 0, "none", "x"), (None, 1, "a", "y"), (3, 0, "none", None), (3, 1, "none", "w")]
+    df = spark.createDataFrame(rows, "query_id long, slot int, error_type string, plan_text string").withColumn("steps", F.when(F.col("plan_text").isNull(), F.array().cast("array<string>")).otherwise(F.array("plan_text")))
+    for last, want in ((False, ["y", "y", "y", "x", "x", "y", "w", "w"]), (True, ["z", "z", "z", "x", "x", "y", "w", "w"])):
+        got = {(r["query_id"], r["slot"]): r["gold_steps"] for r in compare.with_gold(df, last).collect()}
+        assert [got[q, s] for q, s, *_ in rows] == [[w] for w in want]
+
+
+def test_lines_and_calls_with_spaces_around_them(spark):
+    text = "  Step 0: {{0}} = a(x=1)  \t\r\n\tStep 1: {{1}} =b (x='p)', x=2, y= q )\x0b \n\nStep 2: {{2}} = c(x=(1) y\nStep 3: {{3}} = d()\r"
+    s = steps_of(spark, text).first()["steps"]
+    assert [(x["pos"], x["step_id"], x["tool_name"], [(p["k"], p["v"]) for p in x["params"]]) for x in s] == [(0, 0, "a", [("x", "1")]), (1, 1, "b", [("x", "2"), ("y", "q")]), (2, 3, "d", [])]
