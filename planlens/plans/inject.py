@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planlens.sources.scratch import keep
-
 from .parse import once
 from .schema import ERROR_TYPES, INCOMPATIBLE
 
@@ -71,6 +69,10 @@ def injector(error_type: str, steps: str = "steps", tools: str = "all_tools", sp
     catalog) or ``specs`` (structs ``name, required``) is read by wrong_tool only:
     with specs, a tool that requires none of the step's parameters comes before
     one that requires some, and that before one that would accept them all."""
+    return F.expr(_injector(error_type, steps, tools, specs, types))
+
+
+def _injector(error_type: str, steps: str, tools: str = "all_tools", specs: str | None = None, types: str | None = None) -> str:
     n = f"size({steps})"
     if error_type == "type_mismatch":
         i = _nearest_middle(steps, f"{_literal('s')} is not null")
@@ -86,13 +88,13 @@ def injector(error_type: str, steps: str = "steps", tools: str = "all_tools", sp
         new, where = _at(steps, i, _set("s", key, "'\\'hardcoded_value\\''")), f"{n} >= 2 and {i} is not null"
     elif error_type == "wrong_tool":
         held = "m.params.k"
-        rank = f"case when size(t.required) = 0 or size(array_union(array_except(t.required, {held}), array_except({held}, t.required))) = 0 then 2 when arrays_overlap(t.required, {held}) then 1 else 0 end"
+        rank = f"case when size(t.required) = 0 then 2 when not arrays_overlap(t.required, {held}) then 0 when size(array_except(t.required, {held})) = 0 and size(array_except({held}, t.required)) = 0 then 2 else 1 end"
         # without requirements all are of one rank; the middle step and the pick are found once
         rank, name = (rank, "t.name") if specs else ("2", "t")
         pool = f"filter({specs or tools}, t -> {name} <> m.tool_name)"
         pick = f"transform(array(get({steps}, {n} div 2)), m -> array_min(transform({pool}, t -> named_struct('r', {rank}, 'h', md5(concat(m.tool_name, {name})), 't', {name}))).t)[0]"
         made = f"if(t is null, {steps}, transform({steps}, (s, j) -> if(j = {n} div 2, {_step('s', tool_name='t')}, s)))"
-        return F.expr(f"transform(array({pick}), t -> named_struct('steps', {made}, 'changed', {n} >= 1 and t is not null))[0]")
+        return f"transform(array({pick}), t -> named_struct('steps', {made}, 'changed', {n} >= 1 and t is not null))[0]"
     elif error_type == "parameter_typo":
         i = f"array_min(filter(transform({steps}, (s, i) -> if({_typo_target('s', 'i')} is not null, i, null)), i -> i is not null))"
         key = _typo_target("s", "j")
@@ -106,7 +108,7 @@ def injector(error_type: str, steps: str = "steps", tools: str = "all_tools", sp
         place = f"coalesce(array_min(filter({used}, x -> x.to is not null)), transform(array({last}), l -> named_struct('at', l, 'to', l))[0])"
         set_ = _set("s", "get(s.params, 0).k", "concat('{{', c.to, '}}')")
         made = f"if(ok, transform({steps}, (s, j) -> if(j = c.at, {set_}, s)), {steps})"
-        return F.expr(f"transform(array({place}), c -> transform(array({n} >= 2 and c.at is not null), ok -> named_struct('steps', {made}, 'changed', ok))[0])[0]")
+        return f"transform(array({place}), c -> transform(array({n} >= 2 and c.at is not null), ok -> named_struct('steps', {made}, 'changed', ok))[0])[0]"
     elif error_type == "inefficient_order":
         free = f"not exists(get({steps}, i + 1).params, p -> contains(p.v, s.output_variable))"
         i = f"array_min(filter(transform({steps}, (s, i) -> if(i < {n} - 1, if({free}, i, null), null)), i -> i is not null))"
@@ -125,7 +127,7 @@ def injector(error_type: str, steps: str = "steps", tools: str = "all_tools", sp
         new, where = _at(steps, i, _set("s", "get(s.params, 0).k", f"concat('{{{{', {i} + 1, '}}}}')")), f"{n} >= 2 and {i} is not null"
     else:
         new, where = steps, "true"
-    return F.expr(f"named_struct('steps', if({where}, {new}, {steps}), 'changed', {where})")
+    return f"named_struct('steps', if({where}, {new}, {steps}), 'changed', {where})"
 
 
 def inject(df: DataFrame, error_type: str, steps: str = "steps", types: str | None = None) -> DataFrame:
@@ -186,36 +188,23 @@ def compound_tried(df: DataFrame, k: int, errors: tuple[str, ...] = ERROR_TYPES[
     injectors on each plan, of the first of ``tries`` draws in which all of them change it.
     Plans for which no draw does have no row.
 
-    A draw takes the ``k`` least types by md5 of key, draw and type, truncation last. Draws
-    go in rounds of one, four and twenty, each only over plans that are still open. Columns of
-    ``df`` stay; the three new ones are replaced.
+    A draw takes the ``k`` least types by md5 of key, draw and type, truncation last. Draws are
+    made in a fold within the plan's row, until one does. Columns of ``df`` stay; the three new
+    ones are replaced.
     """
-    base = keep(df.drop("injected", "errors", "tried"), "base")  # every round reads it twice
-    order = F.array(*map(F.lit, ERROR_TYPES))
-    todo, done, at = base, None, 0
-    for many in (1, 4, tries):
-        if at >= tries:
-            break
-        draws = F.array(*map(F.lit, range(at, min(tries, at + many))))
-        ranked = lambda t: F.array_sort(F.array(*(F.struct(F.md5(F.concat_ws("|", F.col(key).cast("string"), t.cast("string"), F.lit(e)).cast("binary")).alias("h"), F.lit(e).alias("e")) for e in errors)))
-        drawn = F.transform(F.slice(ranked(F.col("tried")), 1, k), lambda x: x["e"])
-        rows = todo.select("*", F.explode(draws).alias("tried")).withColumn("errors", F.array_sort(drawn, lambda a, b: F.when((a == "incomplete_plan") != (b == "incomplete_plan"), F.when(a == "incomplete_plan", 1).otherwise(-1)).otherwise(F.array_position(order, a).cast("int") - F.array_position(order, b).cast("int"))))
-        rows = rows.withColumn("injected", F.col(steps))
-        for i in range(k):
-            rows = once(rows, "_i", _one_of(errors, F.col("errors")[i])).where("_i.changed").withColumn("injected", F.col("_i.steps")).drop("_i")
-        first = rows.groupBy(key).agg(F.min_by(F.struct("injected", "errors", "tried"), "tried").alias("_f"))
-        hit = keep(todo.join(first, key).select(*base.columns, "_f.*"), "compound")
-        done = hit if done is None else done.union(hit)
-        todo, at = todo.join(hit.select(key), key, "left_anti"), at + many
-    return done
-
-
-def _one_of(errors: tuple[str, ...], wanted: Column) -> Column:
-    """The injector that ``wanted`` names, over ``injected``."""
-    out = F.when(F.lit(False), injector(errors[0], "injected"))
-    for e in errors:
-        out = out.when(wanted == e, injector(e, "injected"))
-    return out
+    order = sorted(errors, key=lambda e: (e == "incomplete_plan", ERROR_TYPES.index(e)))
+    ranked = ", ".join(f"named_struct('h', md5(concat_ws('|', cast({key} as string), cast(t as string), '{e}')), 'e', '{e}')" for e in errors)
+    kinds = f"array({', '.join(f"'{e}'" for e in order)})"
+    drawn = f"transform(array(slice(array_sort(array({ranked})), 1, {k}).e), d -> filter({kinds}, e -> array_contains(d, e)))[0]"
+    made = f"named_struct('injected', r{k}.steps, 'errors', e, 'tried', t)"
+    for i in range(k, 0, -1):
+        one = " ".join(f"when '{e}' then {_injector(e, f'r{i - 1}.steps')}" for e in errors)
+        made = f"transform(array(case e[{i - 1}] {one} end), r{i} -> if(r{i}.changed, {made}, null))[0]"
+    draw = f"transform(array({drawn}), e -> transform(array(named_struct('steps', {steps})), r0 -> {made})[0])[0]"
+    base = df.drop("injected", "errors", "tried")
+    kind = f"struct<injected:{dict(df.dtypes)[steps]},errors:array<string>,tried:int>"
+    first = f"aggregate(sequence(0, {tries} - 1), cast(null as {kind}), (f, t) -> if(f is not null, f, cast({draw} as {kind})))"
+    return once(base, "_f", F.expr(first)).where("_f is not null").select(*base.columns, "_f.*")
 
 
 def quota_slots(n: int, shares: dict[str, float]) -> list[str]:

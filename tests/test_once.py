@@ -45,6 +45,23 @@ def test_circular_dependency_matches_no_pattern_made_per_row(plans):
     assert [got[i][0] for i in (2, 3, 4)] == [False] * 3
 
 
+def test_compound_tries_stay_in_their_row(plans):
+    got = inject.compound_tried(plans, 2, ("type_mismatch", "inefficient_order", "unnecessary_steps", "incomplete_plan"))
+    assert "Join" not in plan_of(got) and "Aggregate" not in plan_of(got)
+    rows = {r["plan_id"]: r for r in got.collect()}
+    assert set(rows) == {0, 1, 2}  # one step leaves only the mismatch, no step nothing
+    assert list(rows[0]["errors"]) in (["type_mismatch", "unnecessary_steps"], ["type_mismatch", "incomplete_plan"], ["unnecessary_steps", "incomplete_plan"])
+    assert all(r["tried"] < 25 for r in rows.values())
+
+
+def test_wrong_tool_without_requirements_ranks_nothing(plans):
+    out = inject.inject(plans.withColumn("all_tools", F.array(F.lit("a"), F.lit("b"), F.lit("z"))), "wrong_tool")
+    assert "array_union" not in plan_of(out)
+    got = {r["plan_id"]: r["changed"] for r in out.collect()}
+    assert got == {0: True, 1: True, 2: True, 3: True, 4: False}
+    assert not any(r["changed"] for r in inject.inject(plans.withColumn("all_tools", F.array(F.lit("b"), F.lit("b"))), "wrong_tool").where("plan_id < 3").collect())
+
+
 def test_pieces_above_the_list_are_folded_once(spark, tmp_path, monkeypatch):
     kept, keep = {}, blocks.keep
     monkeypatch.setattr(blocks, "keep", lambda df, name: kept.setdefault(name, keep(df, name)))
