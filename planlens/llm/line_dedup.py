@@ -3,7 +3,7 @@
 Texts are sequences of words, whatever lines they stand in, so that a passage is
 found wherever in a line it begins or ends.
 
-* Winnowing. A place is marked by the hashes of its two words. Each window of
+* Winnowing. A place is marked by the hash of its word. Each window of
   ``min_words`` words selects the lowest mark (ties: the leftmost) that has
   ``GRAM`` words in the window; these words are the fingerprint. Equal windows
   select alike, so a passage of ``min_words`` words that occurs twice has a
@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 from .common import SPACE, discard, materialize
 
 MIN_WORDS = 50
-#: Words of a fingerprint, at most.
-GRAM = 16
-#: Windows that begin in a piece of a text; a place in a piece takes ``BITS`` bits.
-PIECE, BITS = 1 << 16, 20
+#: Words of a fingerprint: at most ``GRAM``, or more where a window would have over ``SPAN`` + 1 marks.
+GRAM, SPAN = 16, 64
+#: Neighbours with which a mark is compared before all of a window.
+NEAR = 3
+#: Windows that begin in a piece of a text.
+PIECE = 1 << 16
 #: Keys with over a share of 1 / HOT of all rows are joined by broadcast.
 HOT = 1000
 
@@ -78,17 +80,15 @@ def pieces(docs: DataFrame, id_col: str, text: str, min_words: int) -> DataFrame
     return rows.select("id", "th", "p.at", "p.h")
 
 
-def selected(h: Column, min_words: int, gram: int) -> Column:
-    """The marks that the windows of ``h`` select, in order; the low ``BITS`` are the place."""
-    span = min_words - gram + 1
-    marks = F.transform(h, lambda x, i: x.bitwiseXOR(F.get(h, i + 1)).bitwiseAND(F.lit(-1 << BITS)).bitwiseOR(i.cast("bigint")))
-    # the lowest of ``step`` marks, then of enough such to span a window
-    step = math.isqrt(span)
-    some = lambda m: F.transform(m, lambda x, i: F.least(x, *(F.get(m, i + d) for d in range(1, step))))
-    at = sorted({min(d, span - step) for d in range(0, span, step)})
-    every = F.sequence(F.lit(0), F.size(h) - min_words)
-    lowest = lambda m: F.transform(every, lambda i: F.least(*(F.get(m, i + d) for d in at), F.get(m, i + at[-1])))
-    return F.array_distinct(_let(_let(marks, some), lowest))
+def _begins(h: Column, i: Column, m: Column, span: int) -> Column:
+    """Whether the window from word ``i``, whose mark is ``m``, selects another mark
+    than the one before: of the marks of both, the lowest is the first, which leaves,
+    or the last, which comes in. Most places are told by the ``NEAR`` marks beside."""
+    leaves, enters = F.get(h, i - 1), F.get(h, i + (span - 1))
+    near = range(1, min(NEAR, span - 1))
+    first = (leaves <= F.least(m, m, *(F.get(h, i + d) for d in near))) & (leaves <= F.array_min(F.slice(h, i + 1, F.lit(span))))
+    last = (enters < F.least(F.get(h, i + (span - 2)), *(F.get(h, i + (span - 2 - d)) for d in near), leaves)) & (enters < F.array_min(F.slice(h, i, F.lit(span))))
+    return (i == 0) | first | last
 
 
 def blocks(cut: DataFrame, min_words: int) -> DataFrame:
@@ -96,24 +96,27 @@ def blocks(cut: DataFrame, min_words: int) -> DataFrame:
     that select one fingerprint, its hash and that of all their words. Shorter
     texts have one row, of all their words, and are ``whole``."""
     gram = _gram(min_words)
-    reach, whole, h = min_words - gram, F.size("h") < min_words, F.col("h")
-    marks = F.when(whole, F.array(F.lit(0).cast("bigint"))).otherwise(_let(h, lambda h: selected(h, min_words, gram)))
-    # a generator, so that marks are found once
-    rows = cut.select("id", "th", "at", "h", F.explode(F.array(marks)).alias("c")).select("id", "th", "at", "h", "c", F.posexplode("c").alias("k", "x"))
-    place = lambda x: x.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
-    before, after = F.get("c", F.col("k") - 1), F.get("c", F.col("k") + 1)
-    # a lower mark takes over when it comes into the window, a higher one when the mark leaves
-    a = F.coalesce(F.when(before > F.col("x"), place(F.col("x")) - reach).otherwise(place(before) + 1), F.lit(0))
-    b = F.coalesce(F.when(after < F.col("x"), place(after) - reach - 1).when(after.isNotNull(), place(F.col("x"))), F.size("h") - min_words)
-    rows = rows.select("id", "th", "at", "h", place(F.col("x")).alias("x"), F.greatest(a, F.lit(0)).alias("a"), F.greatest(b, F.lit(0)).alias("b"), whole.alias("whole"))
-    fp = F.when(F.col("whole"), F.xxhash64(F.lit("whole"), "h")).otherwise(F.xxhash64(F.slice("h", F.col("x") + 1, F.lit(gram))))
-    content = F.xxhash64(F.slice("h", F.col("a") + 1, F.col("b") - F.col("a") + min_words))
-    n = F.when(F.col("whole"), F.size("h") - min_words).otherwise(F.col("b") - F.col("a"))
-    return rows.select("id", "th", (F.col("at") + F.col("a")).alias("p"), n.alias("n"), fp.alias("fp"), content.alias("content"), "whole")
+    span, h, a, c, m, x = min_words - gram + 1, F.col("h"), F.col("a"), F.col("c"), F.col("m"), F.col("x")
+    last, own = F.size(h) - min_words, ["id", "th", "at", "h", "a"]
+    # A row a word, none of which is stored, in one generated loop. The JVM compiles methods of
+    # up to 8,000 bytes only, so there are no long chains of cases in it.
+    rows = cut.select("id", "th", "at", "h", F.posexplode("h").alias("a", "m"))
+    rows = rows.where((a == 0) | ((a <= last) & _begins(h, a, m, span)))
+    rows = rows.select(*own, F.slice(h, a + 1, F.lit(span)).alias("w")).select(*own, "w", F.array_min("w").alias("m"))
+    rows = rows.select(*own, "m", (a + F.array_position("w", m).cast("int") - 1).alias("x"), a.alias("c"))
+    # windows go on until a lower mark comes in, which is searched for by halves, or the mark leaves
+    for d in reversed(range((span - 1).bit_length())):
+        lower = F.array_min(F.slice(h, c + (span + 1), F.lit(1 << d))) < m
+        rows = rows.select(*own, "m", "x", F.when(lower, c).otherwise(c + (1 << d)).alias("c"))
+    whole = F.size(h) < min_words
+    rows = rows.select(*own, "x", F.when(whole, last).otherwise(F.least(c, x, last) - a).alias("n"))
+    fp = F.when(whole, F.xxhash64(F.lit("whole"), "h")).otherwise(F.xxhash64(F.slice(h, x + 1, F.lit(gram))))
+    content = F.xxhash64(F.slice(h, a + 1, F.col("n") + min_words))
+    return rows.select("id", "th", (F.col("at") + a).alias("p"), "n", fp.alias("fp"), content.alias("content"), whole.alias("whole"))
 
 
 def _gram(min_words: int) -> int:
-    return min(GRAM, (min_words + 1) // 2)
+    return max(min(GRAM, (min_words + 1) // 2), min_words - SPAN)
 
 
 class _Order:
@@ -181,7 +184,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", m
     kept = materialize(_joined(placed, shared, ["fp"]).drop("_n"), "shared")
     discard(found)
     p = order.word(F.col("o"))
-    part = [order.doc(F.col("o")).alias("doc"), p.alias("s"), (p + F.col("n") + min_words - 1).alias("e")]
+    # a run as one number: collected and sorted faster than a struct
+    part = [order.doc(F.col("o")).alias("doc"), F.shiftleft(p.cast("bigint"), 32).bitwiseOR((p + F.col("n") + min_words - 1).cast("bigint")).alias("run")]
     key = ["fp", "content"]
     firsts = materialize(_firsts(kept, key, F.first("n").alias("n"), F.first("whole").alias("whole")), "firsts")
     parts = _later(kept, firsts, key).select(*part)
@@ -196,43 +200,47 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", m
     content = F.xxhash64(F.slice("h", p + F.col("i") + 1, F.lit(min_words)))
     windows = materialize(windows.select(order.next("o", "i").alias("o"), content.alias("content")), "windows")
     again = _later(windows, _firsts(windows, ["content"]), ["content"]).withColumn("n", F.lit(0))
-    by_doc = parts.union(again.select(*part)).groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("v"))
+    by_doc = parts.union(again.select(*part)).groupBy("doc").agg(F.sort_array(F.collect_list("run")).alias("v"))
     return by_doc.select("doc", _chains(F.col("v")).alias("runs")), order.named(id_col, text)
 
 
 def _chains(parts: Column) -> Column:
-    """Sorted runs of words, joined where they overlap or touch."""
+    """Sorted runs of words (``s`` in the upper half of a number, ``e`` in the lower) as structs, joined where they overlap or touch."""
     run = "struct<s:int,e:int>"
     state = F.struct(F.lit(None).cast(run).alias("now"), F.array().cast(f"array<{run}>").alias("done"))
     closed = lambda acc: F.concat(acc["done"], F.array(acc["now"]))
 
     def step(acc: Column, x: Column) -> Column:
-        now = acc["now"]
-        wider = F.struct(now["s"].alias("s"), F.greatest(now["e"], x["e"]).alias("e"))
-        own = F.struct(x["s"].alias("s"), x["e"].alias("e"))
+        now, s, e = acc["now"], F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        wider = F.struct(now["s"].alias("s"), F.greatest(now["e"], e).alias("e"))
+        own = F.struct(s.alias("s"), e.alias("e"))
         apart = F.struct(own.alias("now"), F.when(now.isNull(), acc["done"]).otherwise(closed(acc)).alias("done"))
-        return F.when(x["s"] <= now["e"] + 1, F.struct(wider.alias("now"), acc["done"].alias("done"))).otherwise(apart)
+        return F.when(s <= now["e"] + 1, F.struct(wider.alias("now"), acc["done"].alias("done"))).otherwise(apart)
 
     return F.aggregate(parts, state, step, closed)
 
 
 def _line_of_words(lines: Column) -> Column:
     """The number of its line, for each word."""
-    return F.flatten(F.transform(lines, lambda x, i: F.transform(F.filter(_words(x), lambda w: w != ""), lambda _: i)))
+
+    def numbers(line: Column, i: Column) -> Column:
+        return _let(_words(line), lambda ws: F.array_repeat(i, F.when(ws[0] == "", 0).otherwise(F.size(ws))))
+
+    return F.flatten(F.transform(lines, numbers))
 
 
 def _ranges(text: Column, runs: Column) -> Column:
     """Runs of words as ``a, b, head, tail``: lines from ``a`` to ``b`` but for
     the first ``head`` words of ``a`` and the last ``tail`` words of ``b``."""
 
-    def range_(r: Column, of: Column) -> Column:
+    def range_(r: Column, of: Column, back: Column) -> Column:
         a, b = F.get(of, r["s"]), F.get(of, r["e"])
         head = (r["s"] + 1 - F.array_position(of, a)).cast("int")
-        tail = (F.size(of) - r["e"] - F.array_position(F.reverse(of), b)).cast("int")
+        tail = (F.size(of) - r["e"] - F.array_position(back, b)).cast("int")
         return F.struct(a.alias("a"), b.alias("b"), head.alias("head"), tail.alias("tail"))
 
     def last(of: Column) -> Column:
-        return F.transform(runs, lambda r: range_(r, of))
+        return _let(F.reverse(of), lambda back: F.transform(runs, lambda r: range_(r, of, back)))
 
     return _let(_line_of_words(_lines(text)), last)
 

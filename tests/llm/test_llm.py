@@ -383,6 +383,42 @@ def test_line_dedup_in_pieces(spark, monkeypatch):
         assert r.text.split() == want[r.doc_id]
 
 
+@pytest.mark.parametrize("min_words", [1, 2, 3, 8, 50, 120])
+def test_line_dedup_selects_in_generated_code(spark, min_words):
+    """A window is in one block, that of its lowest mark; no place is told by an interpreted
+    lambda, and the JVM compiles methods of up to 8,000 bytes only."""
+    rng, gram = random.Random(13), line_dedup._gram(min_words)
+    texts = [[rng.randint(-9, 9) for _ in range(300)], [7] * 200, [rng.getrandbits(60) for _ in range(400)], list(range(150)), list(range(150, 0, -1)), [1] * (min_words - 1)]
+    cut = spark.createDataFrame([(i, i, 0, h) for i, h in enumerate(texts) if h], "id bigint, th bigint, at int, h array<bigint>")
+    found = line_dedup.blocks(cut, min_words)
+    execution = found._jdf.queryExecution()
+    assert "lambda" not in execution.optimizedPlan().toString()
+    code = execution.debug().codegenToSeq().iterator()
+    while code.hasNext():
+        assert code.next()._3().maxMethodCodeSize() < 8000
+    want = collections.Counter()
+    for i, h in enumerate(texts):
+        at = None
+        for k in range(len(h) - min_words + 1):
+            now = min(range(k, k + min_words - gram + 1), key=lambda x: (h[x], x))
+            if now != at:
+                at, begin = now, k
+            want[i, begin] += 1
+    rows = found.collect()
+    assert {(r.id, r.p): r.n + 1 for r in rows if not r.whole} == want
+    assert [(r.id, r.p, r.n) for r in rows if r.whole] == [(5, 0, -1)] * (min_words > 1)
+
+
+@pytest.mark.parametrize("min_words", [1, 5, 120])
+def test_line_dedup_window_sizes(spark, min_words):
+    rng = random.Random(14)
+    shared = [words(n, rng) for n in (5, 7, 120, 150)]
+    rows = [(i, " ".join(rng.choice(shared) if rng.random() < 0.5 else words(rng.randint(1, 20), rng) for _ in range(7))) for i in range(20)]
+    want = slow_words(rows, min_words)
+    for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), min_words=min_words).collect():
+        assert r.text.split() == want[r.doc_id]
+
+
 # -- 6 and 7: compression ---------------------------------------------------------
 
 EN = "the and of to that with this from have which people about their would there".split()
