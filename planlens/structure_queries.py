@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,18 +156,25 @@ def _layer_sql(name: str, rows: str, own: str, others: str, relu: bool) -> str:
 _TWO_LAYERS = f"with {_EDGES}, {_layer_sql('h', 'v', 'own', 'others', True)}, {_layer_sql('z', 'h', 'own2', 'others2', False)}, unit as (select id, i, coalesce(x / nullif(sqrt(sum(x * x) over (partition by id)), 0), x) as x from z)"
 
 
-def _two_layers(spark, sf_dir) -> DataFrame:
-    edges = graph.co_use(corpus.table(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey")
-    matrix = lambda n, m, f: spark.range(n).select(F.col("id").cast("int").alias("i")).join(spark.range(m).select(F.col("id").cast("int").alias("j"))).select("i", "j", f(F.col("i"), F.col("j")).alias("w"))
-    h = graph.layer(graph.long(corpus.table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), edges, matrix(64, 8, lambda i, j: F.sin(i * 8 + j)), matrix(64, 8, lambda i, j: F.cos(i + j * 3)))
-    z = graph.layer(h, edges, matrix(8, 4, lambda i, j: F.sin(i + j)), matrix(8, 4, lambda i, j: F.cos(i * j)), relu=False)
-    return keep(graph.normalised(z), "layers")
+def _matrix(n, m, f):
+    return [[f(i, j) for j in range(m)] for i in range(n)]
+
+
+def _two_layers(spark, sf_dir, known: bool = False) -> DataFrame:
+    """``(id, v)``; with ``known`` only of nodes that have a vector of their own."""
+    uses = corpus.table(spark, sf_dir, "lineitem")
+    parts = graph.parts_for(uses.count())
+    linked = graph.links(uses, "l_partkey", "l_orderkey", parts)
+    v = corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    h = graph.link_layer(v, linked, parts, _matrix(64, 8, lambda i, j: math.sin(i * 8 + j)), _matrix(64, 8, lambda i, j: math.cos(i + j * 3)))
+    z = graph.link_layer(h, linked, parts, _matrix(8, 4, lambda i, j: math.sin(i + j)), _matrix(8, 4, lambda i, j: math.cos(i * j)), relu=False, among="known" if known else None)
+    return z.select("id", graph.unit(F.col("v")).alias("v"))
 
 
 @query(f"{_TWO_LAYERS} select id, round(max(case when i = 0 then x end), 6) as x0, round(max(case when i = 3 then x end), 6) as x3, count(*) as n from unit group by id")
 def message_passing(spark, sf_dir):
     """Two layers over vectors, whose edges are parts of orders used one after the other."""
-    v = graph.wide(_two_layers(spark, sf_dir))
+    v = _two_layers(spark, sf_dir)
     return v.select("id", r6(F.col("v")[0]).alias("x0"), r6(F.col("v")[3]).alias("x3"), F.size("v").cast("bigint").alias("n"))
 
 
@@ -177,7 +186,8 @@ def triplet_loss(spark, sf_dir):
     near = lambda b: (F.col(f"{b}.vec_id") > F.col("a.vec_id")) & (F.col(f"{b}.vec_id") < F.col("a.vec_id") + 60)
     found = e.alias("a").join(e.alias("b"), (F.col("b.label") == F.col("a.label")) & near("b")).join(e.alias("c"), (F.col("c.label") == (F.col("a.label") + 1) % 10) & near("c"))
     triplets = found.groupBy(F.col("a.vec_id").alias("triplet")).agg(F.min("b.vec_id").alias("positive"), F.min("c.vec_id").alias("negative")).withColumn("anchor", F.col("triplet"))
-    return graph.ranking_loss(triplets, _two_layers(spark, sf_dir)).select("triplet", r6(F.col("loss")).alias("loss"))
+    rows = keep(graph.long(_two_layers(spark, sf_dir), "id", "v"), "layers")
+    return graph.ranking_loss(triplets, rows).select("triplet", r6(F.col("loss")).alias("loss"))
 
 
 _CANDIDATES = """cand as (select o_orderkey // 10 as query_id, 0 as node, null::int as parent, 1.0::double as prior, 0.5::double as reward from orders where o_orderkey % 10 = 0

@@ -306,3 +306,40 @@ def test_edges_are_derived_once(spark):
     edges = graph.co_use(uses, "item", "g")
     assert sorted(map(tuple, edges.collect())) == [(1, 2, 2), (2, 1, 2), (2, 4, 1), (4, 2, 1)]
     assert "Window" not in edges._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_link_layers_are_layers(spark, monkeypatch):
+    """Blocks of few links give what layers over counted edges give; nulls, short and repeated rows as in the SQL."""
+    monkeypatch.setattr(graph, "LINKS_A_BLOCK", 8)
+    rng = random.Random(4)
+    uses = spark.createDataFrame([(g, rng.randrange(40) if g else 7) for g in range(60) for _ in range(rng.randrange(6))], "g int, item int")
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(0, 60, 3)] + [(3, [1.0, 2.0, 3.0])]
+    v = spark.createDataFrame(vectors, "id int, v array<double>")
+    own, others = [[rng.uniform(-1, 1) for _ in range(2)] for _ in range(3)], [[rng.uniform(-1, 1) for _ in range(2)] for _ in range(3)]
+    table = lambda m: spark.createDataFrame([(i, j, w) for i, r in enumerate(m) for j, w in enumerate(r)], "i int, j int, w double")
+    parts = graph.parts_for(uses.count())
+    assert parts > 4
+    linked = graph.links(uses, "item", "g", parts)
+    want = {r.id: r.v for r in graph.wide(graph.layer(graph.long(v, "id", "v"), graph.co_use(uses, "item", "g"), table(own), table(others), relu=False)).collect()}
+    got = graph.link_layer(v, linked, parts, own, others, relu=False)
+    assert {r.id: r.v for r in got.collect()} == {k: pytest.approx(x) for k, x in want.items()}
+    assert {r.id for r in got.where("known").collect()} == {i for i, _ in vectors}
+    odd = spark.createDataFrame([(1, None), (2, [2.0]), (3, [None, 1.0, 5.0]), (4, [])], "id int, v array<double>")
+    alone = graph.link_layer(odd, linked.where("false"), parts, [[1.0], [10.0]], [[1.0], [1.0]])
+    assert {r.id: r.v for r in alone.collect()} == {1: [0.0], 2: [2.0], 3: [10.0], 4: [0.0]}
+
+
+def test_message_passing_shuffles_links_once(spark, monkeypatch, tmp_path):
+    """Both layers read one exchange of the links, and vectors are summed a block before they are shuffled."""
+    from planlens import structure_queries
+
+    rng = random.Random(5)
+    spark.createDataFrame([(g, rng.randrange(50)) for g in range(4000) for _ in range(4)], "l_orderkey bigint, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(64)], i % 10) for i in range(50)], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = structure_queries.message_passing(spark, str(tmp_path))
+    assert df.count() == 50
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("ReusedExchange") >= 2
+    assert plan.count("FileScan parquet [l_orderkey") == 1
+    assert "Join" not in plan
