@@ -186,7 +186,7 @@ def triplet_loss(spark, sf_dir):
     near = lambda b: (F.col(f"{b}.vec_id") > F.col("a.vec_id")) & (F.col(f"{b}.vec_id") < F.col("a.vec_id") + 60)
     found = e.alias("a").join(e.alias("b"), (F.col("b.label") == F.col("a.label")) & near("b")).join(e.alias("c"), (F.col("c.label") == (F.col("a.label") + 1) % 10) & near("c"))
     triplets = found.groupBy(F.col("a.vec_id").alias("triplet")).agg(F.min("b.vec_id").alias("positive"), F.min("c.vec_id").alias("negative")).withColumn("anchor", F.col("triplet"))
-    rows = keep(graph.long(_two_layers(spark, sf_dir), "id", "v"), "layers")
+    rows = keep(graph.long(_two_layers(spark, sf_dir, known=True), "id", "v"), "layers")
     return graph.ranking_loss(triplets, rows).select("triplet", r6(F.col("loss")).alias("loss"))
 
 

@@ -324,6 +324,8 @@ def test_link_layers_are_layers(spark, monkeypatch):
     got = graph.link_layer(v, linked, parts, own, others, relu=False)
     assert {r.id: r.v for r in got.collect()} == {k: pytest.approx(x) for k, x in want.items()}
     assert {r.id for r in got.where("known").collect()} == {i for i, _ in vectors}
+    few = graph.link_layer(v.withColumn("some", F.col("id") < 30), linked, parts, own, others, relu=False, among="some")
+    assert {r.id: r.v for r in few.collect()} == {k: pytest.approx(x) for k, x in want.items() if k < 30 and k % 3 == 0}
     odd = spark.createDataFrame([(1, None), (2, [2.0]), (3, [None, 1.0, 5.0]), (4, [])], "id int, v array<double>")
     alone = graph.link_layer(odd, linked.where("false"), parts, [[1.0], [10.0]], [[1.0], [1.0]])
     assert {r.id: r.v for r in alone.collect()} == {1: [0.0], 2: [2.0], 3: [10.0], 4: [0.0]}
