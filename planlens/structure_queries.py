@@ -178,14 +178,16 @@ def message_passing(spark, sf_dir):
     return v.select("id", r6(F.col("v")[0]).alias("x0"), r6(F.col("v")[3]).alias("x3"), F.size("v").cast("bigint").alias("n"))
 
 
-@query(f"""{_TWO_LAYERS}, t as (select a.vec_id as triplet, a.vec_id as anchor, min(b.vec_id) as positive, min(c.vec_id) as negative from embeddings a join embeddings b on b.label = a.label and b.vec_id > a.vec_id and b.vec_id < a.vec_id + 60 join embeddings c on c.label = (a.label + 1) % 10 and c.vec_id > a.vec_id and c.vec_id < a.vec_id + 60 group by a.vec_id)
+@query(f"""{_TWO_LAYERS}, t as (select a.vec_id as triplet, a.vec_id as anchor, min(b.vec_id) as positive, min(c.vec_id) as negative from embeddings a join embeddings b on b.label = a.label and b.vec_id > a.vec_id join embeddings c on c.label = (a.label + 1) % 10 and c.vec_id > a.vec_id group by a.vec_id)
   select triplet, round(-ln(1 / (1 + exp(-sum(a.x * (p.x - n.x)))) + 1e-8), 6) as loss from t join unit a on a.id = anchor join unit p on p.id = positive and p.i = a.i join unit n on n.id = negative and n.i = a.i group by triplet""")
 def triplet_loss(spark, sf_dir):
     """The ranking loss of triplets: the next row of a row's label against the next one of another."""
     e = corpus.table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    near = lambda b: (F.col(f"{b}.vec_id") > F.col("a.vec_id")) & (F.col(f"{b}.vec_id") < F.col("a.vec_id") + 60)
-    found = e.alias("a").join(e.alias("b"), (F.col("b.label") == F.col("a.label")) & near("b")).join(e.alias("c"), (F.col("c.label") == (F.col("a.label") + 1) % 10) & near("c"))
-    triplets = found.groupBy(F.col("a.vec_id").alias("triplet")).agg(F.min("b.vec_id").alias("positive"), F.min("c.vec_id").alias("negative")).withColumn("anchor", F.col("triplet"))
+    points = e.select(F.col("label").alias("key"), F.col("vec_id").alias("at"))
+    asked = lambda key, as_: e.select(key.alias("key"), F.col("vec_id").alias("at"), F.struct("vec_id", "label").alias("row"), F.lit(as_).alias("as"))
+    found = graph.following(points, asked(F.col("label"), "positive").union(asked((F.col("label") + 1) % 10, "negative")))
+    both = found.groupBy("row").agg(*[F.min(F.when(F.col("as") == c, F.col("next"))).alias(c) for c in ("positive", "negative")]).where("positive is not null and negative is not null")
+    triplets = both.groupBy(F.col("row.vec_id").alias("triplet")).agg(F.min("positive").alias("positive"), F.min("negative").alias("negative")).withColumn("anchor", F.col("triplet"))
     rows = keep(graph.long(_two_layers(spark, sf_dir, known=True), "id", "v"), "layers")
     return graph.ranking_loss(triplets, rows).select("triplet", r6(F.col("loss")).alias("loss"))
 
